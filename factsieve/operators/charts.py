@@ -142,7 +142,7 @@ def time_series(df: DataFrame, time: str, y: str, agg: str = "mean", period: str
     spine = df.sparkSession.range(1).select(F.explode(starts).alias("s")).select(
         period_label(F.col("s"), period).alias("period"))
     y_out = F.coalesce("y", F.lit(0.0)) if agg in ("sum", "count") else F.col("y")
-    return spine.join(found, "period", "left").select("period", y_out.alias("y"))
+    return spine.join(found, "period", "left").select(F.col("period").cast("timestamp_ntz").alias("period"), y_out.alias("y"))
 
 
 def frequency(df: DataFrame, x: str, top_n: int = 15, null_label: str = NULL_LABEL) -> DataFrame:

@@ -63,7 +63,7 @@ def value_sample(df: DataFrame, columns: list[str], order_by: list[str], k: int
     long = df.select(*keys, F.inline(cells)).where(F.col("value").isNotNull())
     w = W.partitionBy("column").orderBy(*[f"_k{i}" for i in range(len(order_by))], "value")
     return (long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select("column", "rank", "value"))
+            .select("column", F.col("rank").cast("long").alias("rank"), "value"))
 
 
 def dataset_summary(df: DataFrame, facts: Facts | None = None) -> DataFrame:

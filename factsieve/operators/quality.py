@@ -70,7 +70,7 @@ def outlier_counts(df: DataFrame, stats: DataFrame) -> DataFrame:
         hits = (F.count_if((x < F.lit(r["low"])) | (x > F.lit(r["high"]))) if usable
                 else F.count_if(F.lit(False)))
         rows.append(F.struct(
-            F.lit(r["column"]).alias("column"), F.lit(r["n"]).alias("n"),
+            F.lit(r["column"]).alias("column"), F.lit(r["n"]).cast("long").alias("n"),
             *[F.lit(r[k]).cast("double").alias(k) for k in ("q1", "q3", "low", "high")], hits.alias("outliers")))
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 

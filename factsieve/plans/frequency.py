@@ -61,7 +61,7 @@ def top_of(counts: DataFrame, k: int, keys: tuple[str, ...] = ("column",)) -> Da
     distinct values travel to one task.
     """
     w = W.partitionBy(*keys).orderBy(F.desc("cnt"), F.asc_nulls_last("num"), "shown", "key")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return counts.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
 def distinct_counts(counts: DataFrame) -> DataFrame:
