@@ -60,7 +60,7 @@ IDENTIFIER = row_sql("identifier", "concat('''', \"column\", ''' looks like a un
 
 
 def trend_insight(source: str, t: str, columns: list[str]) -> str:
-    return row_sql("trend", "concat('\'\'', \"column\", '\'\' has ', CASE WHEN r > e THEN 'increased' ELSE 'decreased' END, ' from the earliest to the latest period')".replace("\\'", "'"),
+    return row_sql("trend", "concat('\'\'', \"column\", '\'\' has ', CASE WHEN r > e THEN 'increased' ELSE 'decreased' END, ' from the earliest to the latest period')",
                    f"concat('{t},', \"column\")", "'info'", "round(100 * (r - e) / abs(e), 1)",
                    "(SELECT * FROM (" + union_sql([f"SELECT {i} AS p, * FROM {third_sql(source, t, c)}" for i, c in enumerate(columns)])
                    + ") WHERE n >= 12 AND e <> 0 AND abs(100 * (r - e) / abs(e)) >= 20 ORDER BY p LIMIT 1)")

@@ -41,6 +41,21 @@ def ref(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def distinct_names(names: list[str]) -> list[str]:
+    """The names, repeated ones with ``_1``, ``_2``…; names that differ only by case count as repeated."""
+    seen: dict[str, int] = {}
+    out = []
+    for name in names:
+        fold = name.lower()
+        if fold in seen:
+            seen[fold] += 1
+            name = f"{name}_{seen[fold]}"
+        else:
+            seen[fold] = 0
+        out.append(name)
+    return out
+
+
 def field_type(df: DataFrame, name: str) -> T.DataType:
     if name not in df.columns:
         raise ValueError(f"Column '{name}' not found.")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsieve.functions.columns import NUMERIC_TYPES, TIME_TYPES, as_number, as_time, ref
+from factsieve.functions.columns import NUMERIC_TYPES, TIME_TYPES, as_number, as_time, distinct_names, ref
 from factsieve.plans.frequency import top_of
 from factsieve.plans.moments import column_quantiles
 
@@ -48,7 +48,7 @@ class Features:
         out = [n["column"] for n in self.numbers]
         for c in self.categories:
             out += [f"{c['column']}_{v}" for v in c["values"]] + ([f"{c['column']}_{OTHER}"] if c["pooled"] else [])
-        return out
+        return distinct_names(out)
 
     @staticmethod
     def fit(df: DataFrame, columns: list[str]) -> Features:

@@ -59,10 +59,10 @@ def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: s
     trains, tests = blocks_for(train.count(), train_block), blocks_for(test.count(), test_block)
     known = train.where(ref(label).isNotNull()).select(
         ref(label).cast("string").alias("label"), F.array(*fitted.expressions(train)).alias("x"),
-        F.pmod(F.xxhash64(row_id(key)), F.lit(trains)).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(tests - 1))).cast("long").alias("b"))
+        F.pmod(F.xxhash64(row_id(key)), F.lit(trains)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tests - 1).cast("long"))).alias("b"))
     asked = test.select(
         row_id(key).alias("id"), F.array(*fitted.expressions(test)).alias("x"),
-        F.explode(F.sequence(F.lit(0), F.lit(trains - 1))).cast("long").alias("a"), F.pmod(F.xxhash64(row_id(key)), F.lit(tests)).alias("b"))
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trains - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64(row_id(key)), F.lit(tests)).alias("b"))
     near = asked.groupBy("a", "b").cogroup(known.groupBy("a", "b")).applyInPandas(
         _nearest(k), "id string, dist double, label string")
     w = W.partitionBy("id").orderBy("dist", "label")

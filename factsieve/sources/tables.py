@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsieve.functions.columns import finite, parse_time, ref
+from factsieve.functions.columns import distinct_names, finite, parse_time, ref
 
 BYTES_PER_TASK = 128 * 1024 * 1024
 
@@ -28,19 +28,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 def normalized_names(columns: list[str]) -> list[str]:
     """Stripped names; blank and unnamed ones become ``column_{i}``, repeated ones get ``_1``, ``_2``…"""
-    seen: dict[str, int] = {}
     out = []
     for i, raw in enumerate(columns):
-        name = raw.lstrip("﻿").strip()
-        if not name or name == f"_c{i}":
-            name = f"column_{i + 1}"
-        if name in seen:
-            seen[name] += 1
-            name = f"{name}_{seen[name]}"
-        else:
-            seen[name] = 0
-        out.append(name)
-    return out
+        name = raw.lstrip("\ufeff").strip()
+        out.append(name if name and name != f"_c{i}" else f"column_{i + 1}")
+    return distinct_names(out)
 
 
 def normalize(df: DataFrame) -> DataFrame:
