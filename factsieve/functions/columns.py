@@ -36,9 +36,13 @@ TIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 NESTED_TYPES = (T.ArrayType, T.MapType, T.StructType, T.BinaryType, T.VariantType)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ref(name: str) -> Column:
     """Column by exact name, whatever characters the name holds."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.expr(quoted(name))
 
 
 def distinct_names(names: list[str]) -> list[str]:
@@ -74,10 +78,14 @@ def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
-def finite(c: Column) -> Column:
-    """Double with NaN and infinities turned into null."""
-    d = c.cast("double")
-    return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+def finite_sql(name: str) -> str:
+    """SQL text of a real column as double with NaN and infinities turned into null."""
+    d = f"cast({quoted(name)} as double)"
+    return f"if(abs({d}) < double('Infinity'), {d}, null)"  # NaN is larger than any number
+
+
+def finite(name: str) -> Column:
+    return F.expr(finite_sql(name))
 
 
 def number_from_text(c: Column) -> Column:
@@ -88,9 +96,10 @@ def number_from_text(c: Column) -> Column:
 def as_number(df: DataFrame, name: str) -> Column:
     """Double value of a column of any type; text that is no number becomes null."""
     t = field_type(df, name)
+    if isinstance(t, INTEGER_TYPES + (T.DecimalType,)):
+        return F.expr(f"cast({quoted(name)} as double)")
     if isinstance(t, NUMERIC_TYPES):
-        c = ref(name)
-        return c.cast("double") if isinstance(t, INTEGER_TYPES + (T.DecimalType,)) else finite(c)
+        return finite(name)
     if isinstance(t, T.BooleanType):
         return ref(name).cast("int").cast("double")
     if isinstance(t, T.StringType):
@@ -118,15 +127,19 @@ def title_case(c: Column) -> Column:
     return F.array_join(cased, "")
 
 
-def parse_time(c: Column) -> Column:
-    """Timestamp of a text by the fixed list of date shapes, null where none fits."""
-    text = F.trim(c)
+def time_sql(name: str) -> str:
+    """SQL text of the timestamp of a text column by the fixed list of date shapes, null where none fits."""
+    text = f"trim({quoted(name)})"
     tries = []
     for shape, fmt in DATE_SHAPES:
-        parsed = (text.try_cast("timestamp_ntz") if fmt is None
-                  else F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz"))
-        tries.append(F.when(text.rlike(shape), parsed))
-    return F.coalesce(*tries)
+        parsed = (f"try_cast({text} as timestamp_ntz)" if fmt is None
+                  else f"cast(try_to_timestamp({text}, '{fmt}') as timestamp_ntz)")
+        tries.append(f"when {text} rlike r'{shape}' then {parsed}")
+    return "case " + " ".join(tries) + " end"
+
+
+def parse_time(name: str) -> Column:
+    return F.expr(time_sql(name))
 
 
 def as_time(df: DataFrame, name: str) -> Column:
@@ -135,7 +148,7 @@ def as_time(df: DataFrame, name: str) -> Column:
     if isinstance(t, TIME_TYPES):
         return ref(name).cast("timestamp_ntz")
     if isinstance(t, T.StringType):
-        return parse_time(ref(name))
+        return parse_time(name)
     raise ValueError(f"Column '{name}' holds no dates.")
 
 

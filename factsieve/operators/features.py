@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsieve.functions.columns import NUMERIC_TYPES, TIME_TYPES, as_number, as_time, distinct_names, ref
+from factsieve.functions.columns import (NUMERIC_TYPES, REAL_TYPES, TIME_TYPES, distinct_names, finite_sql, quoted,
+                                         ref)
 from factsieve.plans.frequency import top_of
 from factsieve.plans.moments import column_quantiles
 
@@ -17,20 +18,16 @@ MAX_CATEGORIES = 30  # fixed value: beyond it the rarest categories share one co
 OTHER = "__other__"
 
 
-def day_number(df: DataFrame, name: str) -> Column:
-    """Day ordinal, 1 on 0001-01-01."""
-    return (F.datediff(as_time(df, name).cast("date"), F.lit("0001-01-01").cast("date")) + 1).cast("double")
-
-
 def is_number_feature(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, NUMERIC_TYPES + TIME_TYPES)
 
 
-def raw_number(df: DataFrame, name: str) -> Column:
+def raw_number(df: DataFrame, name: str) -> str:
+    """SQL text of a number feature; a date counts as its day ordinal, 1 on 0001-01-01."""
     t = df.schema[name].dataType
     if isinstance(t, TIME_TYPES):
-        return day_number(df, name)
-    return as_number(df, name)
+        return f"cast(datediff(cast({quoted(name)} as date), date'0001-01-01') + 1 as double)"
+    return finite_sql(name) if isinstance(t, REAL_TYPES) else f"cast({quoted(name)} as double)"
 
 
 class Features:
@@ -57,15 +54,16 @@ class Features:
             df.schema[c].dataType, (T.StringType, T.BooleanType))]
         numbers: list[dict] = []
         if numeric:
-            plain = df.select(*[raw_number(df, c).alias(c) for c in numeric])
+            plain = df.select(*[F.expr(f"{raw_number(df, c)} as {quoted(c)}") for c in numeric])
             medians = {r["column"]: r["m"] for r in column_quantiles(plain, numeric, {"m": 0.5}).collect()}
             kept = [c for c in numeric if medians.get(c) is not None]
             if kept:
-                filled = {c: F.coalesce(ref(c), F.lit(medians[c])) for c in kept}
-                sums = plain.agg(*[F.struct(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std")).alias(f"s{i}")
-                                   for i, x in enumerate(filled.values())]).first()
-                numbers = [{"column": c, "median": medians[c], "mean": sums[f"s{i}"]["mean"], "std": sums[f"s{i}"]["std"] or 1.0}
-                           for i, c in enumerate(kept)]
+                filled = plain.select(*[
+                    F.expr(f"coalesce({quoted(c)}, double('{medians[c]!r}')) as {quoted(c)}") for c in kept])
+                long = filled.unpivot([], [ref(c) for c in kept], "column", "value")
+                sums = {r["column"]: r for r in long.groupBy("column").agg(
+                    F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).collect()}
+                numbers = [{"column": c, "median": medians[c], "mean": sums[c]["mean"], "std": sums[c]["std"] or 1.0} for c in kept]
         categories: list[dict] = []
         if other:
             cells = F.array(*[F.struct(F.lit(c).alias("column"), ref(c).cast("string").alias("key")) for c in other])
@@ -87,8 +85,8 @@ class Features:
     def expressions(self, df: DataFrame) -> list[Column]:
         out = []
         for n in self.numbers:
-            x = F.coalesce(raw_number(df, n["column"]), F.lit(n["median"]))
-            out.append((x - F.lit(n["mean"])) / F.lit(n["std"]))
+            fit = {k: f"double('{n[k]!r}')" for k in ("median", "mean", "std")}
+            out.append(F.expr(f"(coalesce({raw_number(df, n['column'])}, {fit['median']}) - {fit['mean']}) / {fit['std']}"))
         for c in self.categories:
             v = F.coalesce(ref(c["column"]).cast("string"), F.lit(c["mode"]))
             out += [(v == F.lit(k)).cast("double") for k in c["values"]]

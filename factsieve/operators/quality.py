@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.columns import as_number, digest, percent, ref, string_columns, strip
 from factsieve.plans.facts import Facts
+from factsieve.plans.frequency import SHOWN, value_counts
 from factsieve.plans.rows import side_by_side
 from factsieve.plans.store import materialize
 
@@ -89,28 +90,26 @@ def lexical_class(c: Column) -> Column:
     return out.otherwise("text")
 
 
-def text_checks(df: DataFrame, columns: list[str]) -> DataFrame:
+def text_checks(df: DataFrame, columns: list[str], counts: DataFrame | None = None) -> DataFrame:
     """column, n, padded, n_stripped, n_folded and one count per lexical class, per text column.
 
-    One pass groups by the (digested) stripped value; the distinct counts before and
-    after case folding come from that much smaller table.
+    Short values are checked once per distinct value, from the frequency table.  Long
+    ones are checked whole where they are read; only their digests are shuffled.
     """
-    cells = []
-    for c in columns:
-        bare = strip(ref(c))
-        cells.append(F.struct(
-            F.lit(c).alias("column"), digest(bare).alias("bare"), digest(F.lower(bare)).alias("folded"),
-            (ref(c) != bare).alias("padded"), lexical_class(ref(c)).alias("lexical")))
-    long = df.select(F.inline(F.array(*cells))).where(F.col("bare").isNotNull())
-    small = long.groupBy("column", "bare", "folded", "padded", "lexical").agg(F.count(F.lit(1)).alias("cnt"))
-    by_bare = small.groupBy("column", "folded", "bare").agg(
-        F.sum("cnt").alias("n"), F.sum(F.when(F.col("padded"), F.col("cnt")).otherwise(0)).alias("padded"),
-        *[F.sum(F.when(F.col("lexical") == k, F.col("cnt")).otherwise(0)).alias(f"n_{k}") for k in LEXICAL_CLASSES])
-    sums = ["n", "padded"] + [f"n_{k}" for k in LEXICAL_CLASSES]
-    by_folded = by_bare.groupBy("column", "folded").agg(
-        F.count(F.lit(1)).alias("n_stripped"), *[F.sum(s).alias(s) for s in sums])
-    return by_folded.groupBy("column").agg(
-        F.sum("n_stripped").alias("n_stripped"), F.count(F.lit(1)).alias("n_folded"), *[F.sum(s).alias(s) for s in sums])
+    counts = value_counts(df, columns) if counts is None else counts.where(F.col("column").isin(columns))
+    short = counts.where(F.col("chars") <= SHOWN).select("column", F.col("key").alias("v"), "cnt")
+    long = (df.select(*[ref(c) for c in columns]).unpivot([], [ref(c) for c in columns], "column", "v")
+            .where(F.length("v") > SHOWN).select("column", "v", F.expr("1L as cnt")))
+    checked = short.unionByName(long).withColumn("b", strip(F.col("v"))).select(
+        "column", "cnt", digest(F.col("b")).alias("bare"), digest(F.lower("b")).alias("folded"),
+        (F.col("v") != F.col("b")).alias("padded"), lexical_class(F.col("v")).alias("lexical"))
+    small = checked.groupBy("column", "bare", "folded", "padded", "lexical").agg(F.sum("cnt").alias("cnt"))
+    tallies = [F.expr("sum(cnt) as n"), F.expr("sum(if(padded, cnt, 0L)) as padded")]
+    tallies += [F.expr(f"sum(if(lexical = '{k}', cnt, 0L)) as n_{k}") for k in LEXICAL_CLASSES]
+    sums = [F.expr(f"sum({s}) as {s}") for s in ["n", "padded"] + [f"n_{k}" for k in LEXICAL_CLASSES]]
+    by_bare = small.groupBy("column", "folded", "bare").agg(*tallies)
+    by_folded = by_bare.groupBy("column", "folded").agg(F.expr("count(1) as n_stripped"), *sums)
+    return by_folded.groupBy("column").agg(F.expr("sum(n_stripped) as n_stripped"), F.expr("count(1) as n_folded"), *sums)
 
 
 def whitespace_values(df: DataFrame) -> DataFrame:
@@ -146,7 +145,7 @@ class Quality:
             base = base.withColumn("outliers", F.lit(None).cast("long"))
         texts = string_columns(self.df)
         if texts:
-            checks = text_checks(self.df, texts).drop("n")
+            checks = text_checks(self.df, texts, self.facts.counts).drop("n")
             base = base.join(checks, "column", "left")
         else:
             for c in ["n_stripped", "n_folded", "padded"] + [f"n_{k}" for k in LEXICAL_CLASSES]:

@@ -31,7 +31,7 @@ def text_roles(counts: DataFrame) -> DataFrame:
     s = counts.groupBy("column").agg(
         F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"),
         F.sum(F.col("chars") * F.col("cnt")).alias("chars"),
-        weigh((F.col("chars") <= 40) & parse_time(F.col("shown")).isNotNull()).alias("dates"),
+        weigh((F.col("chars") <= 40) & parse_time("shown").isNotNull()).alias("dates"),
         weigh((F.col("chars") <= 120) & trimmed.rlike(PLAIN_NUMBER)).alias("plain"))
     n, u = F.col("n"), F.col("u")
     datelike = (n >= 3) & (F.col("dates") >= F.greatest(F.lit(3), F.floor(n * 0.7))) & (F.col("plain") / n <= 0.7)

@@ -17,30 +17,29 @@ def _class(by: str | None) -> Column:
     return F.lit("all") if by is None else group_key(ref(by))
 
 
-def _below(df: DataFrame, key: list[str], by: str | None, seed: int, share: float, wanted) -> DataFrame:
-    """Adds ``_in``: whether a row's hash rank within its class is among the first ``wanted(n)``."""
+def _below(df: DataFrame, key: list[str], by: str | None, seed: int, share: float, wanted: str) -> DataFrame:
+    """Adds ``_in``: whether a row's hash rank within its class is among the first ``wanted`` (SQL text of n)."""
     hashed = with_hash(df, key, seed)
-    edge = hash_ranks(hashed, _class(by), [("_edge", share, lambda n: wanted(n) - 1)])
-    edge = edge.select("_class", F.when(wanted(F.col("n")) > 0, F.col("_edge")).otherwise(-1.0).alias("_edge"))
+    edge = hash_ranks(hashed, _class(by), [("_edge", share, f"{wanted} - 1")])
+    edge = edge.select("_class", F.expr(f"if({wanted} > 0, _edge, -1D) as _edge"))
     joined = hashed.withColumn("_class", _class(by)).join(edge, "_class")
-    return joined.withColumn("_in", F.col("_h") <= F.col("_edge")).drop("_h", "_edge", "_class")
+    return joined.withColumn("_in", F.expr("_h <= _edge")).drop("_h", "_edge", "_class")
 
 
 def split(df: DataFrame, key: list[str], test_size: float = 0.2, by: str | None = None, seed: int = SEED) -> DataFrame:
     """Adds ``is_test``: round(n * test_size) rows of each class."""
     if not 0.1 <= test_size <= 0.4:
         raise ValueError("Test size must be between 0.1 and 0.4.")
-    return _below(df, key, by, seed, test_size, lambda n: F.round(n * F.lit(test_size)).cast("long")).withColumnRenamed("_in", "is_test")
+    return _below(df, key, by, seed, test_size, f"cast(round(n * {test_size!r}D) as bigint)").withColumnRenamed("_in", "is_test")
 
 
 def folds(df: DataFrame, key: list[str], k: int = 5, by: str | None = None, seed: int = SEED) -> DataFrame:
     """Adds ``fold``: k equal runs of the hash order within each class."""
     hashed = with_hash(df, key, seed)
-    edges = hash_ranks(hashed, _class(by), [
-        (f"_e{i}", i / k, lambda n, i=i: F.ceil(n * i / F.lit(k))) for i in range(1, k)])
+    edges = hash_ranks(hashed, _class(by), [(f"_e{i}", i / k, f"ceil(n * {i} / {k})") for i in range(1, k)])
     joined = hashed.withColumn("_class", _class(by)).join(edges, "_class")
-    fold = sum([(F.col("_h") >= F.col(f"_e{i}")).cast("int") for i in range(1, k)], F.lit(0))
-    return joined.withColumn("fold", fold).drop("_h", "_class", "n", *[f"_e{i}" for i in range(1, k)])
+    fold = " + ".join(f"cast(_h >= _e{i} as int)" for i in range(1, k))
+    return joined.withColumn("fold", F.expr(fold)).drop("_h", "_class", "n", *[f"_e{i}" for i in range(1, k)])
 
 
 def stratified_sample(df: DataFrame, key: list[str], max_rows: int, by: str | None = None, seed: int = SEED) -> DataFrame:
@@ -48,8 +47,7 @@ def stratified_sample(df: DataFrame, key: list[str], max_rows: int, by: str | No
     total = df.count()
     if total <= max_rows:
         return df
-    share = max_rows / total
-    kept = _below(df, key, by, seed, share, lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(max_rows) / F.lit(total))).cast("long"))
+    kept = _below(df, key, by, seed, max_rows / total, f"cast(greatest(1, floor(n * {max_rows} / {total})) as bigint)")
     return kept.where("_in").drop("_in")
 
 

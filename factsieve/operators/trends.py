@@ -25,7 +25,7 @@ def trend_thirds(df: DataFrame, time: str, columns: list[str]) -> DataFrame:
         return F.greatest(F.lit(1), F.floor(n / 3))
 
     edges = order_statistics(long, ["column"], "_t", [
-        ("_first", 1 / 3, lambda n: third(n) - 1), ("_last", 2 / 3, lambda n: n - third(n))])
+        ("_first", 1 / 3, "greatest(1, floor(n / 3)) - 1"), ("_last", 2 / 3, "n - greatest(1, floor(n / 3))")])
     joined = long.join(edges, "column")
 
     def sums(name: str, inside, tie) -> list:

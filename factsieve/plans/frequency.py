@@ -42,7 +42,7 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                                         "cnt"))
         else:
             cells = [F.struct(F.lit(c).alias("column"),
-                              (ref(c).cast("long") if kind == "long" else finite(ref(c))).alias("v")) for c in names]
+                              (ref(c).cast("long") if kind == "long" else finite(c)).alias("v")) for c in names]
             counted = (df.select(F.inline(F.array(*cells))).where(F.col("v").isNotNull())
                        .groupBy("column", "v").agg(F.count(F.lit(1)).alias("cnt")))
             parts.append(counted.select("column", F.col("v").cast("string").alias("key"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.functions.columns import as_number, ref
+from factsieve.functions.columns import REAL_TYPES, as_number, finite_sql, quoted, ref
 from factsieve.plans.quantiles import QUARTILES, quantiles
 from factsieve.plans.ordering import ROWS_PER_SLICE
 
@@ -59,12 +59,9 @@ def with_quantiles(df: DataFrame, columns: list[str], shares: dict[str, float] =
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """column, pos, n_rows, missing for every column, from one aggregate."""
-    from factsieve.functions.columns import REAL_TYPES, finite
-
     rows = []
     for i, f in enumerate(df.schema.fields):
-        c = ref(f.name)
-        seen = F.count(finite(c) if isinstance(f.dataType, REAL_TYPES) else c)
-        rows.append(F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("pos"), F.count(F.lit(1)).alias("n_rows"),
-                             (F.count(F.lit(1)) - seen).alias("missing")))
+        seen = finite_sql(f.name) if isinstance(f.dataType, REAL_TYPES) else quoted(f.name)
+        rows.append(F.struct(F.lit(f.name).alias("column"), F.lit(i).alias("pos"), F.expr("count(1) as n_rows"),
+                             F.expr(f"count(1) - count({seen}) as missing")))
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))

@@ -10,12 +10,10 @@ value held by a third of all rows costs nothing extra.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.functions.columns import ref
+from factsieve.functions.columns import quoted, ref
 from factsieve.plans.ordering import ROWS_PER_SLICE, running_total
 from factsieve.plans.store import materialize
 
@@ -23,55 +21,45 @@ ACCURACY = 10_000          # sketch rank error is at most n / ACCURACY
 MARGIN = 5.0 / ACCURACY    # bracket half-width in rank share, five times that error
 WHOLE_GROUP = 10_000       # groups up to this size are bracketed whole
 
-Rank = tuple[str, float, Callable[[Column], Column]]
+Rank = tuple[str, float, str]
 
 
 def order_statistics(values: DataFrame, keys: list[str], value: str, ranks: list[Rank],
                      rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Per key the values at the given 0-based ranks among the non-null ``value`` (double).
 
-    ``ranks`` holds (output column, share of n where the rank lies, rank as an expression of n).
+    ``ranks`` holds (output column, share of n where the rank lies, SQL text of the rank in terms of n).
     Returns keys, n and one column per rank.  Keys must not be null.
     """
-    inf = float("inf")
-    present = values.where(ref(value).isNotNull()).select(*[ref(k) for k in keys], ref(value).alias("_v"))
+    by = [ref(k) for k in keys]
+    present = values.where(ref(value).isNotNull()).select(*by, F.expr(f"{quoted(value)} as _v"))
     shares = sorted({share for _, share, _ in ranks})
     edges = [e for s in shares for e in (max(0.0, s - MARGIN), min(1.0, s + MARGIN))]
-    sketch = present.groupBy(*[ref(k) for k in keys]).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_v", edges, ACCURACY).alias("_e"))
-    whole = F.col("_n") <= WHOLE_GROUP
+    sketch = present.groupBy(*by).agg(
+        F.expr("count(1) as n"),
+        F.expr(f"percentile_approx(_v, array({', '.join(f'{e!r}D' for e in edges)}), {ACCURACY}) as _e"))
     bounds = []
     for i in range(len(shares)):
         low, high = edges[2 * i] <= 0.0, edges[2 * i + 1] >= 1.0
-        bounds.append(F.when(whole | F.lit(low), F.lit(-inf)).otherwise(F.col("_e")[2 * i]).alias(f"_lo{i}"))
-        bounds.append(F.when(whole | F.lit(high), F.lit(inf)).otherwise(F.col("_e")[2 * i + 1]).alias(f"_hi{i}"))
-    brackets = materialize(sketch.select(*[ref(k) for k in keys], "_n", *bounds), "brackets")
+        bounds.append(f"if(n <= {WHOLE_GROUP} or {low}, double('-Infinity'), _e[{2 * i}]) as _lo{i}")
+        bounds.append(f"if(n <= {WHOLE_GROUP} or {high}, double('Infinity'), _e[{2 * i + 1}]) as _hi{i}")
+    brackets = materialize(sketch.select(*by, "n", *[F.expr(b) for b in bounds]), "brackets")
 
-    v = F.col("_v")
-    inside, gap = F.lit(False), F.lit(0)
-    for i in range(len(shares)):
-        inside = inside | ((v >= F.col(f"_lo{i}")) & (v <= F.col(f"_hi{i}")))
-        gap = gap + (v > F.col(f"_hi{i}")).cast("int")
+    inside = " or ".join(f"(_v >= _lo{i} and _v <= _hi{i})" for i in range(len(shares)))
+    gap = " + ".join(f"cast(_v > _hi{i} as int)" for i in range(len(shares)))
     marked = present.join(brackets, keys).select(
-        *[ref(k) for k in keys], "_n", "_v", F.when(inside, v).alias("_point"), gap.alias("_gap"))
-    cells = (marked.groupBy(*[ref(k) for k in keys], "_n", "_gap", "_point")
-             .agg(F.max("_v").alias("_top"), F.count(F.lit(1)).alias("_cnt"))
-             .select(*[ref(k) for k in keys], "_n", F.col("_top").alias("_at"),
-                     F.col("_point").isNotNull().alias("_exact"), "_cnt"))
+        *by, "n", "_v", F.expr(f"if({inside}, _v, null) as _point"), F.expr(f"{gap} as _gap"))
+    cells = (marked.groupBy(*by, "n", "_gap", "_point").agg(F.expr("max(_v) as _at"), F.expr("count(1) as _cnt"))
+             .select(*by, "n", "_at", F.expr("_point is not null as _exact"), "_cnt"))
     placed = running_total(materialize(cells, "cells"), keys, ["_at"], "_cnt", "_before", rows_per_slice)
 
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.greatest(F.lit(0), F.least(rank(F.col("_n")), F.col("_n") - 1))
-                 .cast("long").alias("r")) for i, (_, _, rank) in enumerate(ranks)])
-    hit = placed.select(
-        *[ref(k) for k in keys], "_n", "_at", "_exact",
-        F.inline(F.filter(wanted, lambda t: (t["r"] >= F.col("_before"))
-                          & (t["r"] < F.col("_before") + F.col("_cnt")))))
-    checked = F.when(F.col("_exact"), F.col("_at")).otherwise(
-        F.raise_error(F.lit("order statistic fell outside its bracket")).cast("double"))
-    return hit.groupBy(*[ref(k) for k in keys], F.col("_n").alias("n")).agg(*[
-        F.max(F.when(F.col("i") == i, checked)).alias(name) for i, (name, _, _) in enumerate(ranks)])
+    wanted = ", ".join(f"named_struct('i', {i}, 'r', cast(greatest(0, least({rank}, n - 1)) as bigint))"
+                       for i, (_, _, rank) in enumerate(ranks))
+    hit = placed.select(*by, "n", "_at", "_exact", F.expr(
+        f"inline(filter(array({wanted}), t -> t.r >= _before and t.r < _before + _cnt))"))
+    checked = "if(_exact, _at, cast(raise_error('order statistic fell outside its bracket') as double))"
+    return hit.groupBy(*by, "n").agg(*[
+        F.expr(f"max(if(i = {i}, {checked}, null)) as {quoted(name)}") for i, (name, _, _) in enumerate(ranks)])
 
 
 def quantiles(values: DataFrame, keys: list[str], value: str, shares: dict[str, float],
@@ -79,14 +67,13 @@ def quantiles(values: DataFrame, keys: list[str], value: str, shares: dict[str,
     """Per key the linearly interpolated quantiles ``{column: share}``, with n."""
     ranks: list[Rank] = []
     for name, p in shares.items():
-        ranks.append((f"_{name}_a", p, lambda n, p=p: F.floor((n - 1) * F.lit(p))))
-        ranks.append((f"_{name}_b", p, lambda n, p=p: F.ceil((n - 1) * F.lit(p))))
+        ranks.append((f"_{name}_a", p, f"floor((n - 1) * {p!r}D)"))
+        ranks.append((f"_{name}_b", p, f"ceil((n - 1) * {p!r}D)"))
     found = order_statistics(values, keys, value, ranks, rows_per_slice)
     out = []
     for name, p in shares.items():
-        place = (F.col("n") - 1) * F.lit(p)
-        a, b = F.col(f"_{name}_a"), F.col(f"_{name}_b")
-        out.append((a + (b - a) * (place - F.floor(place))).alias(name))
+        place = f"(n - 1) * {p!r}D"
+        out.append(F.expr(f"_{name}_a + (_{name}_b - _{name}_a) * ({place} - floor({place})) as {name}"))
     return found.select(*[ref(k) for k in keys], "n", *out)
 
 

@@ -39,14 +39,14 @@ def normalize(df: DataFrame) -> DataFrame:
     """Normalised names, and NaN or infinity as null in every real column."""
     named = df.toDF(*normalized_names(df.columns))
     return named.select(*[
-        finite(ref(f.name)).cast(f.dataType).alias(f.name)
+        finite(f.name).cast(f.dataType).alias(f.name)
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else ref(f.name) for f in named.schema.fields])
 
 
 def coerce_datetimes(df: DataFrame, roles: dict[str, str]) -> DataFrame:
     """Text columns of role datetime become timestamp_ntz; what does not parse becomes null."""
     return df.select(*[
-        parse_time(ref(f.name)).alias(f.name)
+        parse_time(f.name).alias(f.name)
         if roles.get(f.name) == "datetime" and isinstance(f.dataType, T.StringType) else ref(f.name)
         for f in df.schema.fields])
 
