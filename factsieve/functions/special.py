@@ -12,9 +12,13 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _TINY = 1e-300
-_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(values):
+    return np.array([math.lgamma(v) for v in np.ravel(values)]).reshape(np.shape(values))
 
 
 def _beta_fraction(a, b, x):
@@ -41,7 +45,7 @@ def beta_cdf(a, b, x):
     a, b, x = (np.asarray(v, dtype=float) for v in np.broadcast_arrays(a, b, x))
     x = np.clip(x, 0.0, 1.0)
     inner = np.clip(x, _TINY, 1.0 - 1e-16)
-    front = np.exp(_LGAMMA(a + b) - _LGAMMA(a) - _LGAMMA(b) + a * np.log(inner) + b * np.log1p(-inner))
+    front = np.exp(_lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inner) + b * np.log1p(-inner))
     low = inner < (a + 1.0) / (a + b + 2.0)
     value = np.where(low, front * _beta_fraction(a, b, np.where(low, inner, 0.5)) / a,
                      1.0 - front * _beta_fraction(b, a, np.where(low, 0.5, 1.0 - inner)) / b)
@@ -111,7 +115,7 @@ def kendall_exact(n: int, discordant: int) -> float:
     return min(1.0, 2.0 * float(sum(ways) / math.factorial(n)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     ok = t.notna() & dof.notna() & (dof > 0)
     out = pd.Series(np.nan, index=t.index)
@@ -120,12 +124,12 @@ def t_pvalue(t: pd.Series, dof: pd.Series) -> pd.Series:
     return out.where(ok, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_interval(level: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(a, b) if b > 0 else None for a, b in zip(level, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     ok = f.notna() & (d1 > 0) & (d2 > 0)
     out = pd.Series(np.nan, index=f.index)
@@ -135,13 +139,13 @@ def f_pvalue(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return out.where(ok, None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_pvalue(x: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([gamma_tail(d / 2.0, v / 2.0) if v == v and d > 0 else None for v, d in zip(x, dof)],
                      dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def kendall_pvalue(n: pd.Series, surplus: pd.Series, dis: pd.Series, xt: pd.Series, yt: pd.Series, x0: pd.Series,
                    y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.Series:
     """Exact for small untied samples, else normal with the variance corrected for ties."""

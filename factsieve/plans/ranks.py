@@ -99,6 +99,7 @@ def kendall_pairs(df: DataFrame, pairs: list[tuple[str, str]], rows_per_slice: i
     dis = F.coalesce(F.col("dis").cast("double"), F.lit(0.0))
     surplus = pairs_total - F.col("x_tie") - F.col("y_tie") + F.col("both_tie") - 2 * dis
     r = F.try_divide(surplus, F.sqrt(pairs_total - F.col("x_tie")) * F.sqrt(pairs_total - F.col("y_tie")))
-    out = all_.select("pair", "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"), surplus.alias("surplus"),
+    clipped = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    out = all_.select("pair", "n", clipped.alias("r"), surplus.alias("surplus"),
                       dis.alias("discordant"), "x_tie", "x_t0", "x_t1", "y_tie", "y_t0", "y_t1")
     return _named(pairs, out, df.sparkSession).drop("pair").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -73,9 +73,13 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter:
             raise ValueError("The input is empty.")
         delimiter = row["delimiter"]
     charset = {"utf-8-sig": "utf-8", "latin-1": "iso-8859-1", "cp1252": "iso-8859-1"}.get(encoding, encoding)
-    df = spark.read.csv(path, header=True, inferSchema=True, sep=delimiter, encoding=charset, escape='"',
-                        multiLine=has_line_breaks(spark, path))
-    return check_table(df.toDF(*normalized_names(df.columns)))
+    options = {"sep": delimiter, "encoding": charset, "escape": '"', "multiLine": has_line_breaks(spark, path)}
+    df = spark.read.csv(path, header=True, inferSchema=True, **options)
+    names = df.columns
+    first = spark.read.csv(path, header=False, **options).first()  # the names as written, before Spark renames repeated ones
+    if first is not None and len(first) == len(names):
+        names = [v or "" for v in first]
+    return check_table(df.toDF(*normalized_names(names)))
 
 
 def check_path(path: str) -> str:
