@@ -42,7 +42,8 @@ def histogram(df: DataFrame, column: str, bins: int = 30, clamp: bool = True) ->
 
 def _box(values: DataFrame) -> DataFrame:
     """Five numbers, fences and outlier count per ``group`` of (group, value)."""
-    q = materialize(fences(quantiles(values, ["group"], "value", {"min": 0.0, **QUARTILES, "max": 1.0})), "boxes")
+    found = quantiles(values, ["group"], "value", QUARTILES, also={"min": "min(_v)", "max": "max(_v)"}).where("n > 0")
+    q = materialize(fences(found), "boxes")
     outside = (F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))
     counted = (values.where("value is not null").join(q.select("group", "low", "high"), "group")
                .groupBy("group").agg(F.count_if(outside).alias("outliers")))
@@ -79,8 +80,7 @@ def _aggregate(values: DataFrame, keys: list[str], agg: str) -> DataFrame:
         if agg == "sum":
             y = F.coalesce(y, F.lit(0.0))
         return values.groupBy(*keys).agg(y.cast("double").alias("y"))
-    found = quantiles(values, keys, "value", {"y": 0.5}).select(*keys, "y")
-    return values.select(*keys).distinct().join(found, keys, "left")
+    return quantiles(values, keys, "value", {"y": 0.5}).select(*keys, "y")
 
 
 def by_category(df: DataFrame, x: str, y: str, agg: str = "mean", top_n: int = 15,

@@ -1,4 +1,4 @@
-"""One wide aggregate for all numeric columns, returned as one row per column."""
+"""Moments of all numeric columns in one aggregate over (column, value) cells; one row per column."""
 
 from __future__ import annotations
 
@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions.columns import REAL_TYPES, as_number, finite_sql, quoted, ref
-from factsieve.plans.quantiles import QUARTILES, quantiles
 from factsieve.plans.ordering import ROWS_PER_SLICE
+from factsieve.plans.quantiles import QUARTILES, quantiles
+
+MOMENTS = {"n_rows": "count(1)", "missing": "count(1) - count(_v)", "total": "sum(_v)", "mean": "avg(_v)", "std": "stddev_samp(_v)",
+           "min": "min(_v)", "max": "max(_v)", "g1": "skewness(_v)", "g2": "kurtosis(_v)"}
+MOMENT_COLUMNS = ["n_rows", "n", "missing", "total", "mean", "std", "min", "max", "g1", "g2"]
 
 
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -16,15 +20,14 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     Long form: the plan has the same size for five columns as for five hundred,
     and each task sends one small buffer per column.
     """
-    x = F.col("value")
-    order = F.create_map(*[e for i, c in enumerate(columns) for e in (F.lit(c), F.lit(i))])
     stats = long_numbers(df, columns).groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("n"),
-        F.sum(x).alias("total"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
-    return stats.select("column", order[F.col("column")].alias("pos"), "n_rows", "n",
-                        (F.col("n_rows") - F.col("n")).alias("missing"),
-                        "total", "mean", "std", "min", "max", "g1", "g2")
+        F.expr("count(value) as n"), *[F.expr(f"{e.replace('_v', 'value')} as {c}") for c, e in MOMENTS.items()])
+    return stats.select("column", position(columns).alias("pos"), *MOMENT_COLUMNS)
+
+
+def position(columns: list[str]) -> Column:
+    """Place of ``column`` in the given list."""
+    return F.create_map(*[e for i, c in enumerate(columns) for e in (F.lit(c), F.lit(i))])[F.col("column")]
 
 
 def adjusted_skew() -> Column:
@@ -52,9 +55,9 @@ def column_quantiles(df: DataFrame, columns: list[str], shares: dict[str, float]
 
 
 def with_quantiles(df: DataFrame, columns: list[str], shares: dict[str, float] = QUARTILES) -> DataFrame:
-    """Moments and exact quantiles side by side, one row per column."""
-    q = column_quantiles(df, columns, shares).drop("n")
-    return moments(df, columns).join(q, "column", "left")
+    """Moments and exact quantiles side by side, one row per column; the moments ride along with the sketch."""
+    found = quantiles(long_numbers(df, columns), ["column"], "value", shares, also=MOMENTS)
+    return found.select("column", position(columns).alias("pos"), *MOMENT_COLUMNS, *shares)
 
 
 def missing_counts(df: DataFrame) -> DataFrame:

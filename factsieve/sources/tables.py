@@ -17,6 +17,8 @@ def spread(df: DataFrame) -> DataFrame:
     A file with a single row group is one task however many cores there are.
     Inputs with enough bytes to fill the cluster are left as they are.
     """
+    if not hasattr(df, "_jdf"):  # a remote session: the plan's size is not at hand
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if 1_000_000 < size < cores * BYTES_PER_TASK else df
