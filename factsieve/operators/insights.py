@@ -156,7 +156,7 @@ RULES = [correlation, missing, dominance, skewed, group_gap, trend, outliers, du
 
 def insights(df: DataFrame, limit: int = 12, facts: Facts | None = None) -> DataFrame:
     """All findings: warnings first, then by kind."""
-    facts = facts or Facts(df)
+    facts = (facts or Facts(df)).warm()
     found = reduce(DataFrame.unionByName, [rule(facts) for rule in RULES])
     return (found.orderBy(F.when(F.col("severity") == "warning", 0).otherwise(1), "kind", "pos", "title").limit(limit)
             .select("kind", "title", "columns", "severity", "metric"))

@@ -71,7 +71,7 @@ def dataset_summary(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     facts = facts or Facts(df)
     listed = [F.lit(",".join(facts.with_role(r))).alias(f"{r}_columns") for r in ROLES]
     width = len(df.columns)
-    missing = missing_counts(df).agg(F.sum("missing").alias("missing_cells"))
+    missing = facts.missing.agg(F.sum("missing").alias("missing_cells"))
     size = logical_bytes(df).agg(F.sum("bytes").alias("logical_bytes"))
     one_row = side_by_side(facts.duplicates, missing, size)
     return one_row.select(
@@ -83,7 +83,7 @@ def dataset_summary(df: DataFrame, facts: Facts | None = None) -> DataFrame:
 
 def full_profile(df: DataFrame, max_columns: int = 200, facts: Facts | None = None) -> DataFrame:
     """One row per column with everything known about it; ``truncated`` tells of columns beyond the limit."""
-    facts = facts or Facts(df)
+    facts = (facts or Facts(df)).warm()
     base = facts.columns.where(F.col("pos") < max_columns)
     tops = top_of(facts.counts, 10)
     tops = tops.groupBy("column").agg(

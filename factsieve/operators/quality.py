@@ -138,7 +138,7 @@ class Quality:
         """One row per column: facts, outlier count and one boolean per issue kind."""
         if self._checks is not None:
             return self._checks
-        base = self.facts.columns
+        base = self.facts.warm().columns
         if self.facts.with_role("numeric"):
             base = base.join(outlier_counts(self.df, self.facts.numbers).select("column", "outliers"), "column", "left")
         else:

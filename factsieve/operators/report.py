@@ -18,7 +18,7 @@ from factsieve.plans.frequency import top_of
 
 def describe_all(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     """column, count and the numbers that fit its kind: mean … max, or unique, top, freq."""
-    facts = facts or Facts(df)
+    facts = (facts or Facts(df)).warm()
     base = facts.columns
     tops = top_of(facts.counts, 1).select("column", "shown", "cnt")
     out = base.join(tops, "column", "left")
@@ -43,7 +43,7 @@ def _section(df: DataFrame, name: str, order: list[Column], item: Column, value:
 def report_facts(df: DataFrame, operations: list[dict] | None = None, runs: list[DataFrame] | None = None,
                  facts: Facts | None = None) -> DataFrame:
     """section, ord, item, value: overview, issues, operations, description, correlations, insights, model runs."""
-    facts = facts or Facts(df)
+    facts = (facts or Facts(df)).warm()
     spark = df.sparkSession
     summary = dataset_summary(df, facts)
     fields = [f.name for f in summary.schema.fields]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.functions.columns import string_columns
+from factsieve.functions.columns import numeric_columns, string_columns
 from factsieve.operators.roles import column_roles
 from factsieve.plans.frequency import distinct_counts, value_counts
 from factsieve.plans.moments import missing_counts, with_quantiles
@@ -21,6 +22,19 @@ class Facts:
     def __init__(self, df: DataFrame):
         self.df = df
 
+    def warm(self) -> Facts:
+        """Computes the facts that do not depend on each other as concurrent jobs, so that none waits for the tail of another."""
+        own = [lambda: self.counts, lambda: self.duplicates, lambda: self.missing]
+        if numeric_columns(self.df):
+            own.append(lambda: self.numbers)
+        with ThreadPoolExecutor(len(own)) as pool:
+            list(pool.map(lambda compute: compute(), own))
+        return self
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        return materialize(missing_counts(self.df), "missing")
+
     @cached_property
     def counts(self) -> DataFrame:
         return materialize(value_counts(self.df), "counts")
@@ -38,7 +52,7 @@ class Facts:
     def columns(self) -> DataFrame:
         """column, pos, role, n_rows, missing, n_distinct, top_count: one row per column."""
         roles = self.df.sparkSession.createDataFrame(list(self.roles.items()), "column string, role string")
-        joined = (missing_counts(self.df).join(roles, "column")
+        joined = (self.missing.join(roles, "column")
                   .join(distinct_counts(self.counts), "column", "left"))
         return materialize(joined.select(
             "column", "pos", "role", "n_rows", "missing",
@@ -48,7 +62,7 @@ class Facts:
     @cached_property
     def numbers(self) -> DataFrame:
         """Moments and quartiles of the numeric columns."""
-        names = self.with_role("numeric")
+        names = numeric_columns(self.df)  # exactly the columns of role numeric
         if not names:
             raise ValueError("No numeric columns available.")
         return materialize(with_quantiles(self.df, names).coalesce(1), "numbers")
