@@ -149,7 +149,23 @@ k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS
 v AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, label) AS r FROM k WHERE r <= 5 GROUP BY vec_id, label)
 SELECT vec_id, label AS prediction FROM v WHERE r = 1"""
 
+def refused(target: str, task: str, outcome: str) -> str:
+    text = outcome.replace("'", "''")
+    return f"SELECT '{target}' AS target, '{task}' AS task, NULL::BIGINT AS n, NULL::BIGINT AS classes, '{text}' AS outcome"
+
+
+GUARD_SQL = WITH_BASE + union_sql([
+    "SELECT 'o_totalprice' AS target, 'regression' AS task, count(o_totalprice) AS n, 0::BIGINT AS classes, 'ok' AS outcome FROM base",
+    "SELECT 'o_orderpriority', 'classification', count(o_orderpriority), count(DISTINCT o_orderpriority), 'ok' FROM base",
+    refused("o_orderdate", "regression", "'o_orderdate' is a datetime column, which cannot be a prediction target."),
+    refused("raw_date", "classification", "'raw_date' is a datetime column, which cannot be a prediction target."),
+    refused("currency", "classification", "Classification target needs at least 2 classes."),
+    refused("nope", "regression", "Target 'nope' not found."),
+    refused("is_gift", "regression", "Regression target needs at least 5 distinct values."),
+    refused("o_custkey", "classification", "Target has more than 20 classes.")])
+
 ORACLE = {
+    "ml_guard": GUARD_SQL,
     "suggest_targets": FACT_ROWS + """, c AS (SELECT *, missing * 100.0::DOUBLE / n AS pct, CASE
   WHEN role = 'numeric' AND u < 5 THEN 'few_values' WHEN role = 'numeric' AND missing * 100.0 / n > 30 THEN 'too_many_missing'
   WHEN role = 'numeric' THEN 'continuous' WHEN role NOT IN ('categorical', 'boolean') THEN 'not_a_target' WHEN u < 2 THEN 'one_class'

@@ -167,7 +167,21 @@ QUERIES = {
     "duplicate_rows": lambda s, d: profile.duplicate_rows(dirty_orders(s, d)),
 }
 
+WIDTHS = {"customer": 5, "part": 6, "supplier": 4, "orders": 6, "lineitem": 11}
+
 ORACLE = {
+    "csv_roundtrip": "SELECT * FROM customer",
+    "csv_delimiter": union_sql([
+        f"SELECT '{t}' AS input, '{sep}' AS delimiter, {WIDTHS[t]}::BIGINT AS columns, count(*) > 0 AS found FROM {t}"
+        for t, sep in zip(("customer", "part", "supplier", "orders"), files.SEPARATORS)]),
+    "csv_encoding": union_sql([f"SELECT '{w}' AS written, '{e}' AS encoding, count(*) > 0 AS found FROM part"
+                               for w, e in (("UTF-8", "utf-8"), ("ISO-8859-1", "iso-8859-1"))]),
+    "load_guard": union_sql([
+        f"SELECT '{t}{label}' AS input, {WIDTHS[t]}::BIGINT AS n_columns, CASE WHEN count(*) > 0 THEN '{outcome}' END AS outcome FROM {t}"
+        for t in ("customer", "part", "orders", "lineitem") for label, outcome in (
+            ("", "ok"), ("/none", "The input has headers but no data rows."),
+            ("/wide", f"Input has {WIDTHS[t]} columns which exceeds the limit of 2."))]),
+    "sink_roundtrip": "SELECT k.sink, s.* FROM supplier s, (VALUES ('parquet'), ('csv'), ('json'), ('orc')) k(sink)",
     "normalized_names": "SELECT n_nationkey AS n_key, n_name AS name, n_regionkey AS name_1 FROM nation",
     "coerce_datetime": WITH_BASE + "SELECT o_orderkey, TRY_CAST(raw_date AS TIMESTAMP) AS raw_date, raw_amount FROM base",
     "logical_bytes": WITH_DIRTY + bytes_sql(),
