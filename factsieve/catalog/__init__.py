@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from importlib import import_module
+from factsieve.catalog import (chart_queries, clean_queries, insight_queries, ml_queries, profile_queries, quality_queries, stat_queries,
+                               stream_queries)
 
-FAMILIES = ["profile_queries", "quality_queries", "clean_queries", "chart_queries", "stat_queries", "insight_queries",
-            "ml_queries", "stream_queries"]
+FAMILIES = (profile_queries, quality_queries, clean_queries, chart_queries, stat_queries, insight_queries, ml_queries, stream_queries)
 
 
 def _collect(name: str) -> dict:
     out: dict = {}
     for family in FAMILIES:
-        try:
-            module = import_module(f"factsieve.catalog.{family}")
-        except ModuleNotFoundError as e:
-            if family in str(e):
-                continue
-            raise
-        out.update(getattr(module, name))
+        out.update(getattr(family, name))
     return out
 
 

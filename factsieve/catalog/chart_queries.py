@@ -87,7 +87,7 @@ QUERIES = {
     "bivariate_corr": lambda s, d: rounded(eda.bivariate(dirty_orders(s, d), "o_custkey", "o_totalprice")[1]),
     "group_means": lambda s, d: rounded(eda.bivariate(dirty_orders(s, d), "o_orderpriority", "o_totalprice")[1], 4),
     "crosstab": lambda s, d: eda.bivariate(dirty_orders(s, d), "o_orderpriority", "o_orderstatus")[1],
-    "crosstab_wide": lambda s, d: eda.crosstab(table(s, d, "part"), "p_brand", "p_size"),
+    "crosstab_wide": lambda s, d: eda.crosstab(table(s, d, "part"), "p_brand", "p_size", top_x=15, top_y=8),
     "chart_histogram": lambda s, d: rounded(charts.build_chart(table(s, d, "lineitem"), {"type": "histogram", "x": "l_extendedprice"})),
     "chart_box": lambda s, d: rounded(charts.build_chart(dirty_orders(s, d), {"type": "box", "y": "o_totalprice"})),
     "chart_box_grouped": lambda s, d: rounded(charts.build_chart(dirty_orders(s, d), {

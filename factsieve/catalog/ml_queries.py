@@ -13,15 +13,13 @@ from factsieve.operators.neighbors import knn_predict
 from factsieve.plans.store import new_path
 
 PREPARED = ["o_totalprice", "o_orderdate", "o_orderstatus", "is_gift"]
-SMALL = {"random_forest": {"numTrees": 20, "maxDepth": 8}, "gradient_boosting": {"maxIter": 10},
-         "logistic": {"maxIter": 50}}
 
 
 def vectors(s, d):
     """embeddings with the array spread over columns."""
     e = table(s, d, "embeddings")
-    width = len(e.select("embedding").first()[0])
-    return e.select("vec_id", "label", *[e["embedding"][i].cast("double").alias(f"e{i:03d}") for i in range(width)])
+    width = e.agg(F.max(F.size("embedding"))).first()[0] or 0  # of the longest, so that no vector loses its tail
+    return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i:03d}") for i in range(width)])
 
 
 def q_features(s, d):
@@ -36,14 +34,12 @@ def q_knn(s, d):
     return found.select(F.col("id").cast("long").alias("vec_id"), "prediction")
 
 
-def orders_for_regression(s, d):
-    return table(s, d, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"), "l_quantity", "l_discount", "l_tax",
-        "l_returnflag", "l_shipdate", "l_extendedprice")
+def prices(s, d):
+    return table(s, d, "part").select("p_partkey", "p_size", "p_brand", "p_type", "p_retailprice")
 
 
-def events_for_classes(s, d):
-    return table(s, d, "events").select("event_id", "user_id", "ts", "value", "event_type")
+def segments(s, d):
+    return table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
 
 
 def guard(s, d):
@@ -60,35 +56,38 @@ def guard(s, d):
 
 
 def q_regression(s, d):
-    return ml.train_models(orders_for_regression(s, d), "l_extendedprice", "regression", ["row_key"], cv=0,
-                           models=["linear", "random_forest", "gradient_boosting"], params=SMALL).results
+    return ml.train_models(prices(s, d), "p_retailprice", "regression", ["p_partkey"]).results
 
 
 def q_classification(s, d):
-    return ml.train_models(events_for_classes(s, d), "event_type", "classification", ["event_id"], cv=0,
-                           models=["logistic", "decision_tree", "random_forest"],
-                           params={**SMALL, "decision_tree": {"maxDepth": 8}}).results
+    return ml.train_models(segments(s, d), "c_mktsegment", "classification", ["c_custkey"]).results
 
 
 def q_compare(s, d):
-    return ml.train_models(vectors(s, d), "label", "classification", ["vec_id"], cv=0,
-                           models=["logistic", "knn", "random_forest"], params=SMALL).results
+    return ml.train_models(vectors(s, d), "label", "classification", ["vec_id"], models=["logistic", "knn", "decision_tree"]).results
+
+
+def q_boosting(s, d):
+    """Boosted trees of two classes, scored on all events."""
+    data = table(s, d, "events").select("event_id", "user_id", "value", (F.col("event_type") == "purchase").alias("bought"))
+    return ml.train_models(data, "bought", "classification", ["event_id"], models=["gradient_boosting"], cv=0).results
 
 
 def q_cv(s, d):
-    return ml.train_models(orders_for_regression(s, d), "l_extendedprice", "regression", ["row_key"], cv=3,
-                           models=["linear"]).results
+    data = table(s, d, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"), "l_quantity", "l_discount", "l_tax",
+        "l_returnflag", "l_shipdate", "l_extendedprice")
+    return ml.train_models(data, "l_extendedprice", "regression", ["row_key"], models=["linear"]).results
 
 
 def q_importance(s, d):
-    run = ml.train_models(orders_for_regression(s, d), "l_extendedprice", "regression", ["row_key"], cv=0,
-                          models=["random_forest"], params=SMALL)
+    run = ml.train_models(prices(s, d), "p_retailprice", "regression", ["p_partkey"], models=["random_forest"], cv=0)
     return ml.importance_table(s, run.best_model)
 
 
 def q_batch_predict(s, d):
     data = table(s, d, "events").select("event_id", "user_id", "value", (F.col("event_type") == "purchase").alias("bought"))
-    run = ml.train_models(data, "bought", "classification", ["event_id"], cv=0, models=["logistic"], params=SMALL)
+    run = ml.train_models(data, "bought", "classification", ["event_id"], models=["logistic"], cv=0)
     path = run.best_model.save(s, new_path(s, "model"))
     loaded = ml.TrainedModel.load(s, path)
     return loaded.predict(data, ["event_id"]).select("event_id", "prediction", F.element_at("probabilities", F.lit("true")).alias("p_true"))
@@ -112,6 +111,7 @@ QUERIES = {
     "ml_classification": q_classification,
     "ml_cv": q_cv,
     "ml_compare": q_compare,
+    "ml_boosting": q_boosting,
     "ml_importance": q_importance,
     "ml_batch_predict": q_batch_predict,
 }
@@ -157,12 +157,12 @@ def refused(target: str, task: str, outcome: str) -> str:
 GUARD_SQL = WITH_BASE + union_sql([
     "SELECT 'o_totalprice' AS target, 'regression' AS task, count(o_totalprice) AS n, 0::BIGINT AS classes, 'ok' AS outcome FROM base",
     "SELECT 'o_orderpriority', 'classification', count(o_orderpriority), count(DISTINCT o_orderpriority), 'ok' FROM base",
-    refused("o_orderdate", "regression", "'o_orderdate' is a datetime column, which cannot be a prediction target."),
-    refused("raw_date", "classification", "'raw_date' is a datetime column, which cannot be a prediction target."),
-    refused("currency", "classification", "Classification target needs at least 2 classes."),
-    refused("nope", "regression", "Target 'nope' not found."),
-    refused("is_gift", "regression", "Regression target needs at least 5 distinct values."),
-    refused("o_custkey", "classification", "Target has more than 20 classes.")])
+    refused("o_orderdate", "regression", "'o_orderdate' has the role datetime, models learn numbers and labels"),
+    refused("raw_date", "classification", "'raw_date' has the role datetime, models learn numbers and labels"),
+    refused("currency", "classification", "'currency' has one label only"),
+    refused("nope", "regression", "the table has no column 'nope' to learn"),
+    refused("is_gift", "regression", "'is_gift' takes fewer than 5 values, learn it as labels"),
+    refused("o_custkey", "classification", "'o_custkey' has over 20 labels")])
 
 ORACLE = {
     "ml_guard": GUARD_SQL,

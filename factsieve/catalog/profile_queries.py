@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from factsieve.catalog.inputs import WITH_BASE, WITH_DIRTY, dirty_base, dirty_orders, table
 from factsieve.catalog.shape import rounded, union_sql
 from factsieve.operators import browse, profile, roles
+from factsieve.catalog import file_checks
 from factsieve.sources import files, tables
 
 DIRTY = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus", "o_orderdate", "raw_amount",
@@ -137,11 +138,13 @@ DIRTY_TEXT_ROWS = " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), 'nan')" fo
                                      ["o_orderpriority", "o_orderstatus", "raw_amount", "currency", "empty_note"])
 
 QUERIES = {
-    "csv_roundtrip": lambda s, d: files.csv_roundtrip(table(s, d, "customer")),
-    "csv_delimiter": lambda s, d: files.delimiter_demo({n: table(s, d, n) for n in ("customer", "part", "supplier", "orders")}),
-    "csv_encoding": lambda s, d: files.encoding_demo(table(s, d, "part").select("p_partkey", "p_name")),
-    "load_guard": lambda s, d: files.guard_report({n: table(s, d, n) for n in ("customer", "part", "orders", "lineitem")}),
-    "sink_roundtrip": lambda s, d: files.sink_roundtrip(table(s, d, "supplier")),
+    "csv_roundtrip": lambda s, d: file_checks.csv_roundtrip(table(s, d, "customer")),
+    "csv_delimiter": lambda s, d: file_checks.delimiter_demo({n: table(s, d, n) for n in ("customer", "part", "supplier", "orders")}),
+    "csv_encoding": lambda s, d: file_checks.encoding_demo(table(s, d, "part").select("p_partkey", "p_name")),
+    "load_guard": lambda s, d: file_checks.guard_report({n: table(s, d, n) for n in ("customer", "part", "orders", "lineitem")}),
+    "csv_latin1": lambda s, d: file_checks.latin1(table(s, d, "customer"), "c_name"),
+    "csv_mixed_folder": lambda s, d: file_checks.mixed_folder(table(s, d, "customer"), "c_custkey", "c_name"),
+    "sink_roundtrip": lambda s, d: file_checks.sink_roundtrip(table(s, d, "supplier")),
     "normalized_names": q_normalized_names,
     "coerce_datetime": q_coerce_datetime,
     "logical_bytes": lambda s, d: tables.logical_bytes(dirty_orders(s, d)),
@@ -181,6 +184,8 @@ ORACLE = {
         for t in ("customer", "part", "orders", "lineitem") for label, outcome in (
             ("", "ok"), ("/none", "The input has headers but no data rows."),
             ("/wide", f"Input has {WIDTHS[t]} columns which exceeds the limit of 2."))]),
+    "csv_latin1": "SELECT * REPLACE ('café ' || c_name AS c_name) FROM customer",
+    "csv_mixed_folder": "SELECT * REPLACE ('café ' || c_name AS c_name) FROM customer",
     "sink_roundtrip": "SELECT k.sink, s.* FROM supplier s, (VALUES ('parquet'), ('csv'), ('json'), ('orc')) k(sink)",
     "normalized_names": "SELECT n_nationkey AS n_key, n_name AS name, n_regionkey AS name_1 FROM nation",
     "coerce_datetime": WITH_BASE + "SELECT o_orderkey, TRY_CAST(raw_date AS TIMESTAMP) AS raw_date, raw_amount FROM base",

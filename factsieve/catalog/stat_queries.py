@@ -80,6 +80,7 @@ QUERIES = {
     "chi_square": lambda s, d: rounded(stats.chi_square(table(s, d, "lineitem"), "l_returnflag", "l_linestatus")),
     "chi_square_missing": lambda s, d: rounded(stats.chi_square(dirty_orders(s, d), "o_orderstatus", "is_gift")),
     "anova": lambda s, d: rounded(stats.anova(table(s, d, "events"), "value", "event_type")),
+    "anova_brands": lambda s, d: rounded(stats.anova(table(s, d, "part"), "p_retailprice", "p_brand")),
     "anova_groups": lambda s, d: rounded(stats.anova_groups(dirty_orders(s, d), "o_totalprice", "o_orderpriority"), 2),
 }
 
@@ -98,6 +99,17 @@ p AS (SELECT chi2, dof, n_rows, n_cols, small_expected,
 SELECT round(chi2, 6) AS chi2, dof, round(p_value, 6) AS p_value, n_rows, n_cols, small_expected, {VERDICT} FROM p"""
 
 
+def anova_sql(source: str, value: str, group: str) -> str:
+    return f"""WITH g AS (SELECT {group} AS g, count({value}) AS n, avg({value}) AS m, var_samp({value}) AS v FROM {source} GROUP BY 1 HAVING count({value}) >= 2),
+t AS (SELECT sum(n * m) / sum(n) AS c FROM g),
+s AS (SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS n, (count(*) - 1)::DOUBLE AS d1, (sum(n) - count(*))::DOUBLE AS d2,
+  (sum(n * pow(m - c, 2)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) AS f FROM g, t),
+i AS (SELECT *, asin(sqrt(d2 / (d2 + d1 * f))) / 20000 AS h, unnest(range(20001)) AS i FROM s),
+p AS (SELECT groups, n, f AS f_stat, d1, d2, 2 * exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2)) * max(h) / 3
+  * sum((CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(sin(i * h), d2 - 1) * pow(cos(i * h), d1 - 1)) AS p_value FROM i GROUP BY groups, n, f, d1, d2)
+SELECT groups, n, round(f_stat, 6) AS f_stat, round(p_value, 6) AS p_value, d1, d2, false AS truncated, {VERDICT} FROM p"""
+
+
 ORACLE = {
     "descriptive": union_sql([f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 7) AS mean, round(stddev_samp({c}), 7) AS std,
   round(min({c})::DOUBLE, 7) AS min, """ + ", ".join(
@@ -123,14 +135,8 @@ x AS (SELECT a.segment, a.g AS a, b.g AS b, a.m AS ma, b.m AS mb, a.n AS na, b.n
   FROM g a JOIN g b ON a.segment = b.segment AND a.k = 1 AND b.k = 2)""" + welch_sql("x", "segment"),
     "chi_square": chi_sql("WITH", "lineitem", "l_returnflag", "l_linestatus"),
     "chi_square_missing": chi_sql(WITH_DIRTY + ", ", "dirty", "coalesce(o_orderstatus, 'nan')", "is_gift::VARCHAR"),
-    "anova": f"""WITH g AS (SELECT event_type AS g, count(value) AS n, avg(value) AS m, var_samp(value) AS v FROM events GROUP BY 1 HAVING count(value) >= 2 ORDER BY 1 LIMIT 12),
-t AS (SELECT sum(n * m) / sum(n) AS c FROM g),
-s AS (SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS n, (count(*) - 1)::DOUBLE AS d1, (sum(n) - count(*))::DOUBLE AS d2,
-  (sum(n * pow(m - c, 2)) / (count(*) - 1)) / (sum((n - 1) * v) / (sum(n) - count(*))) AS f FROM g, t),
-i AS (SELECT *, asin(sqrt(d2 / (d2 + d1 * f))) / 20000 AS h, unnest(range(20001)) AS i FROM s),
-p AS (SELECT groups, n, f AS f_stat, d1, d2, 2 * exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2)) * max(h) / 3
-  * sum((CASE WHEN i = 0 OR i = 20000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(sin(i * h), d2 - 1) * pow(cos(i * h), d1 - 1)) AS p_value FROM i GROUP BY groups, n, f, d1, d2)
-SELECT groups, n, round(f_stat, 6) AS f_stat, round(p_value, 6) AS p_value, d1, d2, false AS truncated, {VERDICT} FROM p""",
+    "anova": anova_sql("events", "value", "event_type"),
+    "anova_brands": anova_sql("part", "p_retailprice", "p_brand"),
     "anova_groups": WITH_DIRTY + """SELECT coalesce(o_orderpriority, 'nan') AS "group", count(o_totalprice) AS n, round(avg(o_totalprice), 2) AS mean,
-  round(var_samp(o_totalprice), 2) AS var FROM dirty WHERE o_totalprice IS NOT NULL GROUP BY 1 HAVING count(o_totalprice) >= 2 ORDER BY 1 LIMIT 12""",
+  round(var_samp(o_totalprice), 2) AS var FROM dirty WHERE o_totalprice IS NOT NULL GROUP BY 1 HAVING count(o_totalprice) >= 2""",
 }

@@ -15,15 +15,22 @@ EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 # Date shapes tried in this order: (pattern the text must match, Spark format or None for ISO).
 DATE_SHAPES = [
     (r"^\d{4}-\d{1,2}-\d{1,2}([ T].*)?$", None),
+    (r"^(19|20)\d{6}$", "yyyyMMdd"),
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
     (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}:\d{2}$", "y/M/d H:mm:ss"),
     (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4}$", "M/d/y"),
     (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4}$", "d/M/y"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/y H:mm"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/y H:mm:ss"),
+    (r"^\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d{2}$", "y/M/d H:mm"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/y H:mm"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/y H:mm:ss"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "d/M/y H:mm"),
+    (r"^(1[3-9]|2\d|3[01])/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "d/M/y H:mm:ss"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4} \d{1,2}:\d{2} [AP]M$", "M/d/y h:mm a"),
+    (r"^(0?[1-9]|1[0-2])/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M$", "M/d/y h:mm:ss a"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-y"),
     (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.y"),
     (r"^\d{1,2} [A-Z][a-z]{2} \d{4}$", "d MMM y"),
+    (r"^\d{1,2} [A-Z][a-z]{3,8} \d{4}$", "d MMMM y"),
     (r"^\d{1,2}-[A-Z][a-z]{2}-\d{4}$", "d-MMM-y"),
     (r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$", "MMM d, y"),
     (r"^[A-Z][a-z]{3,8} \d{1,2}, \d{4}$", "MMMM d, y"),
@@ -88,6 +95,12 @@ def finite(name: str) -> Column:
     return F.expr(finite_sql(name))
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """Value of a column, null where it is missing: NaN and infinities count as missing."""
+    t = field_type(df, name)
+    return finite(name).cast(t) if isinstance(t, (T.FloatType, T.DoubleType)) else ref(name)
+
+
 def number_from_text(c: Column) -> Column:
     """Numeric value of a text, null where it is not wholly a number."""
     return F.when(c.rlike(NUMBER_TEXT), F.trim(c).try_cast("double"))

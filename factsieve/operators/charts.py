@@ -27,7 +27,7 @@ def histogram(df: DataFrame, column: str, bins: int = 30, clamp: bool = True) ->
     x = as_number(df, column)
     span = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
     if span["lo"] is None:
-        raise ValueError(f"'{column}' has no numeric values to plot.")
+        raise ValueError(f"{column!r} holds no number")
     lo, hi = span["lo"], span["hi"]
     if lo == hi:
         lo, hi = lo - 0.5, hi + 0.5
@@ -132,7 +132,7 @@ def time_series(df: DataFrame, time: str, y: str, agg: str = "mean", period: str
     t = as_time(df, time)
     span = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
     if span["lo"] is None:
-        raise ValueError("No valid dates to plot.")
+        raise ValueError(f"{time!r} holds no date")
     period = period or choose_period((span["hi"] - span["lo"]).days)
     values = df.where(t.isNotNull()).select(
         period_label(period_start(t, period), period).alias("period"), as_number(df, y).alias("value"))
@@ -155,35 +155,54 @@ def pie(df: DataFrame, x: str, null_label: str = NULL_LABEL) -> DataFrame:
     """x, count; more than 12 categories are refused."""
     counts = frequency(df, x, PIE_SLICES + 1, null_label)
     if counts.count() > PIE_SLICES:
-        raise ValueError(f"'{x}' has more than {PIE_SLICES} categories, use a bar chart instead.")
+        raise ValueError(f"a pie of {x!r} would have over {PIE_SLICES} slices")
     return counts
 
 
-def build_chart(df: DataFrame, spec: dict) -> DataFrame:
-    """The data of a chart from a dict of options: type, x, y, group, agg, bins, top_n, key, method."""
-    kind, x, y, group = (spec.get("type") or "bar").lower(), spec.get("x"), spec.get("y"), spec.get("group")
-    agg, top_n = (spec.get("agg") or "mean").lower(), int(spec.get("top_n") or 15)
-    if kind == "histogram":
-        return histogram(df, x or y, int(spec.get("bins") or 30))
-    if kind == "box":
-        return box_grouped(df, y, group) if group else box(df, y)
-    if kind == "scatter":
-        return scatter(df, x, y, spec.get("key") or df.columns, group)
-    if kind in ("pie", "donut"):
-        return pie(df, x or group)
-    if kind == "heatmap":
-        from factsieve.operators.eda import correlation_matrix
-        return correlation_matrix(df, spec.get("method") or "pearson")
-    if kind not in ("bar", "line", "area"):
-        raise ValueError(f"Unknown chart type '{kind}'.")
-    if not y or not is_numeric(df, y):
+def _heatmap(df: DataFrame, method: str = "pearson") -> DataFrame:
+    from factsieve.operators.eda import correlation_matrix
+
+    return correlation_matrix(df, method)
+
+
+def _by_x(df: DataFrame, x: str, y: str | None = None, group: str | None = None, agg: str = "mean", top_n: int = 15,
+          in_order: bool = False) -> DataFrame:
+    """Counts of x without a number to aggregate, else y by x (and group), over time where x is one."""
+    from factsieve.operators.roles import role_map
+
+    if y is None or not is_numeric(df, y):
         return frequency(df, x, top_n)
-    if group:
+    if group is not None:
         return grouped_series(df, x, y, group, agg)
-    from factsieve.operators.roles import role_map
     if role_map(df.select(ref(x)))[x] == "datetime":
         return time_series(df, x, y, agg)
-    out = by_category(df, x, y, agg, top_n)
-    return out if kind == "bar" else out.orderBy("x")
+    bars = by_category(df, x, y, agg, top_n)
+    return bars.orderBy("x") if in_order else bars
+
+
+#: Per kind of chart its table and the options that it takes, required ones first.
+CHARTS = {
+    "histogram": (lambda df, x, bins=30: histogram(df, x, bins), ("x", "bins")),
+    "box": (lambda df, y, group=None: box_grouped(df, y, group) if group else box(df, y), ("y", "group")),
+    "scatter": (lambda df, x, y, key=None, group=None: scatter(df, x, y, key or df.columns, group), ("x", "y", "key", "group")),
+    "pie": (lambda df, x: pie(df, x), ("x",)),
+    "donut": (lambda df, x: pie(df, x), ("x",)),
+    "heatmap": (_heatmap, ("method",)),
+    "bar": (_by_x, ("x", "y", "group", "agg", "top_n")),
+    "line": (lambda df, **o: _by_x(df, **o, in_order=True), ("x", "y", "group", "agg", "top_n")),
+    "area": (lambda df, **o: _by_x(df, **o, in_order=True), ("x", "y", "group", "agg", "top_n")),
+}
+#: Options that stand in for one that is not given.
+STAND_INS = {"histogram": {"x": "y"}, "pie": {"x": "group"}, "donut": {"x": "group"}}
 
 
+def build_chart(df: DataFrame, spec: dict) -> DataFrame:
+    """The table of a chart; ``spec`` holds its ``type`` (a bar chart if none) and that kind's options, empty ones count as not given."""
+    given = {k: v.lower() if k in ("type", "agg") else v for k, v in spec.items() if v not in (None, "")}
+    kind = given.pop("type", "bar")
+    if kind not in CHARTS:
+        raise ValueError(f"no chart is of type {kind!r}; known are {sorted(CHARTS)}")
+    table, options = CHARTS[kind]
+    for option, other in STAND_INS.get(kind, {}).items():
+        given.setdefault(option, given.get(other))
+    return table(df, **{o: int(given[o]) if o in ("bins", "top_n") else given[o] for o in options if o in given})

@@ -154,9 +154,9 @@ def identifier(facts: Facts) -> DataFrame:
 RULES = [correlation, missing, dominance, skewed, group_gap, trend, outliers, duplicates, identifier]
 
 
-def insights(df: DataFrame, limit: int = 12, facts: Facts | None = None) -> DataFrame:
-    """All findings: warnings first, then by kind."""
+def insights(df: DataFrame, limit: int | None = None, facts: Facts | None = None) -> DataFrame:
+    """All findings, or the first ``limit``: warnings first, then by kind."""
     facts = (facts or Facts(df)).warm()
     found = reduce(DataFrame.unionByName, [rule(facts) for rule in RULES])
-    return (found.orderBy(F.when(F.col("severity") == "warning", 0).otherwise(1), "kind", "pos", "title").limit(limit)
-            .select("kind", "title", "columns", "severity", "metric"))
+    ranked = found.orderBy(F.when(F.col("severity") == "warning", 0).otherwise(1), "kind", "pos", "title")
+    return (ranked if limit is None else ranked.limit(limit)).select("kind", "title", "columns", "severity", "metric")

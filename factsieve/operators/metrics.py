@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factsieve.functions.columns import ref
+from factsieve.functions.columns import group_key, ref
 from factsieve.plans.ordering import running_total
 from factsieve.plans.store import materialize
 
@@ -26,13 +26,14 @@ def label_pairs(df: DataFrame, label: str, prediction: str) -> DataFrame:
         F.count(F.lit(1)).alias("count"))
 
 
-def confusion_matrix(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    """label, prediction, count for every pair of labels, zero cells included."""
-    pairs = materialize(label_pairs(df, label, prediction), "confusion")
-    seen = pairs.select(F.explode(F.array("label", "prediction")).alias("v")).distinct().limit(MAX_LABELS + 1)
+def confusion_matrix(df: DataFrame, label: str, prediction: str, max_labels: int = MAX_LABELS) -> DataFrame:
+    """label, prediction, count for every pair of labels, zero cells included; a missing label or prediction is the label ``nan``."""
+    named = df.select(group_key(ref(label)).alias("label"), group_key(ref(prediction)).alias("prediction"))
+    pairs = materialize(label_pairs(named, "label", "prediction"), "confusion")
+    seen = pairs.select(F.explode(F.array("label", "prediction")).alias("v")).distinct().limit(max_labels + 1)
     labels = [r["v"] for r in seen.orderBy("v").collect()]
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"More than {MAX_LABELS} labels.")
+    if len(labels) > max_labels:
+        raise ValueError(f"More than {max_labels} labels.")
     spine = df.sparkSession.createDataFrame([(a, b) for a in labels for b in labels], "label string, prediction string")
     return spine.join(pairs, ["label", "prediction"], "left").select("label", "prediction", F.coalesce("count", F.lit(0)).alias("count"))
 

@@ -219,10 +219,11 @@ class Quality:
             F.lit(ACTIONS["duplicate_rows"]).alias("actions"))
         return issues.unionByName(dup)
 
-    def issues(self, limit: int = 120) -> DataFrame:
-        """The issue list: high before medium before low, then by title."""
+    def issues(self, limit: int | None = None) -> DataFrame:
+        """The issue list, or its first ``limit`` rows: high before medium before low, then by title."""
         rank = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
-        return (self.all_issues().orderBy(rank, "title").limit(limit)
+        ranked = self.all_issues().orderBy(rank, "title")
+        return ((ranked if limit is None else ranked.limit(limit))
                 .select("kind", "column", "severity", "title", "actions"))
 
     def severity_counts(self) -> DataFrame:

@@ -50,23 +50,24 @@ def report_facts(df: DataFrame, operations: list[dict] | None = None, runs: list
     overview = summary.select(F.inline(F.array(*[
         F.struct(F.lit(i).alias("i"), F.lit(c).alias("item"), F.col(c).cast("string").alias("value")) for i, c in enumerate(fields)])))
     severity = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
+    described = describe_all(df, facts).join(facts.columns.select("column", "pos"), "column")
     parts = [
         _section(overview, "overview", [F.col("i")], F.col("item"), F.col("value")),
-        _section(Quality(df, facts).issues(20), "issues", [severity, F.col("title")], F.col("severity"), F.col("title")),
-        _section(describe_all(df, facts).join(facts.columns.select("column", "pos"), "column"), "describe", [F.col("pos")],
-                 F.col("column"), F.col("count")),
-        _section(insights(df, 10, facts), "insights",
+        _section(Quality(df, facts).issues(), "issues", [severity, F.col("title")], F.col("severity"), F.col("title")),
+        _section(described, "describe", [F.col("pos")],
+                 F.col("column"), F.to_json(F.struct(*[c for c in described.columns if c not in ("column", "pos")]))),
+        _section(insights(df, facts=facts), "insights",
                  [F.when(F.col("severity") == "warning", 0).otherwise(1), F.col("kind"), F.col("title")],
                  F.col("kind"), F.col("title")),
     ]
     if len(facts.with_role("numeric")) >= 2:
-        top = strongest_pairs(df, k=8, columns=facts.with_role("numeric"))
+        top = strongest_pairs(df, k=None, columns=facts.with_role("numeric"))
         parts.append(_section(top, "correlations", [F.abs("r").desc(), F.col("x"), F.col("y")],
                               F.concat_ws(" ~ ", "x", "y"), F.format_string("%.3f", F.col("r"))))
     if operations:
         ops = spark.createDataFrame([(i, op["op"], op.get("column") or "") for i, op in enumerate(operations)],
                                     "i int, op string, col string")
         parts.append(_section(ops, "operations", [F.col("i")], F.col("op"), F.col("col")))
-    for run in (runs or [])[-3:]:
+    for run in runs or []:
         parts.append(_section(run, "models", [F.col("model")], F.col("model"), F.to_json(F.struct("*"))))
     return reduce(DataFrame.unionByName, parts)

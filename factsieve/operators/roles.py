@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsieve.functions.columns import (NESTED_TYPES, NUMERIC_TYPES, PLAIN_NUMBER, TIME_TYPES, parse_time,
-                                         string_columns)
+from factsieve.functions.columns import NESTED_TYPES, NUMERIC_TYPES, TIME_TYPES, parse_time, string_columns
 from factsieve.plans.frequency import value_counts
 
 
@@ -26,13 +25,11 @@ def schema_roles(df: DataFrame) -> dict[str, str | None]:
 
 def text_roles(counts: DataFrame) -> DataFrame:
     """column, role for text columns, from their frequency table (every value weighs with its count)."""
-    trimmed = F.trim(F.col("shown"))
     weigh = lambda cond: F.sum(F.when(cond, F.col("cnt")).otherwise(0))
     s = counts.groupBy("column").agg(
         F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"),
         F.sum(F.col("chars") * F.col("cnt")).alias("chars"),
-        weigh((F.col("chars") <= 40) & parse_time("shown").isNotNull()).alias("dates"),
-        weigh((F.col("chars") <= 120) & trimmed.rlike(PLAIN_NUMBER)).alias("plain"))
+        weigh(parse_time("bare").isNotNull()).alias("dates"), weigh(F.col("plain")).alias("plain"))
     n, u = F.col("n"), F.col("u")
     datelike = (n >= 3) & (F.col("dates") >= F.greatest(F.lit(3), F.floor(n * 0.7))) & (F.col("plain") / n <= 0.7)
     role = (F.when(datelike, "datetime")

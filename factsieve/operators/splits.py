@@ -51,13 +51,5 @@ def stratified_sample(df: DataFrame, key: list[str], max_rows: int, by: str | No
     return kept.where("_in").drop("_in")
 
 
-def fold_count(cv: int, rows: int) -> int:
-    return min(cv, 3) if rows > 10_000 else min(cv, 5)
-
-
-def forest_size(rows: int) -> int:
-    return 100 if rows > 10_000 else 200
-
-
 def blocks_for(rows: int, size: int) -> int:
     return max(1, math.ceil(rows / size))

@@ -11,14 +11,31 @@ from pyspark.sql import types as T
 from factsieve.functions.columns import ref
 
 
+def _comparable(c: Column, kind: T.DataType) -> Column:
+    """A value whose hash is equal for equal values: maps as sorted entries, -0.0 as 0.0, at any depth."""
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(c == 0, F.lit(0.0).cast(kind)).otherwise(c)
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(
+            _comparable(e["key"], kind.keyType).alias("key"), _comparable(e["value"], kind.valueType).alias("value")))
+        return F.array_sort(entries) if not _holds_map(kind.valueType) else entries
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _comparable(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_comparable(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _holds_map(kind.elementType) or isinstance(
+        kind, T.StructType) and any(_holds_map(f.dataType) for f in kind.fields)
+
+
 def fingerprint(df: DataFrame) -> list[Column]:
     """Two independent 64-bit hashes over all columns and over which of them are null."""
     cells = []
     for f in df.schema.fields:
-        c = ref(f.name)
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            c = F.when(c == 0, F.lit(0.0)).otherwise(c)  # -0.0 equals 0.0
-        cells.append(c)
+        cells.append(_comparable(ref(f.name), f.dataType))
     nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cells])
     return [F.xxhash64(nulls, *cells).alias("_h1"), F.xxhash64(F.lit("second"), *reversed(cells), nulls).alias("_h2")]
 

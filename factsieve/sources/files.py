@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factsieve.functions.columns import ref
-from factsieve.plans.store import new_path
 from factsieve.sources.tables import check_table, normalized_names
 
 # Separators tried, in this order; the first wins a tie.
 SEPARATORS = [",", ";", "\t", "|"]
-SUFFIXES = (".csv", ".csv.gz")
+SUFFIXES = (".csv", ".csv.gz", ".tsv", ".tsv.gz", ".txt", ".txt.gz")
 QUOTED = r'"(?:[^"]|"")*"'
 
 
@@ -55,37 +55,69 @@ def detect_encodings(spark: SparkSession, path: str) -> DataFrame:
                        .otherwise("utf-8").alias("encoding"))
 
 
-def has_line_breaks(spark: SparkSession, path: str) -> bool:
+def has_line_breaks(spark: SparkSession, path: str | list[str]) -> bool:
     """Whether a quoted value runs over a line end somewhere (a line with an odd number of quotes)."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
     return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", delimiter: str | None = None) -> DataFrame:
-    """CSV with a header: names normalised, types inferred.
+def file_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """file, delimiter, encoding of every file."""
+    return detect_delimiters(spark, path).join(detect_encodings(spark, path), "file").select("file", "delimiter", "encoding")
 
-    Files are split over tasks unless some value really holds a line break.
-    """
-    if delimiter is None:
-        found = detect_delimiters(spark, path).groupBy("delimiter").agg(F.count(F.lit(1)).alias("n"))
-        row = found.orderBy(F.desc("n"), "delimiter").first()
-        if row is None:
-            raise ValueError("The input is empty.")
-        delimiter = row["delimiter"]
+
+def _read_alike(spark: SparkSession, path: str | list[str], encoding: str, delimiter: str, infer: bool) -> DataFrame:
+    """Files of one encoding and separator, names as written and normalised."""
     charset = {"utf-8-sig": "utf-8", "latin-1": "iso-8859-1", "cp1252": "iso-8859-1"}.get(encoding, encoding)
     options = {"sep": delimiter, "encoding": charset, "escape": '"', "multiLine": has_line_breaks(spark, path)}
-    df = spark.read.csv(path, header=True, inferSchema=True, **options)
+    df = spark.read.csv(path, header=True, inferSchema=infer, **options)
     names = df.columns
     first = spark.read.csv(path, header=False, **options).first()  # the names as written, before Spark renames repeated ones
     if first is not None and len(first) == len(names):
         names = [v or "" for v in first]
-    return check_table(df.toDF(*normalized_names(names)))
+    return df.toDF(*normalized_names(names))
+
+
+def _common_type(kinds: set[str]) -> str:
+    for family, result in ((("int", "bigint"), "bigint"), (("int", "bigint", "double"), "double"), (("date", "timestamp"), "timestamp")):
+        if kinds <= set(family):
+            return result
+    return kinds.pop() if len(kinds) == 1 else "string"
+
+
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
+    """CSV with a header: names normalised, types inferred.
+
+    Encoding and separator are found per file unless given; files that agree are read together, and the groups are united by
+    name in their common types.  Files of one kind have the same header.  Files are split over tasks unless some value really
+    holds a line break.
+    """
+    check_path(path)
+    if encoding and delimiter:
+        return check_table(_read_alike(spark, path, encoding, delimiter, True))
+    kinds = file_kinds(spark, path).groupBy(
+        F.lit(delimiter).alias("delimiter") if delimiter else F.col("delimiter"),
+        F.lit(encoding).alias("encoding") if encoding else F.col("encoding")).agg(F.sort_array(F.collect_list("file")).alias("files"))
+    groups = kinds.orderBy(F.desc(F.size("files")), "delimiter", "encoding").collect()
+    if not groups:
+        raise ValueError("The input is empty.")
+    if len(groups) == 1:
+        return check_table(_read_alike(spark, path, groups[0]["encoding"], groups[0]["delimiter"], True))
+    parts = [([unquote(f) for f in g["files"]], g["encoding"], g["delimiter"]) for g in groups]
+    typed = [_read_alike(spark, *p, True).dtypes for p in parts]
+    kinds_of: dict[str, set[str]] = {}
+    for name, kind in (c for t in typed for c in t):
+        kinds_of.setdefault(name, set()).add(kind)
+    texts = [_read_alike(spark, *p, False) for p in parts]
+    united = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), texts)
+    return check_table(united.select(*[ref(c).try_cast(_common_type(kinds_of[c])).alias(c) for c in united.columns]))
 
 
 def check_path(path: str) -> str:
-    """Refuses other file kinds than those that can be read."""
-    if not path.lower().rstrip("/").endswith(SUFFIXES + (".parquet", ".json", ".orc")):
-        raise ValueError("Unsupported file type.")
+    """Refuses a file whose ending tells that it holds no delimited text; folders and patterns pass."""
+    name = path.rstrip("/").rsplit("/", 1)[-1].lower()
+    if "." in name and not any(c in name for c in "*?{[") and not name.endswith(SUFFIXES):
+        raise ValueError(f"'{name}' is no delimited text file; known endings are {', '.join(SUFFIXES)}.")
     return path
 
 
@@ -96,59 +128,3 @@ def write(df: DataFrame, path: str, kind: str = "parquet") -> str:
     options = {"header": "true", "escape": '"'} if kind == "csv" else {}
     df.write.format(kind).options(**options).save(path)
     return path
-
-
-def csv_roundtrip(df: DataFrame) -> DataFrame:
-    """What comes back after writing ``df`` as CSV, in the types it had."""
-    back = read_csv(df.sparkSession, write(df, new_path(df.sparkSession, "csv"), "csv"))
-    return back.select(*[ref(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields])
-
-
-def delimiter_demo(inputs: dict[str, DataFrame]) -> DataFrame:
-    """Writes each input with its own separator and reports what is detected per input."""
-    parts = []
-    for sep, (name, df) in zip(SEPARATORS, inputs.items()):
-        path = new_path(df.sparkSession, "delimited")
-        df.write.csv(path, header=True, sep=sep)
-        found = detect_delimiters(df.sparkSession, path)
-        parts.append(found.groupBy("delimiter", "columns").agg(F.count(F.lit(1)).alias("files"))
-                     .select(F.lit(name).alias("input"), "delimiter", "columns", (F.col("files") > 0).alias("found")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def encoding_demo(df: DataFrame) -> DataFrame:
-    """Writes texts with an accented letter in two encodings and reports what is detected."""
-    text = F.concat_ws(",", *[ref(c).cast("string") for c in df.columns], F.lit("café"))
-    parts = []
-    for charset in ("UTF-8", "ISO-8859-1"):
-        path = new_path(df.sparkSession, "encoded")
-        df.select(text.alias("value")).write.option("encoding", charset).option("header", "false").csv(path)
-        found = detect_encodings(df.sparkSession, path)
-        parts.append(found.groupBy("encoding").agg(F.count(F.lit(1)).alias("n"))
-                     .select(F.lit(charset).alias("written"), "encoding", (F.col("n") > 0).alias("found")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def guard_report(inputs: dict[str, DataFrame]) -> DataFrame:
-    """input, n_columns, outcome of the load checks for each input and for it without rows."""
-    spark, rows = next(iter(inputs.values())).sparkSession, []
-    for name, df in inputs.items():
-        for label, candidate, limit in ((name, df, None), (f"{name}/none", df.where("1 = 0"), None), (f"{name}/wide", df, 2)):
-            try:
-                check_table(candidate, limit)
-                outcome = "ok"
-            except ValueError as e:
-                outcome = str(e)
-            rows.append((label, len(df.columns), outcome))
-    return spark.createDataFrame(rows, "input string, n_columns bigint, outcome string")
-
-
-def sink_roundtrip(df: DataFrame) -> DataFrame:
-    """The rows read back from every kind of sink, with the sink's name."""
-    spark, parts = df.sparkSession, []
-    for kind in ("parquet", "csv", "json", "orc"):
-        path = write(df, new_path(spark, f"sink-{kind}"), kind)
-        options = {"header": "true", "escape": '"'} if kind == "csv" else {}
-        back = spark.read.schema(df.schema).options(**options).format(kind).load(path)
-        parts.append(back.select(F.lit(kind).alias("sink"), *[ref(c) for c in df.columns]))
-    return reduce(DataFrame.unionByName, parts)
