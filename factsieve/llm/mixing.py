@@ -68,23 +68,23 @@ def apportion(parties: DataFrame, groups: list[str], keys: list[str], weight: st
     group = W.partitionBy(*groups)
     names = parties.columns
     total, count = F.sum(weight).over(group), F.count(F.lit(1)).over(group)
-    rated = parties.withColumn("w", F.col(weight).cast("double")).withColumn("all_w", total.cast("double")).withColumn("n", count)
-    share_of = lambda extra: F.col("w") * (F.col(seats) + extra) / F.col("all_w")
-    low = F.greatest(F.lit(0), F.least(F.col(cap), F.floor(share_of(-F.col("n") / 2) - 0.5) - 1)).cast("long")
-    high = F.least(F.col(cap), F.ceil(share_of(F.col("n") / 2) + 0.5) + 2).cast("long")
-    ranged = rated.withColumn("low", F.when(F.col("w") > 0, low).otherwise(0)).withColumn(
-        "high", F.when(F.col("w") > 0, high).otherwise(0)).withColumn("open", F.col(seats) - F.sum("low").over(group))
-    tries = ranged.where("high > low").select(
-        *groups, *keys, "w", "open", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
-    best = W.partitionBy(*groups).orderBy((F.col("w") / (2 * F.col("k") + 1)).desc(), *[F.col(k).asc_nulls_last() for k in keys], "k")
-    won = tries.withColumn("rank", F.row_number().over(best)).where("rank <= open").groupBy(*groups, *keys).agg(
-        F.count(F.lit(1)).alias("won"))
+    rated = parties.withColumn("_w", F.col(weight).cast("double")).withColumn("_all_w", total.cast("double")).withColumn("_n", count)
+    share_of = lambda extra: F.col("_w") * (F.col(seats) + extra) / F.col("_all_w")
+    low = F.greatest(F.lit(0), F.least(F.col(cap), F.floor(share_of(-F.col("_n") / 2) - 0.5) - 1)).cast("long")
+    high = F.least(F.col(cap), F.ceil(share_of(F.col("_n") / 2) + 0.5) + 2).cast("long")
+    ranged = rated.withColumn("_low", F.when(F.col("_w") > 0, low).otherwise(0)).withColumn(
+        "_high", F.when(F.col("_w") > 0, high).otherwise(0)).withColumn("_open", F.col(seats) - F.sum("_low").over(group))
+    tries = ranged.where("_high > _low").select(
+        *groups, *keys, "_w", "_open", F.explode(F.sequence("_low", F.col("_high") - 1)).alias("_k"))
+    best = W.partitionBy(*groups).orderBy((F.col("_w") / (2 * F.col("_k") + 1)).desc(), *[F.col(k).asc_nulls_last() for k in keys], "_k")
+    won = tries.withColumn("_rank", F.row_number().over(best)).where("_rank <= _open").groupBy(*groups, *keys).agg(
+        F.count(F.lit(1)).alias("_won"))
     same = None
     for c in groups + keys:
         test = F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}"))
         same = test if same is None else same & test
     return ranged.alias("p").join(won.alias("q"), same, "left").select(
-        *[F.col(f"p.{c}").alias(c) for c in names], (F.col("p.low") + F.coalesce("q.won", F.lit(0))).alias("quota"))
+        *[F.col(f"p.{c}").alias(c) for c in names], (F.col("p._low") + F.coalesce("q._won", F.lit(0))).alias("quota"))
 
 
 def _div(a: Column, b: Column) -> Column:

@@ -70,7 +70,6 @@ def _neighbours(cosine: float, window: int):
                 i, j = np.nonzero(left @ right.T >= cosine - 1e-12)
                 near = (j > i) & (j - i <= window)
                 i, j = i[near], j[near]
-                # the first link of each vector to an earlier one, and of each to a later one, join what all pairs would
                 a += (i + low).tolist()
                 b += (j + low).tolist()
             parent = list(range(len(x)))
