@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factsieve.functions.columns import (NUMERIC_TYPES, REAL_TYPES, TIME_TYPES, distinct_names, finite_sql, quoted,
-                                         ref)
+                                         ref, time_sql)
 from factsieve.plans.frequency import top_of
 from factsieve.plans.moments import column_quantiles
 
@@ -22,11 +22,19 @@ def is_number_feature(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, NUMERIC_TYPES + TIME_TYPES)
 
 
-def raw_number(df: DataFrame, name: str) -> str:
-    """SQL text of a number feature; a date counts as its day ordinal, 1 on 0001-01-01."""
+def raw_number(df: DataFrame, name: str, time: bool = False) -> str:
+    """SQL text of a number feature; a date counts as its day ordinal, 1 on 0001-01-01.
+
+    Text is read as a date where the feature is one (``time``), else as a number; what is neither is missing.
+    """
     t = df.schema[name].dataType
-    if isinstance(t, TIME_TYPES):
-        return f"cast(datediff(cast({quoted(name)} as date), date'0001-01-01') + 1 as double)"
+    text = isinstance(t, T.StringType)
+    if isinstance(t, TIME_TYPES) or text and time:
+        value = time_sql(name) if text else quoted(name)
+        return f"cast(datediff(cast({value} as date), date'0001-01-01') + 1 as double)"
+    if text:
+        number = f"try_cast(trim({quoted(name)}) as double)"
+        return f"if(abs({number}) < double('Infinity'), {number}, null)"
     return finite_sql(name) if isinstance(t, REAL_TYPES) else f"cast({quoted(name)} as double)"
 
 
@@ -63,7 +71,8 @@ class Features:
                 long = filled.unpivot([], [ref(c) for c in kept], "column", "value")
                 sums = {r["column"]: r for r in long.groupBy("column").agg(
                     F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).collect()}
-                numbers = [{"column": c, "median": medians[c], "mean": sums[c]["mean"], "std": sums[c]["std"] or 1.0} for c in kept]
+                numbers = [{"column": c, "median": medians[c], "mean": sums[c]["mean"], "std": sums[c]["std"] or 1.0,
+                            "time": isinstance(df.schema[c].dataType, TIME_TYPES)} for c in kept]
         categories: list[dict] = []
         if other:
             cells = F.array(*[F.struct(F.lit(c).alias("column"), ref(c).cast("string").alias("key")) for c in other])
@@ -79,14 +88,14 @@ class Features:
                 values = sorted(ranked[:MAX_CATEGORIES - 1] if pooled else ranked)
                 categories.append({"column": c, "mode": ranked[0], "values": values, "pooled": pooled})
         if not numbers and not categories:
-            raise ValueError("No usable feature columns (all empty or invalid).")
+            raise ValueError(f"none of {columns} has a value to learn from")
         return Features(numbers, categories)
 
     def expressions(self, df: DataFrame) -> list[Column]:
         out = []
         for n in self.numbers:
             fit = {k: f"double('{n[k]!r}')" for k in ("median", "mean", "std")}
-            out.append(F.expr(f"(coalesce({raw_number(df, n['column'])}, {fit['median']}) - {fit['mean']}) / {fit['std']}"))
+            out.append(F.expr(f"(coalesce({raw_number(df, n['column'], n.get('time', False))}, {fit['median']}) - {fit['mean']}) / {fit['std']}"))
         for c in self.categories:
             v = F.coalesce(ref(c["column"]).cast("string"), F.lit(c["mode"]))
             out += [(v == F.lit(k)).cast("double") for k in c["values"]]

@@ -1,75 +1,102 @@
-"""Exact k nearest neighbours by blocks.
+"""k nearest neighbours against a bounded set of labelled rows.
 
-Test rows and train rows are hashed into blocks of bounded size; each task meets one
-block of each and returns only the k nearest of its block, so no pair of rows is ever
-emitted and nothing has to fit a broadcast.  The k best over all blocks are exact.
+The classifier keeps at most ``max_train_rows`` labelled rows (a stratified sample where there are more; documented bound), so
+the set fits a broadcast; rows to be labelled are never shuffled and each batch meets the whole set in one task.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factsieve.functions.columns import ref
 from factsieve.operators.features import Features
-from factsieve.operators.splits import blocks_for
+from factsieve.operators.splits import stratified_sample
 from factsieve.plans.sampling import row_id
 
-TRAIN_BLOCK, TEST_BLOCK = 20_000, 4_000
-STEP = 256  # test rows compared at once
-
-
-def _nearest(k: int):
-    def within_block(test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"id": pd.Series(dtype=str), "dist": pd.Series(dtype=float), "label": pd.Series(dtype=str)})
-        if not len(test) or not len(train):
-            return empty
-        train = train.sort_values("label", kind="stable")
-        known = np.vstack(train["x"].to_numpy())
-        labels = train["label"].to_numpy()
-        asked = np.vstack(test["x"].to_numpy())
-        ids = test["id"].to_numpy()
-        out = []
-        for start in range(0, len(asked), STEP):
-            part = asked[start:start + STEP]
-            dist = np.zeros((len(part), len(known)))
-            for j in range(known.shape[1]):
-                gap = part[:, j, None] - known[None, :, j]
-                dist += gap * gap
-            top = min(k, len(known))
-            edge = np.partition(dist, top - 1, axis=1)[:, top - 1]
-            for i in range(len(part)):
-                near = np.flatnonzero(dist[i] <= edge[i])
-                near = near[np.argsort(dist[i][near], kind="stable")][:top]
-                out.append(pd.DataFrame({"id": ids[start + i], "dist": dist[i][near], "label": labels[near]}))
-        return pd.concat(out, ignore_index=True)
-    return within_block
+MAX_TRAIN_ROWS = 20_000
+STEP = 256  # rows compared at once
+
+
+def _votes(asked: np.ndarray, known: np.ndarray, codes: np.ndarray, classes: int, k: int) -> np.ndarray:
+    """Share of each class among the k nearest known rows; equal distances go to the smaller class."""
+    out = np.zeros((len(asked), classes))
+    top = min(k, len(known))
+    for start in range(0, len(asked), STEP):
+        part = asked[start:start + STEP]
+        dist = np.zeros((len(part), len(known)))
+        for j in range(known.shape[1]):
+            gap = part[:, j, None] - known[None, :, j]
+            dist += gap * gap
+        near = np.argpartition(dist, top - 1, axis=1)[:, :top] if top < len(known) else np.tile(np.arange(top), (len(part), 1))
+        edge = np.take_along_axis(dist, near, 1).max(1)
+        for i in np.flatnonzero((dist <= edge[:, None]).sum(1) > top):  # ties at the edge: known rows stand in class order
+            near[i] = np.argsort(dist[i], kind="stable")[:top]
+        np.add.at(out, (start + np.arange(len(part))[:, None], codes[near]), 1.0 / top)
+    return out
+
+
+class Neighbors:
+    """Known rows with their classes; adds ``prediction`` and ``probability`` like the library's models."""
+
+    def __init__(self, known: np.ndarray, codes: np.ndarray, classes: int, k: int = 5):
+        order = np.argsort(codes, kind="stable")
+        self.known, self.codes, self.classes, self.k = known[order], codes[order].astype(int), classes, k
+
+    @staticmethod
+    def fit(data: DataFrame, classes: int, k: int = 5) -> Neighbors:
+        """From rows (label, features); the caller has bounded them."""
+        rows = data.select("label", vector_to_array("features").alias("x")).orderBy("label", "x").toPandas()
+        if not len(rows):
+            raise ValueError("there are no labelled rows to compare with")
+        return Neighbors(np.vstack(rows["x"].to_numpy()), rows["label"].to_numpy(), classes, k)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        shared = df.sparkSession.sparkContext.broadcast((self.known, self.codes))
+        classes, k = self.classes, self.k
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known, codes = shared.value
+            for x in batches:
+                asked = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, known.shape[1]))
+                yield pd.Series(list(_votes(asked, known, codes, classes, k)))
+
+        votes = F.pandas_udf(run, "array<double>")
+        scored = df.withColumn("_votes", votes(vector_to_array("features")))
+        best = F.array_position("_votes", F.array_max("_votes")) - 1  # the first of equal shares
+        return scored.select(*[c for c in df.columns], array_to_vector("_votes").alias("probability"), best.cast("double").alias("prediction"))
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.getActiveSession()
+        rows = [(float(c), [float(v) for v in x]) for c, x in zip(self.codes, self.known)]
+        spark.createDataFrame(rows, "label double, x array<double>").write.parquet(f"{path}/rows")
+        spark.createDataFrame([(self.classes, self.k)], "classes int, k int").write.parquet(f"{path}/settings")
+
+    @staticmethod
+    def load(path: str) -> Neighbors:
+        spark = SparkSession.getActiveSession()
+        rows = spark.read.parquet(f"{path}/rows").orderBy("label", "x").toPandas()
+        settings = spark.read.parquet(f"{path}/settings").first()
+        return Neighbors(np.vstack(rows["x"].to_numpy()), rows["label"].to_numpy(), settings["classes"], settings["k"])
 
 
 def knn_predict(train: DataFrame, test: DataFrame, features: list[str], label: str, key: list[str], k: int = 5,
-                train_block: int = TRAIN_BLOCK, test_block: int = TEST_BLOCK) -> DataFrame:
+                max_train_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
     """id (row key as text), prediction: majority of the k nearest train rows, the smallest label among ties."""
     fitted = Features.fit(train, features)
-    trains, tests = blocks_for(train.count(), train_block), blocks_for(test.count(), test_block)
-    known = train.where(ref(label).isNotNull()).select(
-        ref(label).cast("string").alias("label"), F.array(*fitted.expressions(train)).alias("x"),
-        F.pmod(F.xxhash64(row_id(key)), F.lit(trains)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tests - 1).cast("long"))).alias("b"))
-    asked = test.select(
-        row_id(key).alias("id"), F.array(*fitted.expressions(test)).alias("x"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trains - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64(row_id(key)), F.lit(tests)).alias("b"))
-    near = asked.groupBy("a", "b").cogroup(known.groupBy("a", "b")).applyInPandas(
-        _nearest(k), "id string, dist double, label string")
-    w = W.partitionBy("id").orderBy("dist", "label")
-    votes = (near.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= k)
-             .groupBy("id", "label").agg(F.count(F.lit(1)).alias("votes")))
-    best = W.partitionBy("id").orderBy(F.desc("votes"), "label")
-    return votes.withColumn("_rank", F.row_number().over(best)).where("_rank = 1").select("id", F.col("label").alias("prediction"))
+    kept = stratified_sample(train.where(ref(label).isNotNull()), key, max_train_rows, label)
+    names = [r["c"] for r in kept.select(ref(label).cast("string").alias("c")).distinct().orderBy("c").collect()]
+    code = F.array_position(F.array(*[F.lit(c) for c in names]), ref(label).cast("string")) - 1
+    model = Neighbors.fit(fitted.vectors(kept, code.cast("double").alias("label")), len(names), k)
+    scored = model.transform(fitted.vectors(test, row_id(key).alias("id")))
+    return scored.select("id", F.get(F.array(*[F.lit(c) for c in names]), F.col("prediction").cast("int")).alias("prediction"))
 
 
 # workers get these functions by value, so the package need not be installed on them

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +47,3 @@ def stratified_sample(df: DataFrame, key: list[str], max_rows: int, by: str | No
         return df
     kept = _below(df, key, by, seed, max_rows / total, f"cast(greatest(1, floor(n * {max_rows} / {total})) as bigint)")
     return kept.where("_in").drop("_in")
-
-
-def blocks_for(rows: int, size: int) -> int:
-    return max(1, math.ceil(rows / size))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.columns import hash_number, ref
 from factsieve.plans.quantiles import order_statistics
+from factsieve.plans.store import materialize
 
 
 def row_id(key: Sequence[str]) -> Column:
@@ -16,9 +18,19 @@ def row_id(key: Sequence[str]) -> Column:
 
 
 def bottom_k(df: DataFrame, key: Sequence[str], k: int, seed: int) -> DataFrame:
-    """The k rows with the smallest hash; a bounded heap per task, no full sort."""
-    order = F.md5(F.concat(row_id(key), F.lit(f"|{seed}")))
-    return df.orderBy(order, *[ref(c) for c in key]).limit(k)
+    """The k rows with the smallest hash of their key.
+
+    Only rows below a threshold fitted from the row count are ordered, about k over all tasks, so that the last step does
+    not gather k rows of every task.  Should fewer than k lie below it, all rows are ordered.
+    """
+    digest = F.md5(F.concat(row_id(key), F.lit(f"|{seed}")))
+    total = df.count()
+    share = (k + 8 * math.sqrt(k) + 20) / max(total, 1)
+    if share < 1:
+        low = materialize(df.where(F.substring(digest, 1, 13) < f"{int(share * 16 ** 13):013x}"), "sample")
+        if low.count() >= k:
+            df = low
+    return df.orderBy(digest, *[ref(c) for c in key]).limit(k)
 
 
 def with_hash(df: DataFrame, key: Sequence[str], seed: int, name: str = "_h") -> DataFrame:

@@ -43,13 +43,13 @@ def test_split_and_folds_are_exact_per_class(spark, monkeypatch, parts):
     assert splits.stratified_sample(df, ["id"], 30, "c").groupBy("c").count().select("count").distinct().collect()[0][0] == 10
 
 
-def test_knn_blocks_match_brute_force(spark):
+def test_knn_matches_brute_force(spark):
     rnd = np.random.default_rng(4)
     pts, labels = rnd.normal(size=(90, 3)), rnd.integers(0, 3, 90)
     data = [(i, *map(float, pts[i]), f"l{labels[i]}") for i in range(90)]
     df = spark.createDataFrame(data, "id bigint, a double, b double, c double, label string")
     train, test = df.where("id < 70"), df.where("id >= 70")
-    got = {int(r["id"]): r["prediction"] for r in knn_predict(train, test, ["a", "b", "c"], "label", ["id"], train_block=16, test_block=7).collect()}
+    got = {int(r["id"]): r["prediction"] for r in knn_predict(train, test, ["a", "b", "c"], "label", ["id"]).collect()}
     scaled = (pts - pts[:70].mean(0)) / pts[:70].std(0)
     for i in range(70, 90):
         near = np.argsort(((scaled[:70] - scaled[i]) ** 2).sum(1), kind="stable")[:5]
@@ -83,6 +83,12 @@ def test_training_prediction_and_saved_models(spark, tmp_path):
     loaded = ml.TrainedModel.load(spark, model.save(spark, str(tmp_path / "m")))
     a = {r["id"]: r["prediction"] for r in model.predict(df, ["id"]).collect()}
     assert a == {r["id"]: r["prediction"] for r in loaded.predict(df, ["id"]).collect()}
+    near = run.fitted["knn"]
+    again = ml.TrainedModel.load(spark, near.save(spark, str(tmp_path / "near")))
+    texts = df.select("id", *[F.col(c).cast("string").alias(c) for c in df.columns if c != "id"])  # numbers as text are read as numbers
+    first, second = ({r["id"]: (r["prediction"], sum(r["probabilities"].values())) for r in m.predict(d, ["id"]).collect()}
+                     for m, d in ((near, df), (again, texts)))
+    assert first == second and all(abs(p - 1) < 1e-3 for _, p in first.values())
     # the same model on a stream
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     live = streams.read_files(spark, str(tmp_path / "in"), "*.parquet", df.schema)
