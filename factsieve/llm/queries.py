@@ -96,12 +96,12 @@ h AS (SELECT source, shard, bt, sum(size)::BIGINT AS shard_size, any_value(targe
 c AS (SELECT source, any_value(target) AS target, sum(blocks)::BIGINT AS blocks FROM h GROUP BY source),
 n AS (SELECT round(sum(target) / (SELECT any_value(bt) FROM h))::BIGINT AS seats FROM c),
 q1 AS (SELECT source, target / (2 * k + 1) AS quotient, k FROM c, unnest(range(0, 2 * blocks)) AS u(k)),
-w1 AS (SELECT source, count(*) AS seats FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, k) AS at FROM q1), n
-  WHERE at <= n.seats GROUP BY source),
+w1 AS (SELECT source, count(*) AS seats FROM (SELECT *, row_number() OVER (ORDER BY quotient DESC, source NULLS LAST, k) AS place FROM q1), n
+  WHERE place <= n.seats GROUP BY source),
 q2 AS (SELECT h.source, shard, shard_size / (2 * k + 1) AS quotient, k FROM h, unnest(range(0, 2 * blocks)) AS u(k)),
 w2 AS (SELECT source, shard, count(*) AS quota FROM (
-    SELECT q2.*, w1.seats, row_number() OVER (PARTITION BY q2.source ORDER BY quotient DESC, shard, k) AS at
-    FROM q2 JOIN w1 ON q2.source IS NOT DISTINCT FROM w1.source) WHERE at <= seats GROUP BY source, shard),
+    SELECT q2.*, w1.seats, row_number() OVER (PARTITION BY q2.source ORDER BY quotient DESC, shard, k) AS place
+    FROM q2 JOIN w1 ON q2.source IS NOT DISTINCT FROM w1.source) WHERE place <= seats GROUP BY source, shard),
 m AS (SELECT h.*, coalesce(quota, 0) AS quota, coalesce(quota, 0) // greatest(blocks, 1) AS fully, coalesce(quota, 0) % greatest(blocks, 1) AS extra,
   ('0x' || substr(md5('mix:' || coalesce(h.source, '') || ':' || h.shard), 1, 8))::BIGINT % greatest(blocks, 1) AS start
   FROM h LEFT JOIN w2 ON h.source IS NOT DISTINCT FROM w2.source AND h.shard = w2.shard),
@@ -119,14 +119,14 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(words) < 5 THEN words ELSE words[i:i + 4] END AS shingle
   FROM w, unnest(range(1, greatest(len(words) - 3, 2))) AS u(i) WHERE len(words) > 0),
 nodes AS (SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
-links AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+links AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id
     GROUP BY x.doc_id, y.doc_id) p JOIN nodes na ON na.doc_id = p.a JOIN nodes nb ON nb.doc_id = p.b
-  WHERE 100 * both >= 85 * (na.n + nb.n - both)),
+  WHERE 100 * shared >= 85 * (na.n + nb.n - shared)),
 """ + _COMPONENTS.format(id="doc_id") + """
-SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM nodes JOIN comp ON comp.n = doc_id""",
+SELECT doc_id, nodes.n AS n_shingles, c AS component_id, doc_id = c AS kept FROM nodes JOIN comp ON comp.n = doc_id""",
     "op6_projection_passes": r"""
 WITH RECURSIVE nodes AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-good AS (SELECT *, sqrt(list_sum(list_transform(v, x -> x * x))) AS norm FROM nodes WHERE label IS NOT NULL AND v IS NOT NULL),
+good AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS norm FROM nodes WHERE label IS NOT NULL AND v IS NOT NULL),
 links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label = y.label AND x.vec_id < y.vec_id
   AND x.norm > 0 AND y.norm > 0 AND list_dot_product(x.v, y.v) / (x.norm * y.norm) >= 0.98),
 """ + _COMPONENTS.format(id="vec_id") + """,
