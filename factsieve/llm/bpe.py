@@ -5,8 +5,8 @@ sum of the skips along a word's arcs is its number, and the number points at its
 one block of bytes, broadcast (its size is bounded by ``lexicon_words``) and memory-mapped in each Python worker.
 Words outside it are merged exactly, many at once in numpy; a word longer than ``LONG`` bytes with a heap.
 
-A text is cut where the tokenizer cuts it whatever stands around: at its special tokens, then before a blank that
-starts a word.  A bounded memo per worker keeps the ids of recent pieces.
+A text is cut at its special tokens, at white space, and then into words as the tokenizer does.  A bounded memo per worker
+keeps the ids of recent pieces.
 
 Defined results: a null text counts as empty and has no ids; text of a special token gives that token's id.  Repeated
 rows get equal results.  Other columns are never read.  An empty table gives no rows and an empty lexicon.
@@ -22,6 +22,7 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,13 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LEXICON_WORDS = 32_768
-#: Bound of the words counted in a task before they are handed on, and of the pieces in a worker's memo.
-COUNTED, REMEMBERED = 400_000, 300_000
+from factsieve.plans.store import materialize
+
+LEXICON_WORDS = 131_072
+#: A word of the lexicon occurs this often at least.
+MIN_COUNT = 8
+#: Bound of the words counted in a task before they are handed on, and of the pieces and words in a worker's memos.
+COUNTED, REMEMBERED = 400_000, 600_000
 LONG = 48
 CHUNK_CHARS = 2_000_000
 
@@ -39,8 +44,9 @@ CHUNK_CHARS = 2_000_000
 _WHITE = "\t-\r \x85\xa0  -     　"
 _PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+# Pieces that the pattern cuts further but never joins: white space parts them.
 _PIECE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-_LETTERS = re.compile(r" ?[^\W\d_]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all but the apostrophe, which may begin a word
 
 
 def byte_letters() -> dict[str, int]:
@@ -243,6 +249,7 @@ class Lexicon:
             at += 8 * n
         self.keys, self.targets, self.skips, self.final, self.bounds = views
         self.ids = np.frombuffer(self.map, np.uint32, int(self.bounds[-1]), at)
+        self.raw = self.ids.tobytes()
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """Number of each word, -1 where it is not in the lexicon; all words walk the automaton together."""
@@ -276,44 +283,38 @@ class Encoder:
         self.tables, self.lexicon = Tables(file), Lexicon(block)
         self.memo: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
-        self.recent: set[str] = set()
         names = sorted(self.tables.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
     def words(self, words: list[str]) -> None:
-        """Puts the ids of each word into the memo: from the lexicon, or merged."""
+        """Puts the ids of the words into the memo: from the lexicon, or merged."""
         coded = [w.encode() for w in words]
         number = self.lexicon.find(coded)
         merged = iter(self.tables.merge([coded[i] for i in np.flatnonzero(number < 0)]))
-        bounds, ids = (self.lexicon.bounds * 4).tolist(), self.lexicon.ids.tobytes()
+        bounds, ids = (self.lexicon.bounds * 4).tolist(), self.lexicon.raw
         self.known.update(zip(words, [next(merged) if n < 0 else ids[bounds[n]:bounds[n + 1]] for n in number.tolist()]))
 
     def learn(self, pieces: set[str]) -> None:
-        """Brings all pieces into the memo; when it is full, pieces not met lately go first."""
+        """Brings all pieces into the memo; when it is full the older half goes, and frequent words come back from the lexicon."""
         if len(self.memo) > REMEMBERED:
-            self.memo = {p: self.memo[p] for p in self.recent if p in self.memo}
-            self.recent = set()
+            self.memo = dict(islice(self.memo.items(), len(self.memo) // 2, None))
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = pieces.difference(self.memo)
-        # a line feed before a piece changes none of its cuts, unless the pieces are white space
-        blank = [p for p in new if p.isspace()]
-        solid = [p for p in new if not p.isspace()]
-        words = _PRETOKEN.findall("\n".join(solid))
-        self.words(list({*words, *blank}.difference(self.known)))
-        known, at, parts = self.known, 0, []
-        for w in words:
-            if w == "\n":
-                self.memo[solid[at]] = parts[0] if len(parts) == 1 else b"".join(parts)
-                at, parts = at + 1, []
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        simple, odd = [], []
+        for p in pieces.difference(self.memo):
+            base = p.rstrip(_MARKS)
+            # letters and then marks are two words, wherever they stand
+            if (base[1:] if base[:1] == " " else base).isalpha():
+                simple.append((p, base, p[len(base):]))
             else:
-                parts.append(known[w])
-        if solid:
-            self.memo[solid[at]] = b"".join(parts)
-        for p in blank:
-            self.memo[p] = known[p]
-        if len(self.recent) < REMEMBERED // 2:
-            self.recent |= pieces
+                odd.append((p, _PRETOKEN.findall(p)))
+        new = {b for _, b, _ in simple}
+        new.update([t for _, _, t in simple], *[cut for _, cut in odd])
+        new.discard("")
+        self.words(list(new.difference(self.known)))
+        known = self.known
+        self.memo.update([(p, known[b] + known[t]) if t else (p, known[b]) for p, b, t in simple])
+        self.memo.update([(p, b"".join([known[w] for w in cut])) for p, cut in odd])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit numbers."""
@@ -331,6 +332,7 @@ class Encoder:
             low = high
 
     def _parts(self, text: str) -> list:
+        """Lists of pieces, and between them the ids of special tokens."""
         if self.cut is None or not any(s in text for s in self.tables.special):
             return [_PIECE.findall(text)]
         return [self.tables.special[x].to_bytes(4, "little") if i % 2 else _PIECE.findall(x) for i, x in enumerate(self.cut.split(text))]
@@ -351,22 +353,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: Counter = Counter()
 
     def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        total: Counter = Counter()
+        for piece, n in seen.items():
+            word = piece.rstrip(_MARKS)
+            if word.isalpha():
+                total[" " + word] += n
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
         for text in batch.column(0):
-            seen.update(_LETTERS.findall(text.as_py() or ""))
+            seen.update((text.as_py() or "").split())
             if len(seen) > COUNTED:
                 yield rows()
-                seen.clear()
     yield rows()
 
 
-def frequent_words(docs: DataFrame, text_col: str = "text", count: int = LEXICON_WORDS) -> list[str]:
-    """The most frequent words of all texts with their leading blank, equal counts by the word."""
+def frequent_words(docs: DataFrame, text_col: str = "text", count: int = LEXICON_WORDS, min_count: int = MIN_COUNT) -> list[str]:
+    """Words of letters of all texts with a leading blank, by falling count: as many whole ranks as ``count`` holds.
+
+    A threshold is read off the numbers of words of each count, so no task hands more than the answer to the driver.
+    """
     counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count, "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(count)
-    return [r.word for r in top.select("word").collect()]
+    often = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count), "words")
+    # counts in steps of a sixteenth of a power of two, so that their table is small
+    step = F.floor(F.log2("n") * 16)
+    ranks = often.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    total, least = 0, None
+    for r in ranks:
+        total += r.words
+        if total > count:
+            break
+        least = r.step
+    if least is None:
+        return []
+    return [r.word for r in often.where(step >= least).orderBy(F.desc("n"), "word").select("word").collect()]
 
 
 def read_bytes(spark, path: str) -> bytes:
