@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factsieve.llm import bpe, minhash_forest, mixing, pii, repetition
+from factsieve.llm.bitmap import flagged
 from factsieve.plans.store import materialize
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,12 +25,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that with the smallest id; of rows that share an id, one."""
-    found = minhash_forest.near_duplicates(docs)
-    kept = materialize(found.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-                       .select(F.col("doc_id").alias("_kept_id"), "rows"), "kept")
-    joined = docs.select(*COLUMNS).join(kept, F.col("doc_id") == F.col("_kept_id"))
-    single, several = joined.where("rows = 1").select(*COLUMNS), joined.where("rows > 1").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return single.unionAll(several).unionAll(docs.select(*COLUMNS).where("doc_id is null"))
+    found = materialize(minhash_forest.near_duplicates(docs), "found")
+    per_id = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    special = materialize(per_id.where("not kept or rows > 1"), "special")  # all other documents stay where they are
+    marked = flagged(docs.select(*COLUMNS), F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), special.select(F.xxhash64("doc_id")))
+    known = special.select(F.col("doc_id").alias("_id"), F.col("kept").alias("_kept"))
+    doubtful = marked.where("_maybe").join(known, F.col("doc_id") == F.col("_id"), "left").where("coalesce(_kept, true)")
+    first = F.row_number().over(W.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars"))
+    return marked.where("not _maybe").select(*COLUMNS).unionAll(
+        doubtful.withColumn("_row", first).where("_row = 1").select(*COLUMNS))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +47,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     copies = materialize(mixed.where("taken > 0 and doc_id is not null").groupBy("doc_id").agg(
         F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0").select(
         F.col("doc_id").alias("_mixed_id"), "copies"), "copies")
-    joined = docs.select(*COLUMNS).join(copies, F.col("doc_id") == F.col("_mixed_id"))
+    # both sides are dealt by id at every size: each document has its own number
+    joined = docs.select(*COLUMNS).join(copies.hint("merge"), F.col("doc_id") == F.col("_mixed_id"))
     return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

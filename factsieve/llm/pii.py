@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factsieve.llm.bitmap import flagged
 from factsieve.plans.store import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -217,7 +218,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **se
     hit = materialize(known.unionAll(learned.select("id", "h", "learned")).groupBy("id", "h").agg(
         F.flatten(F.collect_list("spans")).alias("spans")).toDF("_pii_id", "_pii_h", "_pii_spans"), "hits")
     none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    columns = docs.columns
-    joined = docs.join(hit, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (F.xxhash64(_plain(F.col(text_col))) == F.col("_pii_h")), "left")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    h = F.xxhash64(_plain(F.col(text_col)))
+    marked = flagged(docs, h, hit.select("_pii_h"), "_pii_maybe")  # texts without spans stay where they are
+    joined = marked.where("_pii_maybe").join(hit, F.col(id_col).eqNullSafe(F.col("_pii_id")) & (h == F.col("_pii_h")), "left")
     new_text = F.when(F.col(text_col).isNotNull(), redacted(F.col(text_col), F.coalesce("_pii_spans", none)))
-    return joined.withColumn(text_col, new_text).select(*[F.col(f"`{c}`") for c in columns])
+    return marked.where("not _pii_maybe").select(*columns).unionAll(joined.withColumn(text_col, new_text).select(*columns))
