@@ -34,6 +34,8 @@ ORDERS, BASE_DEPTH, DEPTH = 12, 3, 8
 #: Bounds of a region compared in one task.
 REGION_SETS, REGION_SHINGLES = 2048, 4_000_000
 HUBS = 8
+#: Bits of the bitmap that names the ids whose texts are needed again: 16 MB.
+FILTER_BITS = 27
 
 _RANDOM = np.random.default_rng(20240607)
 _MULTIPLIERS = _RANDOM.integers(0, 1 << 63, ORDERS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -239,6 +241,21 @@ def _compare(share: int) -> callable:
     return run
 
 
+def _perhaps(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows whose id may be among the wanted ones, by a bitmap of id hashes, so that few other texts reach the exact join.
+
+    The bitmap is broadcast: at most 2**bits bits in blocks of 4 kB, whatever the number of ids.  Where it is full it only
+    lets all rows through.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
+    bitmap = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("map", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bitmap), "bucket")
+    return joined.where(byte.bitwiseAND(F.pow(F.lit(2), at % 8).cast("int")) != 0).select(rows.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 85, size: int = WORDS,
                     region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id, kept. Links need 100 * intersection >= share * union."""
@@ -249,9 +266,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(regions(classes, region_sets, region_shingles), "regions")
     wanted = members.select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = _perhaps(texts, wanted)
     build = F.arrow_udf(_sets(size), "binary")
     # an id names one text; where it is repeated with other texts, one of their sets stands for it
-    sets = materialize(texts.join(wanted, "id", "left_semi").select("id", build("text").alias("shingles"))
+    # an inner join, since the optimizer would move a semi join below the bitmap
+    exact = texts.join(wanted.withColumnRenamed("id", "wanted_id"), F.col("id") == F.col("wanted_id"))
+    sets = materialize(exact.select("id", build("text").alias("shingles"))
                        .groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
     compared = (members.groupBy("region", "id").agg(F.max("hub").alias("hub")).join(sets, "id").select("region", "id", "shingles")
                 .repartition("region").sortWithinPartitions("region", "id"))
