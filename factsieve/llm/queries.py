@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsieve.llm import (bpe, compression_quality, language_filters, minhash_forest, mixing, pii, projection_passes, repetition,
+from factsieve.llm import (bpe, compression_quality, language_filters, license_scan, minhash_forest, mixing, pii, projection_passes, repetition,
                            token_store)
 
 BYTE_TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -57,6 +57,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", repetition.repetition(F.col("text")).alias("r")).select("doc_id", "r.*")
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_filters.identify(table(spark, sf_dir, "documents"))
 
@@ -69,8 +73,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mix": op1, "op2_minhash_forest": op2, "op3_contextual_pii": op3, "op4_compression_quality": op4, "op5_token_store": op5,
-    "op6_projection_passes": op6, "op7_bpe_automaton": op7, "op8_repetition_rules": op8, "op10_language_filters": op10,
-    "pipeline": pipeline,
+    "op6_projection_passes": op6, "op7_bpe_automaton": op7, "op8_repetition_rules": op8, "op9_license_scan": op9,
+    "op10_language_filters": op10, "pipeline": pipeline,
 }
 
 _COMPONENTS = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
