@@ -42,14 +42,26 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that the sources come near their targets: taken / size copies, to the nearest whole."""
-    mixed = mixing.mix(docs)
-    copies = materialize(mixed.where("taken > 0 and doc_id is not null").groupBy("doc_id").agg(
-        F.round(F.sum("taken") / F.sum("size")).cast("int").alias("copies")).where("copies > 0").select(
-        F.col("doc_id").alias("_mixed_id"), "copies"), "copies")
+    """Documents repeated or left out so that each source comes near its target: taken / size copies, rounded down or up without bias.
+
+    A row without an id is a document of its own.  Rows that share an id share its copies evenly, a remainder by the hash of the row.
+    """
+    docs = docs.select(*COLUMNS)
+    named = docs.where("doc_id is not null").withColumn("_key", F.col("doc_id").cast("string"))
+    # equal rows without an id can stand for each other, so each gets a name that does not depend on the order of rows
+    nameless = materialize(docs.where("doc_id is null").groupBy(*COLUMNS).agg(F.count(F.lit(1)).alias("_rows")).withColumn(
+        "_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows")))).withColumn(
+        "_key", F.concat_ws(":", F.lit("null"), F.sha2(F.to_json(F.struct("text", "lang", "source", "n_chars")), 256), "_row")).select(
+        *COLUMNS, "_key"), "nameless")
+    keyed = named.select(*COLUMNS, "_key").unionAll(nameless)
+    mixed = mixing.whole_documents(mixing.mix(keyed, "_key"), "_key")
+    copies = materialize(mixed.groupBy(F.col("_key").alias("_mixed")).agg(
+        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0"), "copies")
     # both sides are dealt by id at every size: each document has its own number
-    joined = docs.select(*COLUMNS).join(copies.hint("merge"), F.col("doc_id") == F.col("_mixed_id"))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    joined = keyed.join(copies.hint("merge"), F.col("_key") == F.col("_mixed"))
+    place = F.pmod(F.xxhash64("_key", "text", "lang", "n_chars", "source"), F.lit(1 << 20)) / F.lit(1 << 20)
+    count = F.when(F.col("rows") == 1, F.col("copies")).otherwise(F.floor(F.col("copies") / F.col("rows") + place)).cast("int")
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), count))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

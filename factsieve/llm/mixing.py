@@ -138,3 +138,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = F.when(F.col("size") > 0, F.col("full") * F.col("size") + more).otherwise(0).cast("long")
     return joined.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.alias("taken"),
                          "shard", "blocks", "quota")
+
+
+def whole_documents(mixed: DataFrame, id_col: str = "doc_id", source_col: str = "source", seed: str = "mix") -> DataFrame:
+    """Adds ``copies`` to the rows of ``mix``: taken / size, rounded down or up so that each source keeps its words.
+
+    A shard's documents stand by size; the running sum of taken / size, from a seeded start, passes a whole number for each copy.  So a
+    document of any length gets its share of copies on average, and documents of like size together get theirs almost exactly.
+    """
+    number = lambda *parts: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *parts)), 1, 8), 16, 10).cast("double")
+    start = number(F.lit("copies"), F.coalesce(F.col(source_col), F.lit("")), "shard") / F.lit(2.0 ** 32)
+    share = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(F.lit(0.0))
+    line = W.partitionBy(source_col, "shard").orderBy("size", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))), "taken")
+    passed = F.floor(start + F.sum("_share").over(line.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    laid = mixed.withColumn("_share", share).withColumn("_passed", passed)
+    return laid.withColumn("copies", (F.col("_passed") - F.coalesce(F.lag("_passed").over(line), F.lit(0))).cast("int")).drop("_share", "_passed")
