@@ -16,6 +16,8 @@ id links with nothing: its ``component_id`` is null and ``kept`` true.  An empty
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +31,32 @@ from factsieve.llm.repetition import ngram_hashes
 from factsieve.plans.store import materialize
 
 WORDS = 5
-#: A pair at similarity 0.85 shares the first BASE_DEPTH labels of at least one of ORDERS orders with probability 0.99999.
+#: A pair at similarity 0.85 shares the first BASE_DEPTH labels of at least one of ORDERS orders with probability 0.99999; other
+#: thresholds take as many orders as give a pair at the threshold the same chance.
 ORDERS, BASE_DEPTH, DEPTH = 12, 3, 8
+ORDERS_SHARE = 85
 #: Bounds of a region compared in one task.
 REGION_SETS, REGION_SHINGLES = 2048, 4_000_000
 HUBS = 8
 #: Bits of the bitmap that names the ids whose texts are needed again: 16 MB.
 FILTER_BITS = 27
 
-_RANDOM = np.random.default_rng(20240607)
-_MULTIPLIERS = _RANDOM.integers(0, 1 << 63, ORDERS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MASKS = _RANDOM.integers(0, 1 << 63, ORDERS * DEPTH, dtype=np.uint64)
+
+def orders_for(share: int) -> int:
+    """Number of orders for links from ``share`` per cent."""
+    missed = lambda percent: math.log1p(-min(percent / 100, 0.9999) ** BASE_DEPTH)
+    return max(1, math.ceil(ORDERS * missed(ORDERS_SHARE) / missed(share) - 1e-9))
+
+
+@functools.cache
+def _random(orders: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and masks of the labels; the first ORDERS are the same for every number."""
+    out = [], []
+    for low in range(0, orders, ORDERS):
+        rng = np.random.default_rng(20240607 if not low else [20240607, low])
+        out[0].append(rng.integers(0, 1 << 63, ORDERS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+        out[1].append(rng.integers(0, 1 << 63, ORDERS * DEPTH, dtype=np.uint64))
+    return np.concatenate(out[0])[:orders * DEPTH], np.concatenate(out[1])[:orders * DEPTH]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -67,12 +84,13 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = WORDS) -> tu
     return keys[fresh], np.concatenate([[0], np.cumsum(fresh)])[cuts]
 
 
-def signatures(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """One row of ORDERS * DEPTH minima for each set; the upper 32 bits of each."""
-    out = np.zeros((len(bounds) - 1, len(_MULTIPLIERS)), np.uint32)
+def signatures(keys: np.ndarray, bounds: np.ndarray, orders: int = ORDERS) -> np.ndarray:
+    """One row of orders * DEPTH minima for each set; the upper 32 bits of each."""
+    multipliers, masks = _random(orders)
+    out = np.zeros((len(bounds) - 1, len(multipliers)), np.uint32)
     full = np.flatnonzero(np.diff(bounds))
     if len(full):
-        for p, (a, b) in enumerate(zip(_MULTIPLIERS, _MASKS)):
+        for p, (a, b) in enumerate(zip(multipliers, masks)):
             out[full, p] = np.minimum.reduceat((keys ^ b) * a, bounds[full]) >> np.uint64(32)
     return out
 
@@ -84,7 +102,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
 
 
-def _sketch(size: int) -> callable:
+def _sketch(size: int, orders: int) -> callable:
     def run(texts: pa.Array) -> pa.Array:
         counts, first, second, labels = [], [], [], []
         for _, _, data, offsets in tb.text_chunks(texts):
@@ -93,7 +111,7 @@ def _sketch(size: int) -> callable:
             for out, values in ((first, tb.mix(keys)), (second, tb.mix(keys * np.uint64(3) + np.uint64(7)))):
                 total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
                 out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-            labels.append(signatures(keys, bounds))
+            labels.append(signatures(keys, bounds, orders))
         if not counts:
             return pa.array([], pa.struct([("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("labels", pa.binary())]))
         return pa.StructArray.from_arrays(
@@ -117,9 +135,9 @@ def _sets(size: int) -> callable:
     return run
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS) -> DataFrame:
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int = WORDS, orders: int = ORDERS) -> DataFrame:
     """Per row: id, set size n, two 64-bit fingerprints of the set, and the labels of all orders."""
-    run = F.arrow_udf(_sketch(size), "struct<n:bigint,f1:bigint,f2:bigint,labels:binary>")
+    run = F.arrow_udf(_sketch(size, orders), "struct<n:bigint,f1:bigint,f2:bigint,labels:binary>")
     return docs.select(F.col(id_col).alias("id"), run(F.col(text_col)).alias("s")).select("id", "s.*")
 
 
@@ -133,14 +151,14 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "region")
 
 
-def regions(classes: DataFrame, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
+def regions(classes: DataFrame, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES, orders: int = ORDERS) -> DataFrame:
     """Rows (region, id, hub): members of each region that must be compared.
 
     A region beyond the bounds is cut at the next label; its hubs (members on the heaviest branch, at most ``HUBS``) go to each
     part, and a part that is still too large at full depth is dealt into parts of bounded size.
     """
     columns = [F.struct(F.lit(t).alias("t"), _prefix(t, BASE_DEPTH).alias("region"),
-                        F.array(*[_prefix(t, d) for d in range(BASE_DEPTH + 1, DEPTH + 1)]).alias("deeper")) for t in range(ORDERS)]
+                        F.array(*[_prefix(t, d) for d in range(BASE_DEPTH + 1, DEPTH + 1)]).alias("deeper")) for t in range(orders)]
     rows = materialize(_crowded(
         classes.select("id", "n", F.explode(F.array(*columns)).alias("r")).select("id", "n", "r.region", "r.deeper")), "forest")
     out = []
@@ -259,11 +277,12 @@ def _perhaps(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> Dat
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 85, size: int = WORDS,
                     region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES) -> DataFrame:
     """Per row of ``docs``: id, n_shingles, component_id, kept. Links need 100 * intersection >= share * union."""
-    table = materialize(sketches(docs, id_col, text_col, size), "sketches")
+    orders = orders_for(share)
+    table = materialize(sketches(docs, id_col, text_col, size, orders), "sketches")
     real = table.where("n > 0 and id is not null")
     classes = materialize(real.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "labels")).alias("m"), F.count(F.lit(1)).alias("copies"))
                           .select("f1", "f2", "n", "m.id", "m.labels", "copies"), "classes")
-    members = materialize(regions(classes, region_sets, region_shingles), "regions")
+    members = materialize(regions(classes, region_sets, region_shingles, orders), "regions")
     wanted = members.select("id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = _perhaps(texts, wanted)

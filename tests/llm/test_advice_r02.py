@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from factsieve.llm import mixing  # noqa: E402
+from factsieve.llm import minhash_forest, mixing  # noqa: E402
 
 
 def test_whole_documents_keep_the_target_of_each_source(spark):
@@ -36,3 +36,25 @@ def test_whole_documents_keep_the_target_of_each_source(spark):
         assert share < 0.5 and long_ones["b", n] == pytest.approx(share * size["b", n], rel=0.15)
     again = corpus_pipeline.source_mix(spark, docs.repartition(7), "").groupBy("source", "doc_id", "text").count().withColumn("words", words).collect()
     assert sorted(map(str, again)) == sorted(map(str, out))
+
+
+def test_number_of_orders_follows_the_threshold():
+    chance = lambda share: 1 - (1 - (share / 100) ** minhash_forest.BASE_DEPTH) ** minhash_forest.orders_for(share)
+    assert minhash_forest.orders_for(85) == minhash_forest.ORDERS
+    for share in (50, 70, 80, 84, 85):
+        assert chance(share) >= chance(85)
+    first = minhash_forest._random(minhash_forest.ORDERS)
+    for part, more in zip(first, minhash_forest._random(minhash_forest.orders_for(80))):
+        assert (more[:len(part)] == part).all() and len(set(more.tolist())) == len(more)
+
+
+def test_near_duplicates_at_80(spark):
+    from test_corpus_operators import near_copies, shingles, smallest_reachable
+
+    rng = random.Random(12)
+    texts = [t for _ in range(60) for t in near_copies(rng, 3, 2)]
+    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    links = [(a, b) for a in sets for b in sets if a // 3 == b // 3 and a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = smallest_reachable(sets, links)
+    out = minhash_forest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), share=80).collect()
+    assert {r.doc_id: r.component_id for r in out} == want
