@@ -6,6 +6,11 @@ large for one task is cut at the next label value, as deep as needed (the forest
 its siblings still meets the region's hubs, the members in the heaviest branch.  Inside a region full shingle sets
 are compared, and only a spanning forest of the confirmed links leaves it, never all pairs.
 
+The members of regions beyond the bounds are a crowd: cutting may part two linked members of it, so those that the cut regions have not
+united meet once more, exactly.  Shingles are ordered by how often the crowd holds them, rare ones first; two sets at similarity s
+share one of the first (1 - s) n + 1 of each, so members that share such a shingle are compared, block against
+block in tasks of their own where they are many.
+
 Hot groups: documents with equal sets are one class with its smallest id before any order is built, whatever their
 number; a region of distinct near copies is bounded by ``REGION_SETS`` members and ``REGION_SHINGLES`` shingles.
 
@@ -40,6 +45,8 @@ REGION_SETS, REGION_SHINGLES = 2048, 4_000_000
 HUBS = 8
 #: Bits of the bitmap that names the ids whose texts are needed again: 16 MB.
 FILTER_BITS = 27
+#: Counters of the crowd's shingles, which only order them: 2 MB.
+COUNTER_BITS = 18
 
 
 def orders_for(share: int) -> int:
@@ -152,7 +159,7 @@ def _crowded(rows: DataFrame) -> DataFrame:
 
 
 def regions(classes: DataFrame, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES, orders: int = ORDERS) -> DataFrame:
-    """Rows (region, id, hub): members of each region that must be compared.
+    """Rows (region, id, hub, crowd): members of each region that must be compared; crowd marks those of a region beyond the bounds.
 
     A region beyond the bounds is cut at the next label; its hubs (members on the heaviest branch, at most ``HUBS``) go to each
     part, and a part that is still too large at full depth is dealt into parts of bounded size.
@@ -164,7 +171,7 @@ def regions(classes: DataFrame, region_sets: int = REGION_SETS, region_shingles:
     out = []
     for level in range(DEPTH - BASE_DEPTH + 1):
         small = (F.col("members") <= region_sets) & (F.col("shingles") <= region_shingles)
-        out.append(rows.where(small).select("region", "id", F.lit(False).alias("hub")))
+        out.append(rows.where(small).select("region", "id", F.lit(False).alias("hub"), F.lit(False).alias("crowd")))
         big = rows.where(~small)
         if not big.limit(1).count():
             break
@@ -178,8 +185,8 @@ def regions(classes: DataFrame, region_sets: int = REGION_SETS, region_shingles:
         parts = F.ceil(F.greatest(F.col("members") / F.lit(region_sets / 2), F.col("shingles") / F.lit(region_shingles / 2))).cast("long")
         dealt = big.select(F.xxhash64("region", F.pmod(F.xxhash64("id", F.lit(level)), parts)).alias("part"), "region", "id")
         met = dealt.select("region", "part").distinct().join(hubs, "region").select(
-            F.col("part").alias("region"), F.explode("hubs").alias("id"), F.lit(True).alias("hub"))
-        out += [dealt.select(F.col("part").alias("region"), "id", F.lit(False).alias("hub")), met]
+            F.col("part").alias("region"), F.explode("hubs").alias("id"), F.lit(True).alias("hub"), F.lit(True).alias("crowd"))
+        out += [dealt.select(F.col("part").alias("region"), "id", F.lit(False).alias("hub"), F.lit(True).alias("crowd")), met]
         if last:
             break
         cut = big.select("id", "n", F.xxhash64("region", branch).alias("region"), "deeper")
@@ -259,6 +266,58 @@ def _compare(share: int) -> callable:
     return run
 
 
+def _place(keys: np.ndarray) -> np.ndarray:
+    return (tb.mix(keys) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
+
+
+def _count_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counters over one task's sets."""
+    total = np.zeros(1 << COUNTER_BITS, np.int64)
+    for batch in batches:
+        for s in batch.column(0):
+            np.add.at(total, _place(np.frombuffer(s.as_buffer(), np.uint64)), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["place", "n"])
+
+
+def _prefixes(share: int, counters) -> callable:
+    """The shingles of each set that a set linked with it shares at least one of, in one order for all sets."""
+    def run(sets: pa.Array) -> pa.Array:
+        out, ends, often = [np.zeros(0, np.uint64)], [0], counters.value
+        for s in sets:
+            keys = np.frombuffer(s.as_buffer(), np.uint64)
+            keep = len(keys) - (share * len(keys) + 99) // 100 + 1
+            out.append(keys[np.lexsort((keys, often[_place(keys)]))[:keep]])
+            ends.append(ends[-1] + len(out[-1]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out).view(np.int64)))
+
+    return run
+
+
+def crowd_links(crowd: DataFrame, sets: DataFrame, links: DataFrame, share: int, region_sets: int, region_shingles: int) -> DataFrame:
+    """Links (a, b) among the ids of ``crowd`` that unite what ``links`` do not: with them, all links of the crowd are covered."""
+    spark = crowd.sparkSession
+    known = components(links, "crowd-near")
+    members = materialize(crowd.join(sets, "id").join(known, F.col("id") == F.col("node"), "left").select(
+        "id", F.coalesce("component", "id").alias("united"), "shingles"), "crowd")
+    often = np.zeros(1 << COUNTER_BITS, np.int64)
+    for r in members.select("shingles").mapInArrow(_count_shingles, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
+        often[r["place"]] = r["n"]
+    prefix = F.arrow_udf(_prefixes(share, spark.sparkContext.broadcast(often)), "array<bigint>")
+    held = materialize(members.select("id", "united", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.explode(prefix("shingles")).alias("key")), "prefixes")
+    groups = held.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("all"),
+                                     F.min("united").alias("low"), F.max("united").alias("high")).where("low <> high")
+    # two blocks of a pair are at most about the bounds of a region
+    blocks = F.ceil(F.greatest(F.col("members") / F.lit(region_sets / 2), F.col("all") / F.lit(region_shingles / 2))).cast("int")
+    dealt = held.join(groups.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a pair of blocks is one region whichever of the two a member is in; a block alone is met with each other one
+    region = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    met = paired.where("blocks = 1 or block <> other").select(region.alias("region"), "id")
+    compared = met.join(members.select("id", "shingles"), "id").select("region", "id", "shingles").repartition("region").sortWithinPartitions("region", "id")
+    return compared.mapInArrow(_compare(share), "a long, b long")
+
+
 def _perhaps(rows: DataFrame, wanted: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
     """Rows whose id may be among the wanted ones, by a bitmap of id hashes, so that few other texts reach the exact join.
 
@@ -295,6 +354,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     compared = (members.groupBy("region", "id").agg(F.max("hub").alias("hub")).join(sets, "id").select("region", "id", "shingles")
                 .repartition("region").sortWithinPartitions("region", "id"))
     links = compared.mapInArrow(_compare(share), "a long, b long")
+    crowd = members.where("crowd").select("id").distinct()
+    if crowd.limit(1).count():
+        links = materialize(links, "links")
+        links = links.unionAll(crowd_links(crowd, sets, links, share, region_sets, region_shingles))
     found = components(links, "near")
     linked = classes.select("f1", "f2", "n", "copies", "id").join(found, F.col("id") == F.col("node"), "left").select(
         "f1", "f2", "n", F.coalesce("component", "id").alias("component"), "copies")

@@ -58,3 +58,32 @@ def test_near_duplicates_at_80(spark):
     want = smallest_reachable(sets, links)
     out = minhash_forest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), share=80).collect()
     assert {r.doc_id: r.component_id for r in out} == want
+
+
+@pytest.mark.parametrize("bounds", [{"region_sets": 8, "region_shingles": 10_000}])
+def test_pairs_inside_a_crowd_below_the_threshold(spark, bounds):
+    """Form letters at about 0.75 to each other, with pairs of real copies, some of which share a common rare phrase."""
+    from test_corpus_operators import shingles, smallest_reachable
+
+    rng = random.Random(13)
+    form = [f"f{rng.randint(0, 900)}" for _ in range(150)]
+    texts = []
+    for i in range(400):
+        own = [f"o{rng.randint(0, 10 ** 7)}" for _ in range(22)]
+        if i % 3 == 0:
+            own[:8] = [f"p{j}" for j in range(8)]
+        texts.append(form + own)
+        if i % 2 == 0:  # thirteen shingles of 168 changed: similarity 0.856
+            copy, at = list(texts[-1]), rng.randrange(10, 130)
+            copy[at] = copy[at + 3] = f"c{i}"
+            copy[5] = f"d{i}"
+            texts.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    sets = {i: shingles(t) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = smallest_reachable(sets, links)
+    assert len(links) >= 200 and len(set(want.values())) > 200
+    out = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **bounds).collect()
+    assert {r.doc_id: r.component_id for r in out} == want
