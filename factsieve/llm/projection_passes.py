@@ -2,7 +2,8 @@
 
 Each pass gives a vector the concatenated signs of its own random projections and sorts the vectors of a label by them; vectors
 in the same run of equal leading signs are neighbours and are compared, a run longer than ``WINDOW`` in sorted
-order with the next ``WINDOW`` vectors.  The confirmed pairs of all passes are united to components; a linked pair always lies inside
+order with the next ``WINDOW`` vectors.  A label with such runs is also met exactly, by blocks in tasks of their own: either all pairs of its
+long runs or, where that is less, all pairs of the label.  The confirmed pairs of all passes are united to components; a linked pair always lies inside
 one, so the links of a vector are then counted there exactly, block against block, without emitting pairs.
 
 Equal vectors of a label are one class with a multiplicity before the passes, whatever their number.  A component
@@ -105,6 +106,58 @@ def _neighbours(cosine: float, window: int):
     return run
 
 
+def _within(cosine: float):
+    """Links of rows (region, id, vector) by all pairs of a region; only a spanning forest of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(ids: list, rows: list) -> pa.RecordBatch:
+            x = _matrix(rows)
+            linked = x @ x.T >= cosine - 1e-12
+            np.fill_diagonal(linked, False)
+            out, new = [], np.ones(len(x), bool)
+            for root in np.flatnonzero(linked.any(1)):
+                queue = [root] if new[root] else []
+                new[root] = False
+                while queue:
+                    at = queue.pop()
+                    near = np.flatnonzero(linked[at] & new)
+                    new[near] = False
+                    out += [(ids[at], ids[n]) for n in near]
+                    queue += near.tolist()
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        name, ids, rows = None, [], []
+        for batch in batches:
+            for r, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if r != name:
+                    if len(ids) > 1:
+                        yield links(ids, rows)
+                    name, ids, rows = r, [], []
+                ids.append(i)
+                rows.append(v.values.to_numpy(zero_copy_only=False))
+        if len(ids) > 1:
+            yield links(ids, rows)
+
+    return run
+
+
+def _long_links(passed: DataFrame, runs: DataFrame, cosine: float, window: int, block: int) -> DataFrame:
+    """Links of the runs longer than the window, by all pairs of the run or of its label, whichever are fewer."""
+    long_runs = runs.where(F.col("n") > window)
+    first = passed.where("pass = 0")
+    sizes = first.join(long_runs.select("label").distinct(), "label").groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    plan = materialize(long_runs.groupBy("label").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).join(sizes, "label").select(
+        "label", "size", (F.col("pairs") > F.col("size").cast("double") * F.col("size")).alias("whole")), "long-labels")
+    whole = first.join(plan.where("whole").select("label", F.col("size").alias("n")), "label").select(F.col("label").alias("cell"), "n", "id", "v")
+    parts = passed.join(long_runs.join(plan.where("not whole"), "label").select("run", "n"), "run").select(F.col("run").alias("cell"), "n", "id", "v")
+    # two blocks of a pair hold about ``block`` vectors
+    dealt = whole.unionAll(parts).withColumn("blocks", F.ceil(F.col("n") * 2 / F.lit(block)).cast("int")).withColumn(
+        "block", F.pmod(F.xxhash64("id", "cell"), F.col("blocks")).cast("int"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block <> other")
+    regions = paired.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "id", "v")
+    return regions.repartition("region").sortWithinPartitions("region", "id").mapInArrow(_within(cosine), "a long, b long")
+
+
 def _counts(cosine: float):
     """Rows (pair of blocks, side, id, copies, vector): for each vector of the first block, its links into the second."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,11 +194,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     classes = materialize(table.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     signs = F.arrow_udf(_signs, "array<bigint>")
     keyed = classes.select("id", "label", "v", signs("v").alias("signs"))
-    passed = keyed.select("id", "v", "label", F.posexplode("signs").alias("pass", "key")).select(
-        F.xxhash64("pass", "label", F.size("v"), F.shiftright("key", SIGNS - PREFIX)).alias("run"), "key", "id", "v")
-    crowded = passed.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("run")
-    sorted_runs = passed.join(crowded, "run", "left_semi").repartition("run").sortWithinPartitions("run", "key", "id").select("run", "id", "v")
-    found = materialize(components(sorted_runs.mapInArrow(_neighbours(cosine, window), "a long, b long"), "vector-links"), "groups")
+    passed = keyed.select("id", "v", F.xxhash64("label", F.size("v")).alias("label"), F.posexplode("signs").alias("pass", "key")).select(
+        F.xxhash64("pass", "label", F.shiftright("key", SIGNS - PREFIX)).alias("run"), "label", "pass", "key", "id", "v")
+    runs = materialize(passed.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "runs")
+    sorted_runs = passed.join(runs.select("run"), "run", "left_semi").repartition("run").sortWithinPartitions("run", "key", "id").select("run", "id", "v")
+    links = sorted_runs.mapInArrow(_neighbours(cosine, window), "a long, b long")
+    if runs.where(F.col("n") > window).limit(1).count():
+        links = links.unionAll(_long_links(passed, runs, cosine, window, block))
+    found = materialize(components(links, "vector-links"), "groups")
     sizes = found.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     members = materialize(found.join(sizes, "component").join(classes.select("id", "copies", "v"), F.col("node") == F.col("id")).select(
         "component", "blocks", "id", "copies", "v", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block")), "members")

@@ -3,13 +3,14 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
-from factsieve.llm import minhash_forest, mixing  # noqa: E402
+from factsieve.llm import minhash_forest, mixing, projection_passes  # noqa: E402
 
 
 def test_whole_documents_keep_the_target_of_each_source(spark):
@@ -87,3 +88,26 @@ def test_pairs_inside_a_crowd_below_the_threshold(spark, bounds):
     assert len(links) >= 200 and len(set(want.values())) > 200
     out = minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **bounds).collect()
     assert {r.doc_id: r.component_id for r in out} == want
+
+
+def test_embeddings_of_a_dense_label_against_brute_force(spark):
+    rng = np.random.default_rng(14)
+    unit = lambda x: x / np.linalg.norm(x)
+    mean, rows = unit(rng.standard_normal(64)), []
+    for _ in range(400):
+        x = unit(0.95 ** 0.5 * mean + 0.05 ** 0.5 * unit(rng.standard_normal(64)))
+        rows.append(x)
+        if len(rows) % 4 == 0:
+            away = rng.standard_normal(64)
+            rows.append(unit(0.983 * x + (1 - 0.983 ** 2) ** 0.5 * unit(away - (away @ x) * x)))
+    all_ = np.array(rows)
+    near = all_ @ all_.T >= 0.98
+    links = [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b]
+    from test_corpus_operators import smallest_reachable
+
+    want = smallest_reachable(range(len(rows)), links)
+    df = spark.createDataFrame([(i, x.tolist(), "a") for i, x in enumerate(rows)], "vec_id long, embedding array<double>, label string")
+    for settings in ({"window": 8, "block": 64}, {"window": 256}):
+        out = projection_passes.near_duplicates(df, **settings).collect()
+        assert {r.vec_id: r.component_id for r in out} == want
+        assert {r.vec_id: r.n_links for r in out} == {i: int(n) - 1 for i, n in enumerate(near.sum(1))}
