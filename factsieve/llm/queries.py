@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factsieve.llm import (bpe, compression_quality, language_filters, license_scan, minhash_forest, mixing, pii, projection_passes, repetition,
-                           token_store)
+from factsieve.llm import (bpe, compression_quality, divergence, language_filters, license_scan, minhash_forest, mixing, periodic_runs, pii,
+                           projection_passes, repetition, suffix_trees, token_store)
 
 BYTE_TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -65,6 +65,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_filters.identify(table(spark, sf_dir, "documents"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_trees.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    text = periodic_runs.plant_runs(F.col("text"), F.when(h % 10 == 0, F.floor(h / 10)))
+    best = F.col("r.strongest")
+    written = F.array_join(F.transform("r.runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    listed = F.when(F.size("r.runs") > 0, F.concat(written, F.lit("\n"))).otherwise(F.lit(""))
+    return docs.select("doc_id", periodic_runs.periodic_runs(text).alias("r")).select(
+        "doc_id", F.size("r.runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.expr("(1000 * r.strongest.length) div r.strongest.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("r.collapsed", 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +96,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_source_mix": op1, "op2_minhash_forest": op2, "op3_contextual_pii": op3, "op4_compression_quality": op4, "op5_token_store": op5,
     "op6_projection_passes": op6, "op7_bpe_automaton": op7, "op8_repetition_rules": op8, "op9_license_scan": op9,
-    "op10_language_filters": op10, "pipeline": pipeline,
+    "op10_language_filters": op10, "op11_suffix_trees": op11, "op12_divergence_quadtree": op12, "op13_periodic_runs": op13,
+    "pipeline": pipeline,
 }
 
 _COMPONENTS = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
@@ -137,4 +160,37 @@ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM good x JOIN good y ON x.label
 degree AS (SELECT a, count(*) AS k FROM both_ways GROUP BY a)
 SELECT vec_id, coalesce(k, 0) AS n_links, c AS component_id, vec_id = c AS kept
 FROM nodes JOIN comp ON comp.n = vec_id LEFT JOIN degree ON a = vec_id""",
+    # every window of every text
+    "op11_suffix_trees": r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT r, i, words[i:i + 34] AS win FROM w, unnest(range(1, len(words) - 33)) AS u(i)),
+c AS (SELECT md5(array_to_string(win, ' ')) AS h, count(*) AS n FROM s GROUP BY ALL HAVING count(*) > 1),
+x AS (SELECT s.r, s.i FROM s JOIN c ON md5(array_to_string(win, ' ')) = c.h),
+cov AS (SELECT DISTINCT r, i + j AS p FROM x, unnest(range(0, 35)) AS u(j)),
+k AS (SELECT w.r, w.doc_id, len(words) AS n_words, p.i AS p, words[p.i] AS word FROM w, unnest(range(1, len(words) + 1)) AS p(i)),
+kept AS (SELECT k.r, string_agg(word, ' ' ORDER BY k.p) AS t, count(*) AS n FROM k ANTI JOIN cov ON k.r = cov.r AND k.p = cov.p GROUP BY k.r)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, len(words)::BIGINT - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.r = w.r""",
+    # every kept term of every pair of sources
+    "op12_divergence_quadtree": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT r, lang, source, term, count(*) AS n FROM (SELECT r, lang, source, unnest(words) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM w GROUP BY ALL HAVING count(*) >= 30),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT w.lang, w.source, w.term, sum(w.n)::HUGEINT AS n FROM w JOIN k ON w.lang = k.lang AND w.term = k.term GROUP BY ALL),
+t AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS total FROM g LEFT JOIN c ON g.lang = c.lang AND g.source = c.source GROUP BY ALL),
+p AS (SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (t.total + 5 * l.v) AS p,
+    1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+  FROM t JOIN l ON t.lang = l.lang JOIN k ON k.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y
+    ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u) WHERE part = 'pair' OR rank <= 50""",
 }

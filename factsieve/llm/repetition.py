@@ -1,11 +1,11 @@
 """Quality rules: characters covered by repeated n-grams and lines (operator 8).
 
-Every whole text is cut into words and lines over its bytes; rolling hashes of several n-gram lengths are compared inside the
-text, and the characters of the words that any repeated n-gram covers are counted.  Nothing leaves a row, so there is no
+Every whole text is cut into words and lines over its bytes; words and lines are numbered by their bytes, so that equal numbers mean
+equal bytes, and rolling hashes of the word numbers, of several n-gram lengths, are compared inside the text, and the characters of the words that any repeated n-gram covers are counted.  Nothing leaves a row, so there is no
 shuffle, and a task holds one chunk of texts (about 1 MB, or one longer text) at a time.
 
 Defined results: a null or empty text, and one of white space only, has no words, zero counts, ``base_failed`` true and
-``kept`` false.  Repeated rows get equal results.  Other columns are never read.
+``kept`` false.  Repeated rows get equal results.  An empty table gives no rows.  Other columns are never read.
 """
 
 from __future__ import annotations
@@ -77,7 +77,7 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray, cover_limits: dict[int,
     count = len(offsets) - 1
     starts, ends, text = tb.words(data, offsets)
     bounds = np.searchsorted(text, np.arange(count + 1))
-    hashes = tb.span_hashes(data, starts, ends)
+    hashes = tb.mix(tb.span_ids(data, starts, ends)[0].astype(np.uint64) + np.uint64(1))
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int64)])
     chars = points[ends] - points[starts]
     n_words, word_chars = np.diff(bounds), _sums(chars, bounds)
@@ -90,7 +90,8 @@ def measure_chunk(data: np.ndarray, offsets: np.ndarray, cover_limits: dict[int,
     line_of_text = np.searchsorted(offsets, cuts, side="right") - 1
     line_words = np.searchsorted(starts, np.append(cuts, len(data)))
     lines = np.flatnonzero(np.diff(line_words) > 0)
-    _, later = _repeated(tb.span_hashes(data, cuts[lines], stops[lines]), line_of_text[lines])
+    line_ids = tb.span_ids(data, cuts[lines], stops[lines])[0].astype(np.uint64)
+    _, later = _repeated(line_ids, line_of_text[lines])
     line_chars = _sums(chars, line_words)[lines]
     per_text = lambda x: np.bincount(line_of_text[lines], weights=x, minlength=count).astype(np.int64)
     dup_lines, dup_line_chars = per_text(later), per_text(later * line_chars)

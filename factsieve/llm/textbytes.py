@@ -1,8 +1,8 @@
 """Words, lines and their hashes over the UTF-8 bytes of many texts at once, in numpy.
 
 A word is a maximal run of bytes other than space and tab to carriage return.  White space is ASCII, so cutting the bytes
-cuts the code points in the same places.  A span's hash is a polynomial over its bytes modulo 2**64, taken as the difference
-of two running sums; the multiplier is odd, so the factor of the start can be divided out.
+cuts the code points in the same places.  Inside a run of texts spans are told apart by number (equal bytes, equal number); across
+tasks by XXH3 hashes of their whole bytes, which no structure of a text brings together.
 """
 
 from __future__ import annotations
@@ -11,16 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BLOCK = 1 << 16
-_POWERS: dict[int, np.ndarray] = {}
 CHUNK_BYTES = 1 << 20
 
 
@@ -33,23 +30,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _powers(base: np.uint64, count: int) -> np.ndarray:
-    known = _POWERS.get(int(base))
-    if known is None or len(known) < count:
-        with np.errstate(over="ignore"):
-            known = np.concatenate([[np.uint64(1)], np.full(max(count, _BLOCK), base, np.uint64)]).cumprod(dtype=np.uint64)
-        _POWERS[int(base)] = known
-    return known[:count]
+def span_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each span as an Arrow column; spans follow each other and do not overlap."""
+    sizes = ends - starts
+    places = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=places[1:])
+    edges = np.zeros(len(data) + 1, np.int8)
+    filled = sizes > 0
+    np.add.at(edges, starts[filled], 1)
+    np.subtract.at(edges, ends[filled], 1)
+    held = data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(held)])
+
+
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each span, the same for equal bytes only, and the distinct bytes in the order of their numbers."""
+    coded = span_values(data, starts, ends).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span; equal spans have equal hashes wherever they stand."""
+    """64-bit hash of the bytes of each span, the same in every task; each distinct span is hashed once."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), dtype=np.uint64, out=sums[1:])
-    value = (sums[ends] - sums[starts]) * _powers(_INVERSE, len(data) + 1)[starts]
-    return mix(value ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+    numbers, distinct = span_ids(data, starts, ends)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))[numbers]
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
