@@ -193,10 +193,10 @@ def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     i, j = np.divmod(np.arange(len(left) * len(right)), len(right))
     if own:
         i, j = i[i != j], j[i != j]
-    out = pd.DataFrame({"lang": lang, "source": np.array(left, object)[i], "item": np.array(right, object)[j], "value": value[i, j]})
+    a, b, found = np.array(left, object)[i], np.array(right, object)[j], value[i, j]
     if not own:
-        out = pd.concat([out, out.rename(columns={"source": "item", "item": "source"})[["lang", "source", "item", "value"]]])
-    return out
+        a, b, found = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([found, found])
+    return pd.DataFrame({"lang": lang, "source": a, "item": b, "value": found})
 
 
 # ---- the audit ------------------------------------------------------------------------------------------------------------
