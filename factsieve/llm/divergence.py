@@ -25,7 +25,6 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -170,33 +169,29 @@ def joint_differences(a: Quadtree, b: Quadtree, height: int, n_terms: int) -> np
 _TILE_OUT = "lang string, source string, item string, value long"
 
 
-def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     """Differences of all pairs of one tile. Rows with ``row`` -1 are the sources; the others are counted terms."""
-    (lang, _, low, high), n_terms = key, int(rows["tile_terms"].iloc[0])
-    own = low == high
-    heads, cells = rows[rows["row"] < 0], rows[rows["row"] >= 0]
-    sides = []
-    for side in (0, 1):
-        head = heads[heads["side"] == side].sort_values("col")
-        cell = cells[cells["side"] == side]
-        sides.append((head["source"].tolist(), head["share"].to_numpy(np.int64), cell))
-    if own:
-        sides[1] = sides[0]
-    if not len(sides[0][0]) or not len(sides[1][0]):  # no source fell into the other block
-        return pd.DataFrame({"lang": [], "source": [], "item": [], "value": []})
-    widest = max(n_terms, len(sides[0][0]), len(sides[1][0]))
-    height = max(0, (-(-widest // LEAF) - 1).bit_length())
-    trees = [Quadtree(c["row"].to_numpy(np.int64), c["col"].to_numpy(np.int64), c["share"].to_numpy(np.int64), absent, height)
-             for _, absent, c in sides]
-    value = joint_differences(*trees, height, n_terms)
-    (left, _, _), (right, _, _) = sides
-    i, j = np.divmod(np.arange(len(left) * len(right)), len(right))
-    if own:
-        i, j = i[i != j], j[i != j]
-    a, b, found = np.array(left, object)[i], np.array(right, object)[j], value[i, j]
-    if not own:
-        a, b, found = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([found, found])
-    return pd.DataFrame({"lang": lang, "source": a, "item": b, "value": found})
+    lang, _, low, high = (k.as_py() for k in key)
+    n_terms, row, side, col, share_of = (rows[c].to_numpy() for c in ("tile_terms", "row", "side", "col", "share"))
+    names, sides = rows["source"], []
+    for which in (0,) if low == high else (0, 1):
+        head = np.flatnonzero((row < 0) & (side == which))
+        head, cell = head[np.argsort(col[head])], (row >= 0) & (side == which)
+        sides.append((names.take(pa.array(head)).to_pylist(), share_of[head], row[cell], col[cell], share_of[cell]))
+    n_terms, (left, right) = int(n_terms[0]), (sides[0][0], sides[-1][0])
+    a, b, found = [], [], np.zeros(0, np.int64)
+    if left and right:  # by chance a block may hold no source
+        height = (-(-max(n_terms, len(left), len(right)) // LEAF) - 1).bit_length()
+        trees = [Quadtree(*cells, absent, height) for _, absent, *cells in sides]
+        value = joint_differences(trees[0], trees[-1], height, n_terms)
+        i, j = np.divmod(np.arange(len(left) * len(right)), len(right))
+        if low == high:
+            i, j = i[i != j], j[i != j]
+        a, b, found = np.array(left, object)[i], np.array(right, object)[j], value[i, j]
+        if low != high:
+            a, b, found = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([found, found])
+    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "source": pa.array(a, pa.string()), "item": pa.array(b, pa.string()),
+                     "value": pa.array(found, pa.int64())})
 
 
 # ---- the audit ------------------------------------------------------------------------------------------------------------
@@ -247,7 +242,7 @@ def _pairs(groups: DataFrame, placed: DataFrame, shared: DataFrame) -> DataFrame
         *[c for c in columns if c not in ("row", "share")], F.lit(-1).cast("long").alias("row"), F.col("absent").alias("share")).select(*columns)
     cells = _met(shared).withColumn("source", F.lit(None).cast("string")).select(*columns)
     rows = heads.unionAll(cells).join(tiles, ["lang", "tile"])
-    parts = rows.groupBy("lang", "tile", "low", "high").applyInPandas(_tile, _TILE_OUT)
+    parts = rows.groupBy("lang", "tile", "low", "high").applyInArrow(_tile, _TILE_OUT)
     summed = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     return _ranked(summed, "pair")
 
