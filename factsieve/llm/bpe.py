@@ -5,8 +5,8 @@ sum of the skips along a word's arcs is its number, and the number points at its
 one block of bytes, broadcast (its size is bounded by ``lexicon_words``) and memory-mapped in each Python worker.
 Words outside it are merged exactly, many at once in numpy; a word longer than ``LONG`` bytes with a heap.
 
-A text is cut at its special tokens, at white space, and then into words as the tokenizer does.  A bounded memo per worker
-keeps the ids of recent pieces.
+A text is cut at its special tokens, at white space, and then into words as the tokenizer does.  Each distinct piece of a chunk
+of texts is coded once, in flat arrays, and a memo bounded in number and bytes keeps the ids of recent pieces in each worker.
 
 Defined results: a null text counts as empty and has no ids; text of a special token gives that token's id.  Repeated
 rows get equal results.  Other columns are never read.  An empty table gives no rows and an empty lexicon.
@@ -22,7 +22,6 @@ import os
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +29,18 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factsieve.llm import textbytes as tb
+from factsieve.llm.pieces import MARKS, Memo, binary_rows, flat, letters_then_marks, ragged
 from factsieve.plans.store import materialize
 
 LEXICON_WORDS = 131_072
 #: A word of the lexicon occurs this often at least.
 MIN_COUNT = 8
-#: Bound of the words counted in a task before they are handed on, and of the pieces and words in a worker's memos.
-COUNTED, REMEMBERED = 400_000, 600_000
+#: Bound of the words counted in a task before they are handed on.
+COUNTED = 200_000
 LONG = 48
-CHUNK_CHARS = 2_000_000
+#: Texts coded together.
+CHUNK_BYTES = 4 << 20
 
 # Fixed values of the tokenizer: white space, and the pattern that cuts text before merging.
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -46,7 +48,8 @@ _PRETOKEN = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WHITE}\p{{L}}\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 # Pieces that the pattern cuts further but never joins: white space parts them.
 _PIECE = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # all but the apostrophe, which may begin a word
+# The white space beyond ASCII, in UTF-8.
+_ODD_WHITE = b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80"
 
 
 def byte_letters() -> dict[str, int]:
@@ -136,12 +139,14 @@ class Tables:
             push(i, after[i])
         return np.array([x for x in ids if x >= 0], np.uint32)
 
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word as little-endian 32-bit numbers, merged exactly: the lowest rank first, the leftmost of equal ones."""
-        out = [b""] * len(words)
-        sizes = np.array([len(w) for w in words], np.int64)
-        for i in np.flatnonzero(sizes > LONG):
-            out[i] = self.merge_long(words[i]).tobytes()
+    def merge(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words flat[start:start + size] one after the other and their numbers, merged exactly: the lowest rank first,
+        the leftmost of equal ones."""
+        counts, parts, rows_of = np.zeros(len(sizes), np.int64), [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            parts.append(self.merge_long(flat[starts[i]:starts[i] + sizes[i]].tobytes()))
+            rows_of.append(np.array([i]))
+            counts[i] = len(parts[-1])
         order = np.argsort(sizes, kind="stable")
         order = order[(sizes[order] <= LONG) & (sizes[order] > 0)]
         for low in range(0, len(order), 4096):
@@ -149,7 +154,7 @@ class Tables:
             width = int(sizes[picked[-1]])
             ids = np.full((len(picked), width + 1), -1, np.int32)
             inside = np.arange(width + 1) < sizes[picked][:, None]
-            ids[inside] = self.of_byte[np.frombuffer(b"".join([words[i] for i in picked]), np.uint8)]
+            ids[inside] = self.of_byte[ragged(flat, starts[picked], sizes[picked])]
             ranks = np.full((len(picked), width + 1), self.none, np.int32)
             ranks[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
             rows, places = np.arange(len(picked)), np.arange(width + 1)
@@ -160,10 +165,9 @@ class Tables:
                 done = best == self.none
                 if done.any():
                     ended = ids[done]
-                    stops = (4 * np.cumsum((ended >= 0).sum(1))).tolist()
-                    flat = ended[ended >= 0].tobytes()
-                    for i, a, b in zip(picked[rows[done]].tolist(), [0, *stops], stops):
-                        out[i] = flat[a:b]
+                    parts.append(ended[ended >= 0].astype(np.uint32))
+                    rows_of.append(picked[rows[done]])
+                    counts[rows_of[-1]] = (ended >= 0).sum(1)
                     go = ~done
                     ids, ranks, rows, at, best = ids[go], ranks[go], rows[go], at[go], best[go]
                     here = np.arange(len(rows))
@@ -177,7 +181,10 @@ class Tables:
                 ranks[here, at] = self.rank(ids[here, at], ids[here, np.minimum(at + 1, width)])
                 left = np.flatnonzero(at > 0)
                 ranks[left, at[left] - 1] = self.rank(ids[left, at[left] - 1], ids[left, at[left]])
-        return out
+        done_order = np.concatenate(rows_of)
+        begin = np.zeros(len(sizes), np.int64)
+        begin[done_order] = np.cumsum(counts[done_order]) - counts[done_order]
+        return ragged(np.concatenate(parts), begin, counts), counts
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids one after the other."""
@@ -249,17 +256,18 @@ class Lexicon:
             at += 8 * n
         self.keys, self.targets, self.skips, self.final, self.bounds = views
         self.ids = np.frombuffer(self.map, np.uint32, int(self.bounds[-1]), at)
-        self.raw = self.ids.tobytes()
 
     def find(self, words: list[bytes]) -> np.ndarray:
-        """Number of each word, -1 where it is not in the lexicon; all words walk the automaton together."""
+        """Number of each word, -1 where it is not in the lexicon."""
         sizes = np.array([len(w) for w in words], np.int64)
-        number = np.zeros(len(words), np.int64)
-        state = np.full(len(words), self.root, np.int64)
+        return self.walk(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+
+    def walk(self, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 where it is not in the lexicon; all words walk the automaton together."""
+        number = np.zeros(len(sizes), np.int64)
+        state = np.full(len(sizes), self.root, np.int64)
         alive = np.flatnonzero(sizes > 0)
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        starts = np.cumsum(sizes) - sizes
-        dead = np.ones(len(words), bool)
+        dead = np.ones(len(sizes), bool)
         step = 0
         while len(alive) and len(self.keys):
             key = state[alive] << 8 | flat[starts[alive] + step]
@@ -281,61 +289,106 @@ class Encoder:
 
     def __init__(self, file: bytes, block: bytes) -> None:
         self.tables, self.lexicon = Tables(file), Lexicon(block)
-        self.memo: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.memo = Memo(self.code)
         names = sorted(self.tables.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
-
-    def words(self, words: list[str]) -> None:
-        """Puts the ids of the words into the memo: from the lexicon, or merged."""
-        coded = [w.encode() for w in words]
-        number = self.lexicon.find(coded)
-        merged = iter(self.tables.merge([coded[i] for i in np.flatnonzero(number < 0)]))
-        bounds, ids = (self.lexicon.bounds * 4).tolist(), self.lexicon.raw
-        self.known.update(zip(words, [next(merged) if n < 0 else ids[bounds[n]:bounds[n + 1]] for n in number.tolist()]))
-
-    def learn(self, pieces: set[str]) -> None:
-        """Brings all pieces into the memo; when it is full the older half goes, and frequent words come back from the lexicon."""
-        if len(self.memo) > REMEMBERED:
-            self.memo = dict(islice(self.memo.items(), len(self.memo) // 2, None))
-        if len(self.known) > REMEMBERED:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-        simple, odd = [], []
-        for p in pieces.difference(self.memo):
-            base = p.rstrip(_MARKS)
-            # letters and then marks are two words, wherever they stand
-            if (base[1:] if base[:1] == " " else base).isalpha():
-                simple.append((p, base, p[len(base):]))
-            else:
-                odd.append((p, _PRETOKEN.findall(p)))
-        new = {b for _, b, _ in simple}
-        new.update([t for _, _, t in simple], *[cut for _, cut in odd])
-        new.discard("")
-        self.words(list(new.difference(self.known)))
-        known = self.known
-        self.memo.update([(p, known[b] + known[t]) if t else (p, known[b]) for p, b, t in simple])
-        self.memo.update([(p, b"".join([known[w] for w in cut])) for p, cut in odd])
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit numbers."""
-        low = 0
-        while low < len(texts):
-            high, chars = low, 0
-            while high < len(texts) and (high == low or chars + len(texts[high]) <= CHUNK_CHARS):
-                chars += len(texts[high])
-                high += 1
-            parts = [self._parts(t) for t in texts[low:high]]
-            self.learn(set().union(*[x for text in parts for x in text if isinstance(x, list)]))
-            get = self.memo.__getitem__
-            for text in parts:
-                yield b"".join([b"".join(map(get, x)) if isinstance(x, list) else x for x in text])
-            low = high
+        self.odd = re.compile(b"|".join([_ODD_WHITE, *(re.escape(n.encode()) for n in names)]))
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of the pattern and their numbers: from the lexicon, or merged."""
+        data, bounds = flat(words)
+        sizes = np.diff(bounds)
+        number = self.lexicon.walk(data, bounds[:-1], sizes)
+        new = np.flatnonzero(number < 0)
+        merged, counts = self.tables.merge(data, bounds[:-1][new], sizes[new])
+        known = np.maximum(number, 0)
+        starts, lengths = self.lexicon.bounds[known].copy(), self.lexicon.bounds[np.minimum(known + 1, len(self.lexicon.bounds) - 1)].copy()
+        lengths -= starts
+        starts[new], lengths[new] = len(self.lexicon.ids) + np.cumsum(counts) - counts, counts
+        return ragged(np.concatenate([self.lexicon.ids, merged]), starts, lengths), lengths
+
+    def code(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and their numbers. Letters and then marks are two words, wherever they stand; other pieces are cut by the pattern."""
+        data, low, simple, split = letters_then_marks(pieces, blank=True)
+        counts = np.ones(len(pieces), np.int64)
+        counts[simple] = 1 + (split[simple] < low[1:][simple])
+        odd = np.flatnonzero(~simple)
+        cut = [_PRETOKEN.findall(p.decode()) for p in pieces.take(pa.array(odd)).to_pylist()]
+        counts[odd] = [len(c) for c in cut]
+        begin = np.cumsum(counts) - counts
+        # all words: those of simple pieces from the bytes, the others as cut
+        two = np.flatnonzero(simple & (counts == 2))
+        one = np.flatnonzero(simple)
+        starts, ends = np.concatenate([low[one], split[two]]), np.concatenate([split[one], low[two + 1]])
+        sizes = ends - starts
+        parts = pa.concat_arrays([binary_rows(ragged(data, starts, sizes), np.concatenate([[0], np.cumsum(sizes)])),
+                                  pa.array([w.encode() for c in cut for w in c], pa.large_binary())])
+        slot = np.concatenate([begin[one], begin[two] + 1, ragged(np.arange(int(counts.sum())), begin[odd], counts[odd])])
+        coded = parts.dictionary_encode()
+        pool, lengths = self.words(coded.dictionary)
+        word = np.zeros(int(counts.sum()), np.int64)
+        word[slot] = coded.indices.to_numpy(zero_copy_only=False)
+        first_id = np.cumsum(lengths) - lengths
+        totals = np.concatenate([[0], np.cumsum(lengths[word])])
+        return ragged(pool, first_id[word], lengths[word]), totals[begin + counts] - totals[begin]
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        out = [pa.array([], pa.large_binary())]
+        for _, _, data, offsets in tb.text_chunks(texts, CHUNK_BYTES):
+            cuts = self._cuts(data, offsets)
+            pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data))])
+            bounds = np.searchsorted(cuts, offsets)
+            # texts with special tokens or rare white space are cut one by one
+            found = np.fromiter((m.start() for m in self.odd.finditer(data)), np.int64)
+            odd = np.unique(np.searchsorted(offsets, found, side="right") - 1).tolist()
+            if not odd:
+                out.append(binary_rows(*self.memo.ids(pieces, bounds)))
+                continue
+            stretches, more = {}, []
+            for i in odd:
+                stretches[i] = []
+                for part in self._parts(data[offsets[i]:offsets[i + 1]].tobytes().decode()):
+                    if isinstance(part, list):
+                        stretches[i].append((len(cuts) - 1 + len(more), len(part)))
+                        more += part
+                    else:
+                        stretches[i].append((None, part))
+            ids, at = self.memo.ids(pa.concat_arrays([pieces, pa.array(more, pa.large_binary())]), np.arange(len(cuts) + len(more)))
+            starts, lengths, ends = [], [], [0]
+            for i, (low, high) in enumerate(zip(at[bounds[:-1]].tolist(), at[bounds[1:]].tolist())):
+                for first, n in stretches.get(i, [(low, high)]):
+                    if first is None:  # special tokens stand behind all other ids
+                        starts.append(len(ids) + n)
+                        lengths.append(1)
+                    else:
+                        a, b = (first, n) if i not in stretches else (at[first], at[first + n])
+                        starts.append(int(a))
+                        lengths.append(int(b - a))
+                ends.append(len(lengths))
+            sizes = np.array(lengths, np.int64)
+            whole = np.concatenate([[0], np.cumsum(sizes)])
+            values = ragged(np.concatenate([ids, np.array(list(self.tables.special.values()), np.uint32)]), np.array(starts, np.int64), sizes)
+            out.append(binary_rows(values, whole[ends]))
+        return pa.concat_arrays(out)
+
+    def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bounds of the pieces of texts whose white space is ASCII: a word takes a blank before it along, the rest of the white space
+        and its last character are pieces."""
+        starts, ends, text = tb.words(data, offsets)
+        before = np.maximum(starts - 1, 0)
+        led = (starts > offsets[text]) & tb.SPACE[data[before]]
+        # the last white space before a word parts from the rest, as part of the word if it is a blank
+        marked = np.zeros(len(data) + 1, bool)
+        for cuts in (offsets, starts[~led], starts[led] - 1, starts[led][data[before[led]] != 0x20], ends):
+            marked[cuts] = True
+        return np.flatnonzero(marked)
 
     def _parts(self, text: str) -> list:
-        """Lists of pieces, and between them the ids of special tokens."""
-        if self.cut is None or not any(s in text for s in self.tables.special):
-            return [_PIECE.findall(text)]
-        return [self.tables.special[x].to_bytes(4, "little") if i % 2 else _PIECE.findall(x) for i, x in enumerate(self.cut.split(text))]
+        """Lists of pieces, and between them the places of special tokens."""
+        names = list(self.tables.special)
+        parts = self.cut.split(text) if self.cut else [text]
+        return [names.index(x) if i % 2 else [p.encode() for p in _PIECE.findall(x)] for i, x in enumerate(parts)]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -355,7 +408,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows() -> pa.RecordBatch:
         total: Counter = Counter()
         for piece, n in seen.items():
-            word = piece.rstrip(_MARKS)
+            word = piece.rstrip(MARKS)
             if word.isalpha():
                 total[" " + word] += n
         seen.clear()
@@ -404,7 +457,10 @@ def prepare(docs: DataFrame, tokenizer_path: str, text_col: str = "text", lexico
     file = read_bytes(spark, tokenizer_path)
     tables = Tables(file)
     words = [w.encode() for w in frequent_words(docs, text_col, lexicon_words)]
-    block = compile_lexicon(dict(zip(words, tables.merge(words))))
+    sizes = np.array([len(w) for w in words], np.int64)
+    ids, counts = tables.merge(np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    stops = np.cumsum(counts)
+    block = compile_lexicon({w: ids[b - n:b].tobytes() for w, b, n in zip(words, stops.tolist(), counts.tolist())})
     return spark.sparkContext.broadcast((hashlib.sha256(file + block).hexdigest(), file, block))
 
 
@@ -412,7 +468,7 @@ def encode(shared, text: Column) -> Column:
     """Ids of a text as little-endian unsigned 32-bit numbers in one binary value."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(_encoder(shared).encode([t or "" for t in texts.to_pylist()]), pa.binary())
+        return _encoder(shared).encode(texts).cast(pa.binary())
 
     return F.arrow_udf(run, "binary")(text)
 

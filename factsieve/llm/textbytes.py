@@ -37,8 +37,8 @@ def span_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Ar
     np.cumsum(sizes, out=places[1:])
     edges = np.zeros(len(data) + 1, np.int8)
     filled = sizes > 0
-    np.add.at(edges, starts[filled], 1)
-    np.subtract.at(edges, ends[filled], 1)
+    edges[starts[filled]] += 1
+    edges[ends[filled]] -= 1
     held = data[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
     return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(held)])
 

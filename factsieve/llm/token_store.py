@@ -7,7 +7,8 @@ each bucket of keys) with a stored 32-bit fingerprint, offset and length for eac
 and a foreign key is refused.  Spark's writer commits the files, so a lost executor leaves no half shard.
 
 A key is the document id and the number of the row among rows of the same id.  Encoding is the tokenizers library's;
-white space always parts its words, so the ids of a text are those of its words, and a bounded memo in each worker keeps them.
+white space always parts its words, so the ids of a text are those of its words: each distinct word of a chunk of texts is coded
+once, in flat arrays, and a memo bounded in number and bytes keeps recent ones in each worker.
 
 Defined results: a null or empty text has only the end id; rows of one id follow each other in the order of their texts and are
 told apart by number; rows without an id come first under the null key.  Other columns are never read.  An empty table
@@ -16,7 +17,6 @@ gives an empty store.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -28,17 +28,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factsieve.llm.bpe import _WHITE, read_bytes
+from factsieve.llm import textbytes as tb
+from factsieve.llm.bpe import read_bytes
+from factsieve.llm.pieces import MARKS, Memo, binary_rows, letters_then_marks, ragged
 from factsieve.llm.textbytes import mix
 from factsieve.plans.store import materialize, new_path
 
 END_ID = 1
 SHARD_TOKENS = 1 << 18
-REMEMBERED = 400_000
+#: Simple words in one call of the library, and bytes of text coded together.
+GROUPED, CHUNK_BYTES = 128, 4 << 20
 BUCKET = 4  # keys to a pilot, on average
-_WORD = re.compile(f"[^{_WHITE}]+")
-_ODD = re.compile("[\x1c-\x1f]")
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 SCHEMA = ("shard long, first_id long, last_id long, n_docs long, n_tokens long, ids array<long>, rows array<long>, "
           "index binary, payload binary")
@@ -142,55 +142,53 @@ class WordEncoder:
         vocab = self.library.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.memo: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
-        self.recent: set[str] = set()
-
-    def _ask(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _bases(self, bases: list[str]) -> None:
-        """Words of letters: many in one call; each ends with the one id of its kind that carries the word end."""
-        groups = [bases[i:i + 64] for i in range(0, len(bases), 64)]
-        for group, coded in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(coded.ids, np.uint32)
-            stops = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(stops) == len(group):
-                flat = ids.tobytes()
-                self.known.update(zip(group, [flat[a:b] for a, b in zip([0, *stops], stops)]))
+        self.memo = Memo(self.code)
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def code(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words and their numbers. Many simple words go in one call: each piece ends with the one id that carries the word end."""
+        data, low, plain, split = letters_then_marks(words)
+        strings = words.cast(pa.large_string()).to_pylist()
+        kinds = np.where(plain, 1 + (split < low[1:]), 0)  # pieces of a simple word
+        # a letter may turn into a letter and a mark, which would join the marks after it
+        high = np.concatenate([[0], np.cumsum(data >= 0x80)])
+        for i in np.flatnonzero(plain & (high[low[1:]] > high[low[:-1]])).tolist():
+            if not unicodedata.normalize("NFC", strings[i].rstrip(MARKS)).lower().isalpha():
+                kinds[i] = 0
+        simple, odd = np.flatnonzero(kinds), np.flatnonzero(kinds == 0).tolist()
+        groups = [simple[i:i + GROUPED] for i in range(0, len(simple), GROUPED)]
+        lengths, parts, order = np.zeros(len(strings), np.int64), [np.zeros(0, np.uint32)], []
+        for group, ids in zip(groups, self._ask([" ".join([strings[i] for i in g]) for g in groups])):
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            pieces = np.cumsum(kinds[group])
+            if len(stops) == pieces[-1]:
+                lengths[group] = np.diff(stops[pieces - 1], prepend=0)
+                parts.append(ids)
+                order.append(group)
             else:
-                self.known.update(zip(group, self._ask(group)))
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.memo) > REMEMBERED:
-            self.memo = {w: self.memo[w] for w in self.recent if w in self.memo}
-            self.recent = set()
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        simple, odd = [], []
-        for w in words.difference(self.memo):
-            base = w.rstrip(_TAIL)
-            # a letter may turn into a letter and a mark, which would join the marks after it
-            if base.isalpha() and (base.isascii() or unicodedata.normalize("NFC", base).lower().isalpha()):
-                simple.append((w, base, w[len(base):]))
-            else:
-                odd.append(w)
-        self._bases([b for b in {b for _, b, _ in simple} if b not in self.known])
-        tails = [t for t in {t for _, _, t in simple} if t and t not in self.known]
-        self.known.update(zip(tails, self._ask(tails)))
-        known = self.known
-        self.memo.update((w, known[b] + known[t] if t else known[b]) for w, b, t in simple)
-        self.memo.update(zip(odd, self._ask(odd)))
-        if len(self.recent) < REMEMBERED // 2:
-            self.recent |= words
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        # split() also parts at four control characters that are no white space to the library
-        words = [_WORD.findall(t) if _ODD.search(t) else t.split() for t in texts]
-        self.learn(set().union(*words))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+                odd += group.tolist()
+        if odd:
+            coded = self._ask([strings[i] for i in odd])
+            lengths[odd] = [len(c) for c in coded]
+            parts += coded
+            order.append(np.array(odd))
+        order = np.concatenate(order) if order else np.zeros(0, np.int64)
+        begin = np.zeros(len(strings), np.int64)
+        begin[order] = np.cumsum(lengths[order]) - lengths[order]
+        return ragged(np.concatenate(parts), begin, lengths), lengths
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text as little-endian unsigned 32-bit numbers.
+
+        Words are cut at ASCII white space; other white space stands inside a word, which then goes to the library as it is.
+        """
+        out = [pa.array([], pa.large_binary())]
+        for _, _, data, offsets in tb.text_chunks(texts, CHUNK_BYTES):
+            starts, ends, text = tb.words(data, offsets)
+            out.append(binary_rows(*self.memo.ids(tb.span_values(data, starts, ends), np.searchsorted(text, np.arange(len(offsets))))))
+        return pa.concat_arrays(out)
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
@@ -225,19 +223,17 @@ def _write(shared, end_id: int, shard_tokens: int):
         encoder, number = _encoder(shared.value), TaskContext.get().partitionId() << 32
         ids, rows, parts, tokens, last, row = [], [], [], 0, (), 0
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                piece = batch.slice(low, 512)
-                coded = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
-                for doc_id, code in zip(piece.column(0).to_pylist(), coded):
-                    row = row + 1 if last == (doc_id,) else 0
-                    last = (doc_id,)
-                    ids.append(doc_id)
-                    rows.append(row)
-                    parts.append(code + end)
-                    tokens += len(code) // 4 + 1
-                    if tokens >= shard_tokens:
-                        yield _shard_row(number, ids, rows, parts)
-                        number, ids, rows, parts, tokens = number + 1, [], [], [], 0
+            coded = encoder.encode(batch.column(1))
+            for doc_id, code in zip(batch.column(0).to_pylist(), coded):
+                row = row + 1 if last == (doc_id,) else 0
+                last = (doc_id,)
+                ids.append(doc_id)
+                rows.append(row)
+                parts.append(code.as_py() + end)
+                tokens += len(parts[-1]) // 4
+                if tokens >= shard_tokens:
+                    yield _shard_row(number, ids, rows, parts)
+                    number, ids, rows, parts, tokens = number + 1, [], [], [], 0
         if ids:
             yield _shard_row(number, ids, rows, parts)
 
