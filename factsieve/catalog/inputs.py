@@ -24,6 +24,15 @@ SCORED = """SELECT event_id, event_type AS label, user_id,
   value AS target, value * 0.9 + (event_id % 7) AS guess
 FROM {T}"""
 
+DATED = """SELECT o_orderkey, {DMY} AS day_first, {MDY} AS month_first, CASE WHEN {DAY} <= 12 THEN {DMY} END AS unclear,
+  CASE WHEN o_orderkey % 4 = 0 THEN {MDY} ELSE {DMY} END AS two_conventions,
+  CASE WHEN o_orderkey % 10 = 0 THEN {ISO} ELSE {DOT} END AS two_shapes, o_orderpriority AS no_date FROM {T}"""
+_SPARK_DATES = {k: f"date_format(o_orderdate, '{f}')" for k, f in
+                {"DMY": "dd/MM/yyyy", "MDY": "MM/dd/yyyy", "ISO": "yyyy-MM-dd", "DOT": "dd.MM.yyyy"}.items()}
+_DUCK_DATES = {k: f"strftime(o_orderdate, '{f}')" for k, f in
+               {"DMY": "%d/%m/%Y", "MDY": "%m/%d/%Y", "ISO": "%Y-%m-%d", "DOT": "%d.%m.%Y"}.items()}
+
+WITH_DATED = "WITH dated AS (" + DATED.format(**_DUCK_DATES, DAY="day(o_orderdate)", T="orders") + ") "
 _BASE_SQL = DIRTY_BASE.format(S="VARCHAR", T="orders")
 WITH_BASE = f"WITH base AS ({_BASE_SQL}) "
 WITH_DIRTY = (f"WITH base AS ({_BASE_SQL}), dirty AS (SELECT * FROM base UNION ALL "
@@ -46,6 +55,11 @@ def dirty_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionAll(base.where("o_orderkey % 100 = 0"))
 
 
+def dated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of orders as text in several conventions."""
+    return spark.sql(DATED.format(**_SPARK_DATES, DAY="day(o_orderdate)", T="{orders}"), orders=table(spark, sf_dir, "orders"))
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with fixed predictions, for the metric operators."""
     text = SCORED.format(T="{events}").replace("/ 100.0", "/ 100.0D")

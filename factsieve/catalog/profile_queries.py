@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from factsieve.catalog.inputs import WITH_BASE, WITH_DIRTY, dirty_base, dirty_orders, table
+from factsieve.catalog.inputs import WITH_BASE, WITH_DATED, WITH_DIRTY, dated_orders, dirty_base, dirty_orders, table
 from factsieve.catalog.shape import rounded, union_sql
 from factsieve.operators import browse, profile, roles
+from factsieve.plans import dates
 from factsieve.catalog import file_checks
 from factsieve.sources import files, tables
 
@@ -86,6 +87,47 @@ def q_coerce_datetime(spark, sf):
     return tables.coerce_datetimes(base, roles.role_map(base)).select("o_orderkey", "raw_date", "raw_amount")
 
 
+DATED = ["day_first", "month_first", "unclear", "two_conventions", "two_shapes", "no_date"]
+
+
+def q_date_formats(spark, sf):
+    df = dated_orders(spark, sf)
+    return dates.date_formats(df, DATED)
+
+
+def q_typed_dates(spark, sf):
+    return tables.load(dated_orders(spark, sf))
+
+
+def formats_sql() -> str:
+    """Votes of the formats that the dated orders hold."""
+    known = [(0, "year-month-day", "iso", r"^\d{4}-\d{2}-\d{2}$", "%Y-%m-%d"), (3, "month/day/year", "slash", r"^\d{2}/\d{2}/\d{4}$", "%m/%d/%Y"),
+             (4, "day/month/year", "slash", r"^\d{2}/\d{2}/\d{4}$", "%d/%m/%Y"), (9, "day.month.year", "dot", r"^\d{2}\.\d{2}\.\d{4}$", "%d.%m.%Y"),
+             (10, "month.day.year", "dot", r"^\d{2}\.\d{2}\.\d{4}$", "%m.%d.%Y")]
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {i + 1} AS pos, {c} AS x FROM dated" for i, c in enumerate(DATED))
+    votes = " UNION ALL ".join(f"""SELECT "column", pos, {place} AS place, '{name}' AS format, '{family}' AS family,
+  count(*) FILTER (regexp_matches(x, '{shape}')) AS held, count(*) FILTER (regexp_matches(x, '{shape}') AND try_strptime(x, '{fmt}') IS NOT NULL) AS parsed
+  FROM t GROUP BY "column", pos""" for place, name, family, shape, fmt in known)
+    return WITH_DATED + f""", t AS ({cells}), v AS ({votes}),
+best AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY parsed DESC, place) = 1),
+rivals AS (SELECT v."column", v.format, v.parsed FROM v JOIN best USING ("column") WHERE v.family = best.family AND v.format <> best.format
+  AND v.parsed > 0 QUALIFY row_number() OVER (PARTITION BY v."column" ORDER BY v.parsed DESC, v.place) = 1),
+others AS (SELECT v."column", sum(v.parsed) AS parsed FROM v JOIN best USING ("column") WHERE v.family <> best.family GROUP BY ALL),
+n AS (SELECT "column", count(x) AS n FROM t GROUP BY ALL)
+SELECT b."column", b.pos, n.n, CASE WHEN b.parsed > 0 THEN b.format END AS format, b.parsed, n.n - b.parsed AS unread,
+  CASE WHEN b.parsed = 0 THEN 'none' WHEN o.parsed > 0 OR (b.held > b.parsed AND r.format IS NOT NULL) THEN 'mixed'
+       WHEN r.parsed = b.parsed THEN 'ambiguous' ELSE 'clear' END AS status, CASE WHEN b.parsed > 0 THEN r.format END AS rival
+FROM best b JOIN n USING ("column") LEFT JOIN rivals r USING ("column") LEFT JOIN others o USING ("column")"""
+
+
+def typed_dates_sql() -> str:
+    def chosen(c: str) -> str:
+        m, d = f"try_strptime({c}, '%m/%d/%Y')", f"try_strptime({c}, '%d/%m/%Y')"
+        return f"CASE WHEN (SELECT count({m}) >= count({d}) FROM dated) THEN {m} ELSE {d} END AS {c}"
+    return WITH_DATED + ("SELECT o_orderkey, " + ", ".join(chosen(c) for c in DATED[:4])
+                         + ", try_strptime(two_shapes, '%d.%m.%Y') AS two_shapes, no_date FROM dated")
+
+
 def q_dataset_summary(spark, sf):
     return profile.dataset_summary(dirty_orders(spark, sf))
 
@@ -147,6 +189,8 @@ QUERIES = {
     "sink_roundtrip": lambda s, d: file_checks.sink_roundtrip(table(s, d, "supplier")),
     "normalized_names": q_normalized_names,
     "coerce_datetime": q_coerce_datetime,
+    "date_formats": q_date_formats,
+    "typed_dates": q_typed_dates,
     "logical_bytes": lambda s, d: tables.logical_bytes(dirty_orders(s, d)),
     "column_roles": lambda s, d: roles.column_roles(dirty_orders(s, d)),
     "columns_by_role": lambda s, d: roles.columns_by_role(dirty_orders(s, d)),
@@ -188,6 +232,8 @@ ORACLE = {
     "csv_mixed_folder": "SELECT * REPLACE ('café ' || c_name AS c_name) FROM customer",
     "sink_roundtrip": "SELECT k.sink, s.* FROM supplier s, (VALUES ('parquet'), ('csv'), ('json'), ('orc')) k(sink)",
     "normalized_names": "SELECT n_nationkey AS n_key, n_name AS name, n_regionkey AS name_1 FROM nation",
+    "date_formats": formats_sql(),
+    "typed_dates": typed_dates_sql(),
     "coerce_datetime": WITH_BASE + "SELECT o_orderkey, TRY_CAST(raw_date AS TIMESTAMP) AS raw_date, raw_amount FROM base",
     "logical_bytes": WITH_DIRTY + bytes_sql(),
     "column_roles": WITH_DIRTY + role_sql(),

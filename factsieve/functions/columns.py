@@ -156,12 +156,14 @@ def parse_time(name: str) -> Column:
 
 
 def as_time(df: DataFrame, name: str) -> Column:
-    """timestamp_ntz value of a time or text column."""
+    """timestamp_ntz value of a time or text column; a text column is read in the one format that its values vote for."""
     t = field_type(df, name)
     if isinstance(t, TIME_TYPES):
         return ref(name).cast("timestamp_ntz")
     if isinstance(t, T.StringType):
-        return parse_time(name)
+        from factsieve.plans import dates
+
+        return dates.read(name, dates.formats_of(df, [name])[name])
     raise ValueError(f"Column '{name}' holds no dates.")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factsieve.functions.columns import NESTED_TYPES, NULL_LABEL, group_key, ref
+from factsieve.plans.pages import PageIndex
 
 
 def search_condition(df: DataFrame, text: str, regex: bool = False, null_label: str = NULL_LABEL) -> Column:
@@ -53,9 +54,18 @@ def page_counts(df: DataFrame, text: str = "", page_size: int = 25) -> DataFrame
 
 def page_rows(df: DataFrame, page: int, row_key: list[str], page_size: int = 25, text: str = "",
               column: str | None = None, descending: bool = False) -> DataFrame:
-    """One page of the searched and sorted rows; page and size are clamped to what exists."""
-    size = min(100, max(5, page_size))
-    pages = page_counts(df, text, size).first()["total_pages"]
-    at = min(max(1, page), pages)
+    """One page of the searched and sorted rows; page and size are clamped to what exists.
+
+    For more pages of the same order keep the index of ``page_index``.
+    """
+    return page_index(df, row_key, text, column, descending).page(page, min(100, max(5, page_size)))
+
+
+def page_index(df: DataFrame, row_key: list[str], text: str = "", column: str | None = None, descending: bool = False,
+               path: str | None = None) -> PageIndex:
+    """Writes the searched rows in their order; each page of the index then reads its own slice only.
+
+    ``row_key`` must tell all rows apart.
+    """
     found = search_rows(df, text) if text else df
-    return found.orderBy(*_order(column, descending, row_key)).offset((at - 1) * size).limit(size)
+    return PageIndex.build(found, ([(column, descending)] if column else []) + [(k, False) for k in row_key], path=path)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsieve.functions.columns import NESTED_TYPES, NUMERIC_TYPES, TIME_TYPES, parse_time, string_columns
+from factsieve.functions.columns import NESTED_TYPES, NUMERIC_TYPES, TIME_TYPES, string_columns
+from factsieve.plans import dates
 from factsieve.plans.frequency import value_counts
 
 
@@ -24,32 +25,40 @@ def schema_roles(df: DataFrame) -> dict[str, str | None]:
 
 
 def text_roles(counts: DataFrame) -> DataFrame:
-    """column, role for text columns, from their frequency table (every value weighs with its count)."""
+    """column, role, date_format for text columns, from their frequency table (every value weighs with its count).
+
+    A column is a date column if its one format reads enough of the values; ``date_format`` is null for other columns.
+    """
     weigh = lambda cond: F.sum(F.when(cond, F.col("cnt")).otherwise(0))
     s = counts.groupBy("column").agg(
         F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"),
         F.sum(F.col("chars") * F.col("cnt")).alias("chars"),
-        weigh(parse_time("bare").isNotNull()).alias("dates"), weigh(F.col("plain")).alias("plain"))
+        dates.verdict(dates.votes("bare", "cnt")).alias("v"), weigh(F.col("plain")).alias("plain"))
     n, u = F.col("n"), F.col("u")
-    datelike = (n >= 3) & (F.col("dates") >= F.greatest(F.lit(3), F.floor(n * 0.7))) & (F.col("plain") / n <= 0.7)
+    datelike = (n >= 3) & (F.col("v.parsed") >= F.greatest(F.lit(3), F.floor(n * 0.7))) & (F.col("plain") / n <= 0.7)
     role = (F.when(datelike, "datetime")
             .when((u / n > 0.9) & (F.col("chars") / n > 24), "text")
             .when((u > 100) & (u / n > 0.5), "text")
             .otherwise("categorical"))
-    return s.select("column", role.alias("role"))
+    return s.select("column", role.alias("role"), F.when(datelike, F.col("v.format")).alias("date_format"))
 
 
 def column_roles(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """column, pos, role: one row per column.  A text column without any value is ``text``."""
+    return typed_columns(df, counts).select("column", "pos", "role")
+
+
+def typed_columns(df: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """column, pos, role, date_format (of text columns that hold dates): one row per column."""
     known = schema_roles(df)
     base = df.sparkSession.createDataFrame(
         [(c, i, known[c]) for i, c in enumerate(df.columns)], "column string, pos int, known string")
     texts = string_columns(df)
     if not texts:
-        return base.select("column", "pos", F.col("known").alias("role"))
+        return base.select("column", "pos", F.col("known").alias("role"), F.lit(None).cast("string").alias("date_format"))
     counts = value_counts(df, texts) if counts is None else counts.where(F.col("column").isin(texts))
     return (base.join(text_roles(counts), "column", "left")
-            .select("column", "pos", F.coalesce("known", "role", F.lit("text")).alias("role")))
+            .select("column", "pos", F.coalesce("known", "role", F.lit("text")).alias("role"), "date_format"))
 
 
 def role_map(df: DataFrame, counts: DataFrame | None = None) -> dict[str, str]:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factsieve.functions.columns import distinct_names, finite, parse_time, ref
+from factsieve.functions.columns import distinct_names, finite, ref
+from factsieve.plans import dates
 
 BYTES_PER_TASK = 128 * 1024 * 1024
 
@@ -45,12 +46,14 @@ def normalize(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else ref(f.name) for f in named.schema.fields])
 
 
-def coerce_datetimes(df: DataFrame, roles: dict[str, str]) -> DataFrame:
-    """Text columns of role datetime become timestamp_ntz; what does not parse becomes null."""
-    return df.select(*[
-        parse_time(f.name).alias(f.name)
-        if roles.get(f.name) == "datetime" and isinstance(f.dataType, T.StringType) else ref(f.name)
-        for f in df.schema.fields])
+def coerce_datetimes(df: DataFrame, roles: dict[str, str], formats: dict[str, str | None] | None = None) -> DataFrame:
+    """Text columns of role datetime become timestamp_ntz, each read in one format; what that does not read becomes null.
+
+    ``formats`` names the format of each such column; without it the columns vote (``plans.dates``).
+    """
+    texts = [f.name for f in df.schema.fields if roles.get(f.name) == "datetime" and isinstance(f.dataType, T.StringType)]
+    formats = dates.formats_of(df, texts) if formats is None else formats
+    return df.select(*[dates.read(c, formats.get(c)).alias(c) if c in texts else ref(c) for c in df.columns])
 
 
 def check_table(df: DataFrame, max_columns: int | None = None) -> DataFrame:
@@ -86,7 +89,10 @@ def logical_bytes(df: DataFrame) -> DataFrame:
 
 def load(df: DataFrame) -> DataFrame:
     """Checks, normalises and types an input: the usual first step."""
-    from factsieve.operators.roles import role_map
+    from factsieve.operators.roles import schema_roles, typed_columns
 
     checked = normalize(check_table(df))
-    return coerce_datetimes(checked, role_map(checked))
+    if None not in schema_roles(checked).values():
+        return checked
+    found = typed_columns(checked).collect()
+    return coerce_datetimes(checked, {r["column"]: r["role"] for r in found}, {r["column"]: r["date_format"] for r in found})
