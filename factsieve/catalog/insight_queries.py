@@ -41,26 +41,26 @@ FACTS = WITH_DIRTY + ", roles AS (" + role_sql() + "), f AS (" + union_sql([
         f"""(SELECT '{c}' AS "column", {c}::VARCHAR AS v, count(*) AS k FROM dirty WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY 3 DESC, {c} LIMIT 1)"""
         for c in DIRTY]) + ") "
 
-MISSING = row_sql("missing", "concat('''', \"column\", ''' has missing values')", '"column"',
+MISSING = row_sql("missing", "concat('''', \"column\", ''' lacks values')", '"column"',
                   "CASE WHEN missing * 100.0 / n >= 5 THEN 'warning' ELSE 'info' END", "round(missing * 100.0::DOUBLE / n, 2)",
                   "(SELECT * FROM f WHERE missing > 0 ORDER BY missing DESC, pos LIMIT 3)")
-DOMINANCE = row_sql("dominance", "concat('''', v, ''' dominates ''', \"column\", '''')", '"column"', "'info'",
+DOMINANCE = row_sql("dominance", "concat('Most rows of ''', \"column\", ''' hold ''', v, '''')", '"column"', "'info'",
                     "round(k * 100.0::DOUBLE / (n - missing), 1)",
                     "f JOIN roles USING (\"column\") JOIN tops USING (\"column\") WHERE role IN ('categorical', 'boolean') AND k >= 0.6 * (n - missing)")
 SKEWED = " UNION ALL ".join(row_sql(
-    "distribution", f"concat('''{c}'' is strongly ', CASE WHEN s > 0 THEN 'right' ELSE 'left' END, '-skewed')", f"'{c}'", "'info'", "round(s, 3)",
+    "distribution", f"concat('''{c}'' has a long ', CASE WHEN s > 0 THEN 'right' ELSE 'left' END, ' tail')", f"'{c}'", "'info'", "round(s, 3)",
     f"(SELECT skewness({c}) AS s FROM dirty) WHERE abs(s) >= 1") for c in NUM)
-OUTLIERS = row_sql("outliers", "concat('''', \"column\", ''' has potential outliers')", '"column"', "'warning'", "outliers",
+OUTLIERS = row_sql("outliers", "concat('''', \"column\", ''' has values far off its quartiles')", '"column"', "'warning'", "outliers",
                    "(SELECT *, list_position(['o_orderkey', 'o_custkey', 'o_totalprice'], \"column\") AS p FROM ("
                    + outlier_sql(NUM, "dirty") + ") WHERE n >= 20 AND outliers >= greatest(5, 0.02 * n) ORDER BY p LIMIT 1)")
-DUPLICATES = row_sql("duplicates", "'Duplicate rows found'", "''", "CASE WHEN d >= 0.01 * n THEN 'warning' ELSE 'info' END", "d",
+DUPLICATES = row_sql("duplicates", "'Some rows occur more than once'", "''", "CASE WHEN d >= 0.01 * n THEN 'warning' ELSE 'info' END", "d",
                      f"(SELECT {DUP_SQL} AS d, (SELECT count(*) FROM dirty) AS n) WHERE d > 0")
-IDENTIFIER = row_sql("identifier", "concat('''', \"column\", ''' looks like a unique identifier')", '"column"', "'info'", "u",
+IDENTIFIER = row_sql("identifier", "concat('''', \"column\", ''' tells all rows apart')", '"column"', "'info'", "u",
                      "(SELECT * FROM f JOIN roles USING (\"column\") WHERE role IN ('categorical', 'text') AND u = n AND n > 5 ORDER BY f.pos LIMIT 1)")
 
 
 def trend_insight(source: str, t: str, columns: list[str]) -> str:
-    return row_sql("trend", "concat('\'\'', \"column\", '\'\' has ', CASE WHEN r > e THEN 'increased' ELSE 'decreased' END, ' from the earliest to the latest period')",
+    return row_sql("trend", "concat('\'\'', \"column\", '\'\' ', CASE WHEN r > e THEN 'rose' ELSE 'fell' END, ' between its first and its last third')",
                    f"concat('{t},', \"column\")", "'info'", "round(100 * (r - e) / abs(e), 1)",
                    "(SELECT * FROM (" + union_sql([f"SELECT {i} AS p, * FROM {third_sql(source, t, c)}" for i, c in enumerate(columns)])
                    + ") WHERE n >= 12 AND e <> 0 AND abs(100 * (r - e) / abs(e)) >= 20 ORDER BY p LIMIT 1)")
@@ -72,8 +72,8 @@ def corr_rows(columns: list[str], source: str) -> str:
 
 
 def corr_insight(columns: list[str], source: str) -> str:
-    title = """CASE WHEN abs(r) >= 0.5 THEN concat(x, ' and ', y, ' show a ', CASE WHEN abs(r) >= 0.85 THEN 'very strong' WHEN abs(r) >= 0.7 THEN 'strong'
-  ELSE 'moderate-to-strong' END, ' ', CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END, ' correlation') ELSE 'No strong linear correlations found' END"""
+    title = """CASE WHEN abs(r) >= 0.5 THEN concat(x, ' ~ ', y, ': a ', CASE WHEN abs(r) >= 0.85 THEN 'close' WHEN abs(r) >= 0.7 THEN 'clear'
+  ELSE 'visible' END, ', ', CASE WHEN r > 0 THEN 'rising' ELSE 'falling' END, ' line') ELSE 'No two numbers move together' END"""
     return row_sql("correlation", title, "concat(x, ',', y)", "'info'", "round(r, 4)",
                    corr_rows(columns, source) + " WHERE k <= 3 AND (abs(r) >= 0.5 OR (k = 1 AND best < 0.3))")
 
@@ -82,7 +82,7 @@ def gap_insight(source: str, nums: list[str], cats: list[str]) -> str:
     parts = [f"""SELECT {i} AS p, {j} AS q, '{n}' AS c, '{g}' AS g, (max(m) - min(m)) / max(s) AS gap
   FROM (SELECT coalesce({g}::VARCHAR, 'nan') AS g, avg({n}) AS m FROM {source} GROUP BY 1), (SELECT stddev_samp({n}) AS s FROM {source}) HAVING count(m) >= 2"""
              for i, n in enumerate(nums) for j, g in enumerate(cats)]
-    return row_sql("group_difference", "concat('Average ''', c, ''' differs notably across ''', g, '''')", "concat(c, ',', g)", "'info'", "round(gap, 2)",
+    return row_sql("group_difference", "concat('The mean of ''', c, ''' moves with ''', g, '''')", "concat(c, ',', g)", "'info'", "round(gap, 2)",
                    "(SELECT *, row_number() OVER (PARTITION BY p ORDER BY q) AS k FROM (" + union_sql(parts) + ") WHERE gap >= 1) WHERE k = 1")
 
 
@@ -127,10 +127,10 @@ ORACLE = {
     "insight_skew": WITH_DIRTY + SKEWED,
     "insight_group_gap": gap_insight("nation", ["n_nationkey", "n_regionkey"], ["n_name"]),
     "insight_trend": trend_insight("events", "ts", ["value", "event_id", "user_id"]),
-    "insight_outliers": row_sql("outliers", "concat('''', \"column\", ''' has potential outliers')", '"column"', "'warning'", "outliers",
+    "insight_outliers": row_sql("outliers", "concat('''', \"column\", ''' has values far off its quartiles')", '"column"', "'warning'", "outliers",
                                 "(SELECT * FROM (" + outlier_sql(["event_id", "value"], "events") + ") WHERE n >= 20 AND outliers >= greatest(5, 0.02 * n) ORDER BY \"column\" LIMIT 1)"),
     "insight_duplicates": WITH_DIRTY + DUPLICATES,
-    "insight_identifier": row_sql("identifier", "'''c_name'' looks like a unique identifier'", "'c_name'", "'info'", "u",
+    "insight_identifier": row_sql("identifier", "'''c_name'' tells all rows apart'", "'c_name'", "'info'", "u",
                                   "(SELECT count(*) AS n, count(DISTINCT c_name) AS u FROM customer) WHERE u = n AND n > 5"),
     "insights": FACTS + ", i AS (" + union_sql([corr_insight(NUM, "dirty"), MISSING, DOMINANCE, SKEWED, gap_insight(
         "dirty", NUM, ["o_orderpriority", "o_orderstatus"]), trend_insight("dirty", "o_orderdate", NUM), OUTLIERS, DUPLICATES, IDENTIFIER])

@@ -56,22 +56,22 @@ SELECT "column", role, f.n, missing, u, missing * 100.0::DOUBLE / f.n AS share,
 FROM base_facts f JOIN roles USING ("column") LEFT JOIN (SELECT "column", outliers FROM outl) USING ("column") LEFT JOIN txt USING ("column")) """
 
 PCT = "format('{:.1f}', share)"
-MISSING_TITLE = f"concat('''', \"column\", ''' has ', {PCT}, '% missing values')"
+MISSING_TITLE = f"concat('''', \"column\", ''': ', {PCT}, ' % of the rows lack a value')"
 ISSUES = CHECKS + f""", i AS (
-SELECT 'empty' AS kind, "column", 'high' AS severity, concat('''', "column", ''' is completely empty') AS title, 'drop_column' AS actions FROM c WHERE is_empty
+SELECT 'empty' AS kind, "column", 'high' AS severity, concat('''', "column", ''': no value in any row') AS title, 'drop_column' AS actions FROM c WHERE is_empty
 UNION ALL SELECT 'excessive_missing', "column", 'high', {MISSING_TITLE}, 'fill_median,fill_mode,drop_column,drop_rows' FROM c WHERE NOT is_empty AND share >= 40
 UNION ALL SELECT 'missing', "column", CASE WHEN share < 20 THEN 'medium' ELSE 'high' END, {MISSING_TITLE},
   'fill_mean,fill_median,fill_mode,ffill,bfill,drop_rows' FROM c WHERE share >= 5 AND share < 40
-UNION ALL SELECT 'missing_small', "column", 'low', concat('''', "column", ''' has ', missing, ' missing value(s) (', {PCT}, '%)'),
+UNION ALL SELECT 'missing_small', "column", 'low', concat('''', "column", ''': ', missing, ' rows lack a value, ', {PCT}, ' % of all'),
   'fill_median,fill_mode,drop_rows' FROM c WHERE share > 0 AND share < 5
-UNION ALL SELECT 'constant', "column", 'medium', concat('''', "column", ''' is constant'), 'drop_column' FROM c WHERE is_constant
-UNION ALL SELECT 'highcard', "column", 'medium', concat('''', "column", ''' has high cardinality (', u, ' distinct values)'), 'drop_column' FROM c WHERE is_highcard
+UNION ALL SELECT 'constant', "column", 'medium', concat('''', "column", ''': one value only'), 'drop_column' FROM c WHERE is_constant
+UNION ALL SELECT 'highcard', "column", 'medium', concat('''', "column", ''': ', u, ' different labels, too many to compare'), 'drop_column' FROM c WHERE is_highcard
 UNION ALL SELECT 'outliers', "column", CASE WHEN osh < 0.05 THEN 'low' ELSE 'medium' END,
-  concat('''', "column", ''' has ~', outliers, ' potential outlier(s) (IQR rule)'), 'cap_outliers,drop_outliers' FROM c WHERE is_outliers
-UNION ALL SELECT 'whitespace', "column", 'low', concat('''', "column", ''' has ', padded, ' value(s) with leading/trailing whitespace'), 'trim_whitespace' FROM c WHERE is_whitespace
-UNION ALL SELECT 'case', "column", 'low', concat('''', "column", ''' has inconsistent capitalization'), 'standardize_case' FROM c WHERE is_case
-UNION ALL SELECT 'mixed', "column", 'medium', concat('''', "column", ''' has mixed data types'), 'convert_dtype' FROM c WHERE is_mixed
-UNION ALL SELECT 'duplicate_rows', '', CASE WHEN d / n < 0.05 THEN 'medium' ELSE 'high' END, concat(d, ' duplicate row(s) detected'), 'remove_duplicates'
+  concat('''', "column", ''': ', outliers, ' values beyond the quartile fences'), 'cap_outliers,drop_outliers' FROM c WHERE is_outliers
+UNION ALL SELECT 'whitespace', "column", 'low', concat('''', "column", ''': ', padded, ' values begin or end with white space'), 'trim_whitespace' FROM c WHERE is_whitespace
+UNION ALL SELECT 'case', "column", 'low', concat('''', "column", ''': labels differ by letter case alone'), 'standardize_case' FROM c WHERE is_case
+UNION ALL SELECT 'mixed', "column", 'medium', concat('''', "column", ''': values of several kinds'), 'convert_dtype' FROM c WHERE is_mixed
+UNION ALL SELECT 'duplicate_rows', '', CASE WHEN d / n < 0.05 THEN 'medium' ELSE 'high' END, concat(d, ' rows repeat an earlier row'), 'remove_duplicates'
   FROM (SELECT {DUP_SQL} AS d, (SELECT count(*) FROM dirty) AS n) WHERE d > 0) """
 
 FLAG_SQL = "concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{flag}' END" for cond, flag in [

@@ -45,11 +45,11 @@ def correlation(facts: Facts) -> DataFrame:
     strongest = F.max(F.abs("r")).over(_whole())
     a = F.abs("r")
     top = top.withColumn("_best", strongest)
-    word = F.when(a >= 0.85, "very strong").when(a >= 0.7, "strong").otherwise("moderate-to-strong")
-    sign = F.when(F.col("r") > 0, "positive").otherwise("negative")
-    strong = F.concat(F.col("x"), F.lit(" and "), F.col("y"), F.lit(" show a "), word, F.lit(" "), sign, F.lit(" correlation"))
+    word = F.when(a >= 0.85, "close").when(a >= 0.7, "clear").otherwise("visible")
+    sign = F.when(F.col("r") > 0, "rising").otherwise("falling")
+    strong = F.concat(F.col("x"), F.lit(" ~ "), F.col("y"), F.lit(": a "), word, F.lit(", "), sign, F.lit(" line"))
     weak = (F.col("_best") < 0.3) & (a == F.col("_best"))
-    title = F.when(a >= 0.5, strong).otherwise(F.lit("No strong linear correlations found"))
+    title = F.when(a >= 0.5, strong).otherwise(F.lit("No two numbers move together"))
     kept = top.where((a >= 0.5) | weak).withColumn(
         "_rank", F.row_number().over(_whole().orderBy(a.desc(), "x", "y"))).where((a >= 0.5) | (F.col("_rank") == 1))
     return kept.select(*_row("correlation", F.col("_rank"), title, F.concat_ws(",", "x", "y"), F.lit("info"), F.round("r", 4)))
@@ -63,7 +63,7 @@ def _whole():
 def missing(facts: Facts) -> DataFrame:
     top = facts.columns.where("missing > 0").orderBy(F.desc("missing"), "pos").limit(3)
     pct = F.col("missing") * 100.0 / F.col("n_rows")
-    return top.select(*_row("missing", F.col("pos"), F.concat(_quoted("column"), F.lit(" has missing values")), F.col("column"),
+    return top.select(*_row("missing", F.col("pos"), F.concat(_quoted("column"), F.lit(" lacks values")), F.col("column"),
                             F.when(pct >= 5, "warning").otherwise("info"), F.round(pct, 2)))
 
 
@@ -72,7 +72,7 @@ def dominance(facts: Facts) -> DataFrame:
     share = F.col("top_count") * 100.0 / (F.col("n_rows") - F.col("missing"))
     tops = top_of(facts.counts, 1).select("column", "shown")
     hit = c.where((F.col("n_rows") > F.col("missing")) & (F.col("top_count") >= (F.col("n_rows") - F.col("missing")) * 0.6))
-    title = F.concat(F.lit("'"), F.col("shown"), F.lit("' dominates '"), F.col("column"), F.lit("'"))
+    title = F.concat(F.lit("Most rows of '"), F.col("column"), F.lit("' hold '"), F.col("shown"), F.lit("'"))
     return hit.join(tops, "column").select(
         *_row("dominance", F.col("pos"), title, F.col("column"), F.lit("info"), F.round(share, 1)))
 
@@ -82,7 +82,7 @@ def skewed(facts: Facts) -> DataFrame:
         return _none(facts)
     s = facts.numbers.where("n > 10").withColumn("skew", adjusted_skew()).where(F.abs("skew") >= 1)
     word = F.when(F.col("skew") > 0, "right").otherwise("left")
-    return s.select(*_row("distribution", F.col("pos"), F.concat(_quoted("column"), F.lit(" is strongly "), word, F.lit("-skewed")),
+    return s.select(*_row("distribution", F.col("pos"), F.concat(_quoted("column"), F.lit(" has a long "), word, F.lit(" tail")),
                           F.col("column"), F.lit("info"), F.round("skew", 3)))
 
 
@@ -106,7 +106,7 @@ def group_gap(facts: Facts) -> DataFrame:
     gap = (flat.where("groups >= 2").join(scale, "column").withColumn("gap_sd", F.col("gap") / F.col("std"))
            .where("gap_sd >= 1"))
     first = gap.groupBy("column", "pos").agg(F.min_by(F.struct("cat", "gap_sd"), "ci").alias("hit"))
-    title = F.concat(F.lit("Average "), _quoted("column"), F.lit(" differs notably across '"), F.col("hit.cat"), F.lit("'"))
+    title = F.concat(F.lit("The mean of "), _quoted("column"), F.lit(" moves with '"), F.col("hit.cat"), F.lit("'"))
     return first.select(*_row("group_difference", F.col("pos"), title, F.concat_ws(",", F.col("column"), F.col("hit.cat")),
                               F.lit("info"), F.round("hit.gap_sd", 2)))
 
@@ -120,8 +120,8 @@ def trend(facts: Facts) -> DataFrame:
     t = trend_thirds(facts.df, times[0], nums).where((F.col("n") >= 12) & (F.abs("pct_change") >= 20)
                                                      & (F.col("early_mean") != 0))
     first = t.withColumn("pos", at[F.col("column")]).orderBy("pos").limit(1)
-    word = F.when(F.col("pct_change") > 0, "increased").otherwise("decreased")
-    title = F.concat(_quoted("column"), F.lit(" has "), word, F.lit(" from the earliest to the latest period"))
+    word = F.when(F.col("pct_change") > 0, "rose").otherwise("fell")
+    title = F.concat(_quoted("column"), F.lit(" "), word, F.lit(" between its first and its last third"))
     return first.select(*_row("trend", F.col("pos"), title, F.concat_ws(",", F.lit(times[0]), F.col("column")), F.lit("info"),
                               F.round("pct_change", 1)))
 
@@ -133,21 +133,21 @@ def outliers(facts: Facts) -> DataFrame:
     o = outlier_counts(facts.df, facts.numbers).where(
         (F.col("n") >= 20) & (F.col("outliers") >= F.greatest(F.lit(5.0), F.col("n") * 0.02)))
     first = o.withColumn("pos", pos[F.col("column")]).orderBy("pos").limit(1)
-    return first.select(*_row("outliers", F.col("pos"), F.concat(_quoted("column"), F.lit(" has potential outliers")), F.col("column"),
+    return first.select(*_row("outliers", F.col("pos"), F.concat(_quoted("column"), F.lit(" has values far off its quartiles")), F.col("column"),
                               F.lit("warning"), F.col("outliers")))
 
 
 def duplicates(facts: Facts) -> DataFrame:
     d = facts.duplicates.where("duplicate_rows > 0")
     severity = F.when(F.col("duplicate_rows") >= F.col("n_rows") * 0.01, "warning").otherwise("info")
-    return d.select(*_row("duplicates", F.lit(0), F.lit("Duplicate rows found"), F.lit(""), severity, F.col("duplicate_rows")))
+    return d.select(*_row("duplicates", F.lit(0), F.lit("Some rows occur more than once"), F.lit(""), severity, F.col("duplicate_rows")))
 
 
 def identifier(facts: Facts) -> DataFrame:
     c = facts.columns.where(F.col("role").isin("categorical", "text")
                             & (F.col("n_distinct") == F.col("n_rows")) & (F.col("n_rows") > 5))
     return c.orderBy("pos").limit(1).select(*_row(
-        "identifier", F.col("pos"), F.concat(_quoted("column"), F.lit(" looks like a unique identifier")), F.col("column"),
+        "identifier", F.col("pos"), F.concat(_quoted("column"), F.lit(" tells all rows apart")), F.col("column"),
         F.lit("info"), F.col("n_distinct")))
 
 

@@ -43,7 +43,7 @@ def datetime_profile(df: DataFrame) -> DataFrame:
                                  (F.count(F.lit(1)) - F.count(c)).alias("missing"),
                                  F.min(c).alias("first"), F.max(c).alias("last")))
     if not rows:
-        raise ValueError("No datetime columns available.")
+        raise ValueError("the table has no column of dates or times")
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 

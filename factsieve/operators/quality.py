@@ -190,22 +190,22 @@ class Quality:
         c = self.checks()
         name, pct = F.concat(F.lit("'"), F.col("column"), F.lit("'")), F.format_string("%.1f", F.col("share"))
         spec = {
-            "empty": (F.lit("high"), F.concat(name, F.lit(" is completely empty"))),
-            "excessive_missing": (F.lit("high"), F.concat(name, F.lit(" has "), pct, F.lit("% missing values"))),
+            "empty": (F.lit("high"), F.concat(name, F.lit(": no value in any row"))),
+            "excessive_missing": (F.lit("high"), F.concat(name, F.lit(": "), pct, F.lit(" % of the rows lack a value"))),
             "missing": (F.when(F.col("share") < 20, "medium").otherwise("high"),
-                        F.concat(name, F.lit(" has "), pct, F.lit("% missing values"))),
-            "missing_small": (F.lit("low"), F.concat(name, F.lit(" has "), F.col("missing").cast("string"),
-                                                     F.lit(" missing value(s) ("), pct, F.lit("%)"))),
-            "constant": (F.lit("medium"), F.concat(name, F.lit(" is constant"))),
-            "highcard": (F.lit("medium"), F.concat(name, F.lit(" has high cardinality ("),
-                                                   F.col("n_distinct").cast("string"), F.lit(" distinct values)"))),
+                        F.concat(name, F.lit(": "), pct, F.lit(" % of the rows lack a value"))),
+            "missing_small": (F.lit("low"), F.concat(name, F.lit(": "), F.col("missing").cast("string"),
+                                                     F.lit(" rows lack a value, "), pct, F.lit(" % of all"))),
+            "constant": (F.lit("medium"), F.concat(name, F.lit(": one value only"))),
+            "highcard": (F.lit("medium"), F.concat(name, F.lit(": "), F.col("n_distinct").cast("string"),
+                                                   F.lit(" different labels, too many to compare"))),
             "outliers": (F.when(F.col("out_share") < 0.05, "low").otherwise("medium"),
-                         F.concat(name, F.lit(" has ~"), F.col("outliers").cast("string"),
-                                  F.lit(" potential outlier(s) (IQR rule)"))),
-            "whitespace": (F.lit("low"), F.concat(name, F.lit(" has "), F.col("padded").cast("string"),
-                                                  F.lit(" value(s) with leading/trailing whitespace"))),
-            "case": (F.lit("low"), F.concat(name, F.lit(" has inconsistent capitalization"))),
-            "mixed": (F.lit("medium"), F.concat(name, F.lit(" has mixed data types"))),
+                         F.concat(name, F.lit(": "), F.col("outliers").cast("string"),
+                                  F.lit(" values beyond the quartile fences"))),
+            "whitespace": (F.lit("low"), F.concat(name, F.lit(": "), F.col("padded").cast("string"),
+                                                  F.lit(" values begin or end with white space"))),
+            "case": (F.lit("low"), F.concat(name, F.lit(": labels differ by letter case alone"))),
+            "mixed": (F.lit("medium"), F.concat(name, F.lit(": values of several kinds"))),
         }
         cells = F.array(*[
             F.struct(F.lit(kind).alias("kind"), F.col(f"is_{kind}").alias("hit"), sev.alias("severity"),
@@ -215,7 +215,7 @@ class Quality:
         dup = self.facts.duplicates.where(d > 0).select(
             F.lit("").alias("column"), F.lit("duplicate_rows").alias("kind"),
             F.when(d / n < 0.05, "medium").otherwise("high").alias("severity"),
-            F.concat(d.cast("string"), F.lit(" duplicate row(s) detected")).alias("title"),
+            F.concat(d.cast("string"), F.lit(" rows repeat an earlier row")).alias("title"),
             F.lit(ACTIONS["duplicate_rows"]).alias("actions"))
         return issues.unionByName(dup)
 

@@ -64,7 +64,7 @@ class Facts:
         """Moments and quartiles of the numeric columns."""
         names = numeric_columns(self.df)  # exactly the columns of role numeric
         if not names:
-            raise ValueError("No numeric columns available.")
+            raise ValueError("the table has no column of numbers")
         return materialize(with_quantiles(self.df, names).coalesce(1), "numbers")
 
     @cached_property
