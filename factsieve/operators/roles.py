@@ -30,10 +30,10 @@ def text_roles(counts: DataFrame) -> DataFrame:
     A column is a date column if its one format reads enough of the values; ``date_format`` is null for other columns.
     """
     weigh = lambda cond: F.sum(F.when(cond, F.col("cnt")).otherwise(0))
-    s = counts.groupBy("column").agg(
+    s = dates.judged(counts, "bare").groupBy("column").agg(
         F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("u"),
         F.sum(F.col("chars") * F.col("cnt")).alias("chars"),
-        dates.verdict(dates.votes("bare", "cnt")).alias("v"), weigh(F.col("plain")).alias("plain"))
+        dates.verdict(dates.votes("cnt")).alias("v"), weigh(F.col("plain")).alias("plain"))
     n, u = F.col("n"), F.col("u")
     datelike = (n >= 3) & (F.col("v.parsed") >= F.greatest(F.lit(3), F.floor(n * 0.7))) & (F.col("plain") / n <= 0.7)
     role = (F.when(datelike, "datetime")

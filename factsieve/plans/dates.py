@@ -60,22 +60,49 @@ def read_sql(name: str, fmt: str | None) -> str:
     if fmt is None:
         return "cast(null as timestamp_ntz)"
     f, text = BY_NAME[fmt], f"trim({quoted(name)})"
-    value = f"try_cast({text} as timestamp_ntz)" if f.pattern is None else f"cast(try_to_timestamp({text}, '{f.pattern}') as timestamp_ntz)"
-    return f"case when {text} rlike r'{f.shape}' then {value} end"
+    return f"case when {text} rlike r'{f.shape}' then {_value_sql(text, f)} end"
+
+
+def _value_sql(text: str, f: Format) -> str:
+    return f"try_cast({text} as timestamp_ntz)" if f.pattern is None else f"cast(try_to_timestamp({text}, '{f.pattern}') as timestamp_ntz)"
 
 
 def read(name: str, fmt: str | None) -> Column:
     return F.expr(read_sql(name, fmt))
 
 
-def votes(text: str, weight: str) -> Column:
-    """Aggregate: for each format the values it reads and those of its shape, in an array."""
+SHAPES = list(dict.fromkeys(f.shape for f in FORMATS))
+SIBLINGS = [[f for f in FORMATS if f.shape == shape] for shape in SHAPES]
+
+
+def looked(text: str) -> dict[str, Column]:
+    """Per value: the number of its shape, and whether the first and the second format of that shape read it."""
+    bare = f"trim({quoted(text)})"
+    shapes = " ".join(f"when {bare} rlike r'{s}' then {i}" for i, s in enumerate(SHAPES))
+
+    def reads(which: int) -> Column:
+        tries = " ".join(f"when {i} then {_value_sql(bare, fs[which])} is not null" for i, fs in enumerate(SIBLINGS) if which < len(fs))
+        return F.expr(f"coalesce(case _shape {tries} end, false)")
+
+    # every format needs a digit and eight characters at least
+    return {"_shape": F.expr(f"case when length({bare}) >= 8 and {bare} rlike r'\\d' then case {shapes} end end"), "_first": reads(0), "_second": reads(1)}
+
+
+def judged(rows: DataFrame, text: str) -> DataFrame:
+    """The rows with the columns of ``looked``."""
+    columns = looked(text)
+    return rows.withColumn("_shape", columns["_shape"]).withColumns({c: columns[c] for c in ("_first", "_second")})
+
+
+def votes(weight: str) -> Column:
+    """Aggregate over rows with the columns of ``looked``: for each format the values it reads and those of its shape, in an array."""
     counted = []
-    for place, f in enumerate(FORMATS):
-        held = F.sum(F.when(F.expr(f"trim({quoted(text)}) rlike r'{f.shape}'"), F.col(weight)).otherwise(0))
-        parsed = F.sum(F.when(read(text, f.name).isNotNull(), F.col(weight)).otherwise(0))
-        counted.append(F.struct(parsed.alias("parsed"), F.lit(-place).alias("place"), F.lit(f.name).alias("name"), F.lit(f.shape).alias("family"),
-                                held.alias("held")))
+    for i, formats in enumerate(SIBLINGS):
+        mine = F.col("_shape") == i
+        held = F.sum(F.when(mine, F.col(weight)).otherwise(0))
+        for f, hit in zip(formats, ("_first", "_second")):
+            counted.append(F.struct(F.sum(F.when(mine & F.col(hit), F.col(weight)).otherwise(0)).alias("parsed"), F.lit(-FORMATS.index(f)).alias("place"),
+                                    F.lit(f.name).alias("name"), F.lit(f.shape).alias("family"), held.alias("held")))
     return F.array(*counted).cast(_VOTES)
 
 
@@ -105,7 +132,7 @@ def date_formats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         return base.selectExpr("column", "pos", "0L n", "string(null) format", "0L parsed", "0L unread", "'none' status", "string(null) rival")
     counted = df.select(F.inline(F.array(*cells))).where("text is not null").select(
         "column", F.when(F.length("text") <= 64, F.col("text")).alias("text")).groupBy("column", "text").agg(F.count(F.lit(1)).alias("cnt"))
-    voted = counted.groupBy("column").agg(F.sum("cnt").alias("n"), votes("text", "cnt").alias("votes")).select(
+    voted = judged(counted, "text").groupBy("column").agg(F.sum("cnt").alias("n"), votes("cnt").alias("votes")).select(
         "column", "n", verdict(F.col("votes")).alias("v"))
     return base.join(voted, "column", "left").select(
         "column", "pos", F.coalesce("n", F.lit(0)).alias("n"), F.col("v.format").alias("format"), F.coalesce("v.parsed", F.lit(0)).alias("parsed"),
