@@ -133,9 +133,16 @@ def q_dataset_summary(spark, sf):
 
 
 def q_full_profile(spark, sf):
-    return rounded(profile.full_profile(dirty_orders(spark, sf)).select(
-        "column", "role", "count", "missing", "missing_pct", "n_distinct", "distinct_pct", "mean", "median", "std",
-        "min", "max", "skew", "kurtosis", "first", "last", "mode_count", "truncated"))
+    found = profile.full_profile(dirty_orders(spark, sf), order_by=["o_orderkey"])
+    top = F.array_join(F.transform("top_values", lambda t: F.concat_ws("=", t["value"], t["count"])), "|")
+    return rounded(found.select(
+        "column", "role", "type", "count", "missing", "missing_pct", "n_distinct", "distinct_pct", "mean", "median", "std",
+        "min", "max", "q1", "q3", "skew", "kurtosis", "first", "last", "mode", "mode_count", "truncated",
+        F.coalesce(F.when(F.col("type") != "double", top), F.lit("")).alias("top_values"), F.array_join("sample", "|").alias("sample")))
+
+
+TYPES = {c: "bigint" if c in ("o_orderkey", "o_custkey") else "double" if c == "o_totalprice" else "timestamp_ntz" if c == "o_orderdate"
+         else "boolean" if c == "is_gift" else "string" for c in DIRTY}
 
 
 def full_profile_sql() -> str:
@@ -149,7 +156,12 @@ def full_profile_sql() -> str:
   round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_pct, count(DISTINCT {c}) AS n_distinct,
   round(count(DISTINCT {c}) * 100.0::DOUBLE / count(*), 2) AS distinct_pct,
   {n(f'avg({c})')} AS mean, {n(f'quantile_cont({c}::DOUBLE, 0.5)')} AS median, {n(f'stddev_samp({c})')} AS std,
-  {n(f'min({c})::DOUBLE')} AS min, {n(f'max({c})::DOUBLE')} AS max, {n(f'skewness({c})')} AS skew,
+  {n(f'min({c})::DOUBLE')} AS min, {n(f'max({c})::DOUBLE')} AS max, {n(f'skewness({c})')} AS skew, '{TYPES[c]}' AS type,
+  {n(f'quantile_cont({c}::DOUBLE, 0.25)')} AS q1, {n(f'quantile_cont({c}::DOUBLE, 0.75)')} AS q3,
+  (SELECT {c}::VARCHAR FROM dirty WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS mode,
+  coalesce((SELECT string_agg(concat_ws('=', v, k), '|' ORDER BY k DESC, x) FROM (SELECT {c} AS x, {c}::VARCHAR AS v, count(*) AS k FROM dirty
+    WHERE {c} IS NOT NULL AND {c != "o_totalprice"} GROUP BY {c} ORDER BY k DESC, x LIMIT 10)), '') AS top_values,
+  (SELECT string_agg(v, '|' ORDER BY o, v) FROM (SELECT o_orderkey AS o, {c}::VARCHAR AS v FROM dirty WHERE {c} IS NOT NULL ORDER BY o, v LIMIT 5)) AS sample,
   {n(f'kurtosis({c})')} AS kurtosis, {t(f'min({c})')} AS first, {t(f'max({c})')} AS last,
   (SELECT max(k) FROM (SELECT count(*) AS k FROM dirty WHERE {c} IS NOT NULL GROUP BY {c})) AS mode_count,
   false AS truncated FROM dirty""")
@@ -249,6 +261,7 @@ UNION ALL SELECT 'n_chars', 4, 'numeric'""",
                        + bytes_sql() + ") SELECT (SELECT count(*) FROM dirty) AS rows, 11::BIGINT AS columns, "
                        + ", ".join(f"(SELECT coalesce(string_agg(\"column\", ',' ORDER BY pos), '') FROM roles WHERE role = '{r}') AS {r}_columns"
                                    for r in profile.ROLES)
+                       + ", '" + ",".join(f"{c}:{t}" for c, t in TYPES.items()) + "' AS types"
                        + f""", (SELECT CAST(sum(missing) AS BIGINT) FROM m) AS missing_cells,
   round((SELECT sum(missing) FROM m) * 100.0::DOUBLE / ((SELECT count(*) FROM dirty) * 11), 2) AS missing_pct,
   {DUP_SQL} AS duplicate_rows, round(({DUP_SQL}) * 100.0::DOUBLE / (SELECT count(*) FROM dirty), 2) AS duplicate_pct,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factsieve.functions.columns import TIME_TYPES, percent, ref
+from factsieve.functions.columns import NESTED_TYPES, TIME_TYPES, percent, ref
 from factsieve.plans.facts import Facts
 from factsieve.plans.frequency import SHOWN, distinct_counts, top_of, value_counts
 from factsieve.plans.moments import adjusted_kurtosis, adjusted_skew, missing_counts, with_quantiles
@@ -67,7 +67,7 @@ def value_sample(df: DataFrame, columns: list[str], order_by: list[str], k: int
 
 
 def dataset_summary(df: DataFrame, facts: Facts | None = None) -> DataFrame:
-    """One row: sizes, columns per role, missing cells, duplicate rows, logical bytes."""
+    """One row: sizes, columns per role, column types (``name:type``), missing cells, duplicate rows, logical bytes."""
     facts = facts or Facts(df)
     listed = [F.lit(",".join(facts.with_role(r))).alias(f"{r}_columns") for r in ROLES]
     width = len(df.columns)
@@ -76,22 +76,39 @@ def dataset_summary(df: DataFrame, facts: Facts | None = None) -> DataFrame:
     one_row = side_by_side(facts.duplicates, missing, size)
     return one_row.select(
         F.col("n_rows").alias("rows"), F.lit(width).cast("long").alias("columns"), *listed,
+        F.lit(",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)).alias("types"),
         "missing_cells", percent(F.col("missing_cells"), F.col("n_rows") * width).alias("missing_pct"),
         "duplicate_rows", percent(F.col("duplicate_rows"), F.col("n_rows")).alias("duplicate_pct"),
         "logical_bytes")
 
 
-def full_profile(df: DataFrame, max_columns: int = 200, facts: Facts | None = None) -> DataFrame:
-    """One row per column with everything known about it; ``truncated`` tells of columns beyond the limit."""
+def _samples(df: DataFrame, facts: Facts, order_by: list[str] | None, k: int = 5) -> DataFrame:
+    """column, sample: the first values in the order of ``order_by``, or distinct values in the order of their hashes."""
+    if order_by:
+        names = [f.name for f in df.schema.fields if not isinstance(f.dataType, NESTED_TYPES)]
+        rows = value_sample(df, names, order_by, k)
+    else:
+        w = W.partitionBy("column").orderBy(F.xxhash64("key"), "key")
+        rows = facts.counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("column", "rank", F.col("shown").alias("value"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "value")))
+    return rows.groupBy("column").agg(F.transform(listed, lambda s: s["value"]).alias("sample"))
+
+
+def full_profile(df: DataFrame, max_columns: int | None = None, facts: Facts | None = None, order_by: list[str] | None = None) -> DataFrame:
+    """One row per column with everything known about it: all columns, or the first ``max_columns`` (``truncated`` tells of more).
+
+    ``sample`` holds five values: the first by ``order_by``, or distinct ones in the order of their hashes.
+    """
     facts = (facts or Facts(df)).warm()
-    base = facts.columns.where(F.col("pos") < max_columns)
+    base = facts.columns if max_columns is None else facts.columns.where(F.col("pos") < max_columns)
     tops = top_of(facts.counts, 10)
     tops = tops.groupBy("column").agg(
         F.max(F.when(F.col("rank") == 1, F.col("shown"))).alias("mode"),
         F.max(F.when(F.col("rank") == 1, F.col("cnt"))).alias("mode_count"),
         F.array_sort(F.collect_list(F.struct("rank", F.col("shown").alias("value"), F.col("cnt").alias("count"))))
         .alias("top_values"))
-    out = base.join(tops, "column", "left")
+    types = df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "column string, type string")
+    out = base.join(types, "column").join(tops, "column", "left").join(_samples(df, facts, order_by), "column", "left")
     if facts.with_role("numeric"):
         stats = facts.numbers.select("column", "mean", "median", "std", "min", "max", "q1", "q3",
                                      adjusted_skew().alias("skew"), adjusted_kurtosis().alias("kurtosis"))
@@ -106,11 +123,12 @@ def full_profile(df: DataFrame, max_columns: int = 200, facts: Facts | None = No
                          F.lit(None).cast("timestamp_ntz").alias("last"))
     n = F.col("n_rows")
     return out.select(
-        "column", "pos", "role", (n - F.col("missing")).alias("count"), "missing",
+        "column", "pos", "role", "type", (n - F.col("missing")).alias("count"), "missing",
         percent(F.col("missing"), n).alias("missing_pct"), "n_distinct",
         percent(F.col("n_distinct"), n).alias("distinct_pct"),
         "mean", "median", "std", "min", "max", "q1", "q3", "skew", "kurtosis", "first", "last",
-        "mode", "mode_count", "top_values", F.lit(len(df.columns) > max_columns).alias("truncated"))
+        "mode", "mode_count", "top_values", "sample",
+        F.lit(max_columns is not None and len(df.columns) > max_columns).alias("truncated"))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
