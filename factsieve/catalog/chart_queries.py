@@ -90,6 +90,7 @@ QUERIES = {
     "crosstab_wide": lambda s, d: eda.crosstab(table(s, d, "part"), "p_brand", "p_size", top_x=15, top_y=8),
     "chart_histogram": lambda s, d: rounded(charts.build_chart(table(s, d, "lineitem"), {"type": "histogram", "x": "l_extendedprice"})),
     "chart_box": lambda s, d: rounded(charts.build_chart(dirty_orders(s, d), {"type": "box", "y": "o_totalprice"})),
+    "chart_box_many_groups": lambda s, d: rounded(charts.box_grouped(table(s, d, "part"), "p_retailprice", "p_brand")),
     "chart_box_grouped": lambda s, d: rounded(charts.build_chart(dirty_orders(s, d), {
         "type": "box", "y": "o_totalprice", "group": "o_orderpriority"})),
     "chart_scatter": lambda s, d: rounded(charts.build_chart(dirty_base(s, d), {
@@ -107,6 +108,16 @@ QUERIES = {
     "chart_pie": lambda s, d: charts.build_chart(dirty_orders(s, d), {"type": "pie", "x": "o_orderstatus"}),
 }
 
+def dropped_sql(start: str, source: str, group: str, y: str) -> str:
+    """Boxes of the most frequent groups, and what they leave out."""
+    g = f"coalesce({group}, 'nan')"
+    shown = f"(SELECT * FROM {source} WHERE {g} IN (SELECT g FROM top))"
+    boxes = box_sql(g, shown, y)
+    return (start.rstrip().rstrip(",") + f", top AS (SELECT {g} AS g FROM {source} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 12), boxes AS (WITH " + boxes
+            + f") SELECT *, (SELECT count(DISTINCT {g}) FROM {source}) - (SELECT count(*) FROM top) AS dropped_groups, "
+            f"(SELECT count(*) FROM {source}) - (SELECT count(*) FROM {shown}) AS dropped_rows FROM boxes")
+
+
 ORACLE = {
     "univariate_numeric": """SELECT 'value' AS "column", count(value) AS count, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
   round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(quantile_cont(value, 0.25), 6) AS q1,
@@ -136,15 +147,16 @@ ty AS (SELECT y FROM p GROUP BY y ORDER BY count(*) DESC, y LIMIT 8)
 SELECT x, y, count(*) AS count FROM p WHERE x IN (SELECT x FROM tx) AND y IN (SELECT y FROM ty) GROUP BY 1, 2""",
     "chart_histogram": bins_sql("l_extendedprice", "lineitem", "30"),
     "chart_box": WITH_DIRTY + ", " + box_sql("'o_totalprice'", "dirty", "o_totalprice"),
-    "chart_box_grouped": WITH_DIRTY + """, top AS (SELECT coalesce(o_orderpriority, 'nan') AS g FROM dirty GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 12), """
-    + box_sql("coalesce(o_orderpriority, 'nan')", "(SELECT * FROM dirty WHERE coalesce(o_orderpriority, 'nan') IN (SELECT g FROM top))", "o_totalprice"),
+    "chart_box_grouped": dropped_sql(WITH_DIRTY, "dirty", "o_orderpriority", "o_totalprice"),
+    "chart_box_many_groups": dropped_sql("WITH nothing AS (SELECT 1), ", "part", "p_brand", "p_retailprice"),
     "chart_scatter": WITH_BASE + """SELECT o_orderkey, round(o_custkey::DOUBLE, 6) AS x, round(o_totalprice, 6) AS y, coalesce(o_orderstatus, 'nan') AS color
 FROM base WHERE o_totalprice IS NOT NULL ORDER BY md5(concat(o_orderkey, '|7')), o_orderkey LIMIT 5000""",
     **{f"chart_bar_{agg}": bar_sql(agg) for agg in AGGS},
     "chart_grouped_series": WITH_BASE + """, v AS (SELECT o_custkey::VARCHAR AS x, coalesce(o_orderstatus, 'nan') AS g, o_totalprice AS y FROM base),
 tx AS (SELECT x FROM v GROUP BY x ORDER BY count(*) DESC, x LIMIT 30), tg AS (SELECT g FROM v GROUP BY g ORDER BY count(*) DESC, g LIMIT 6),
 a AS (SELECT g, x, coalesce(sum(y), 0) AS y FROM v WHERE x IN (SELECT x FROM tx) AND g IN (SELECT g FROM tg) GROUP BY 1, 2)
-SELECT tg.g AS series, tx.x, round(a.y, 4) AS y FROM tg CROSS JOIN tx LEFT JOIN a ON a.g = tg.g AND a.x = tx.x
+SELECT tg.g AS series, tx.x, round(a.y, 4) AS y, (SELECT count(DISTINCT g) FROM v) - (SELECT count(*) FROM tg) AS dropped_series,
+  (SELECT count(DISTINCT x) FROM v) - (SELECT count(*) FROM tx) AS dropped_x FROM tg CROSS JOIN tx LEFT JOIN a ON a.g = tg.g AND a.x = tx.x
 WHERE tx.x IN (SELECT x FROM a)""",
     "timeseries_month": series_sql("orders", "o_orderdate", "o_totalprice", "month", "mean"),
     "timeseries_week": series_sql("events", "ts", "value", "week", "sum"),

@@ -55,13 +55,21 @@ def box(df: DataFrame, column: str) -> DataFrame:
 
 
 def box_grouped(df: DataFrame, column: str, group: str, null_label: str = NULL_LABEL) -> DataFrame:
-    """Box numbers for the 12 most frequent groups."""
+    """Box numbers for the 12 most frequent groups; ``dropped_groups`` and ``dropped_rows`` tell what is not shown."""
     label = group_key(ref(group), null_label)
-    top = (df.groupBy(label.alias("group")).agg(F.count(F.lit(1)).alias("c"))
-           .orderBy(F.desc("c"), "group").limit(BOX_GROUPS).collect())
-    kept = df.where(label.isin([r["group"] for r in top]))
-    return _box(kept.select(label.alias("group"), as_number(df, column).alias("value"))).withColumn(
-        "group", F.substring("group", 1, LABEL))
+    top, groups, rows = _most_frequent(df, label, BOX_GROUPS)
+    kept = df.where(label.isin(list(top)))
+    return _box(kept.select(label.alias("group"), as_number(df, column).alias("value"))).withColumns({
+        "group": F.substring("group", 1, LABEL), "dropped_groups": F.lit(groups - len(top)).cast("long"),
+        "dropped_rows": F.lit(rows - sum(top.values())).cast("long")})
+
+
+def _most_frequent(df: DataFrame, label: Column, k: int) -> tuple[dict[str, int], int, int]:
+    """The k most frequent labels with their rows, the number of all labels, and of all rows."""
+    counted = materialize(df.groupBy(label.alias("v")).agg(F.count(F.lit(1)).alias("c")), "labels")
+    total = counted.agg(F.count(F.lit(1)).alias("labels"), F.coalesce(F.sum("c"), F.lit(0)).alias("rows")).first()
+    rows = counted.orderBy(F.desc("c"), "v").limit(k).collect()
+    return {r["v"]: r["c"] for r in rows}, total["labels"], total["rows"]
 
 
 def scatter(df: DataFrame, x: str, y: str, key: list[str], color: str | None = None,
@@ -92,22 +100,21 @@ def by_category(df: DataFrame, x: str, y: str, agg: str = "mean", top_n: int = 1
 
 
 def grouped_series(df: DataFrame, x: str, y: str, group: str, agg: str = "mean", null_label: str = NULL_LABEL) -> DataFrame:
-    """series, x, y for the 6 most frequent groups over the 30 most frequent x; missing pairs give null."""
-    gx, gg = group_key(ref(x), null_label), group_key(ref(group), null_label)
+    """series, x, y for the 6 most frequent groups over the 30 most frequent x; missing pairs give null.
 
-    def top(label: Column, k: int) -> list[str]:
-        rows = (df.groupBy(label.alias("v")).agg(F.count(F.lit(1)).alias("c"))
-                .orderBy(F.desc("c"), "v").limit(k).collect())
-        return [r["v"] for r in rows]
-
-    xs, gs = top(gx, SERIES_X), top(gg, SERIES)
+    ``dropped_series`` and ``dropped_x`` are the numbers of groups and of x values that are not shown.
+    """
+    gx, gg = group_key(ref(x), null_label), group_key(ref(group), null_label)
+    (xs, all_x, _), (gs, all_series, _) = _most_frequent(df, gx, SERIES_X), _most_frequent(df, gg, SERIES)
+    xs, gs = list(xs), list(gs)
     values = df.select(gx.alias("x"), gg.alias("series"), as_number(df, y).alias("value")).where(
         F.col("x").isin(xs) & F.col("series").isin(gs))
     found = _aggregate(values, ["series", "x"], agg)
     spine = df.sparkSession.createDataFrame([(g, v) for g in gs for v in xs], "series string, x string")
     seen = found.select("x").distinct()
     return (spine.join(seen, "x", "left_semi").join(found, ["series", "x"], "left")
-            .select(F.substring("series", 1, LABEL).alias("series"), "x", "y"))
+            .select(F.substring("series", 1, LABEL).alias("series"), "x", "y", F.lit(all_series - len(gs)).cast("long").alias("dropped_series"),
+                    F.lit(all_x - len(xs)).cast("long").alias("dropped_x")))
 
 
 PERIODS = {"month": "1 month", "week": "7 days", "day": "1 day"}
