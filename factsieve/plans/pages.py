@@ -41,13 +41,18 @@ class PageIndex:
         placed = wrapped.repartitionByRange(slices, *ordered).sortWithinPartitions(*ordered).select(
             F.monotonically_increasing_id().alias("id"), "row").select(
             F.shiftright("id", _PLACE_BITS).alias("slice"), F.col("id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)).alias("place"), "row")
+        placed.limit(0).write.parquet(f"{path}/schema")  # an empty order has no slice to read it from
         placed.write.partitionBy("slice").parquet(f"{path}/rows")
-        table = spark.read.schema(placed.select("place", "row", "slice").schema).parquet(f"{path}/rows")
+        table = PageIndex(spark, path, rows)._rows()
         counts = table.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
         before = F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1))  # a row per slice
         counts.withColumn("first", F.coalesce(before, F.lit(0))).coalesce(1).write.parquet(f"{path}/slices")
         return PageIndex(spark, path, rows)
 
+    def _rows(self) -> DataFrame:
+        schema = self.spark.read.parquet(f"{self.path}/schema").select("place", "row", "slice").schema
+        return self.spark.read.schema(schema).parquet(f"{self.path}/rows")
+
     @staticmethod
     def open(spark: SparkSession, path: str) -> PageIndex:
         """An index written before."""
@@ -58,7 +63,7 @@ class PageIndex:
         pages = max(1, math.ceil(self.rows / size))
         low = (min(max(1, number), pages) - 1) * size
         hit = self.spark.read.parquet(f"{self.path}/slices").where((F.col("first") < low + size) & (F.col("first") + F.col("n") > low)).collect()
-        table, inside = self.spark.read.parquet(f"{self.path}/rows"), F.lit(False)
+        table, inside = self._rows(), F.lit(False)
         for r in hit:  # no more slices than rows of a page
             here = F.col("place").between(F.lit(low - r["first"]), F.lit(low + size - 1 - r["first"]))
             inside = inside | ((F.col("slice") == r["slice"]) & here)
