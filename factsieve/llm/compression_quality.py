@@ -4,7 +4,8 @@ One zstandard dictionary is trained on good and one on bad labelled text.  A tex
 difference of the two sizes over their sum, and how well the better one compresses it, go through a logistic calibration.
 
 The model is fitted on a bounded sample of the labelled rows (``SAMPLE_DOCS`` of each class for the dictionaries and twice as
-many others, in their natural proportion, for the calibration; texts of at most ``SAMPLE_BYTES`` each), taken by the hash of the id and never from held-out rows.
+many others, in their natural proportion, for the calibration), taken by the hash of the id, one text for each id, and never from
+held-out rows.  Texts beyond ``SAMPLE_BYTES`` come after all others and give a stretch of that size, so that a class of long texts only is learned.
 Scoring stays inside a row: no shuffle, and a worker keeps two compressors.
 
 Defined results: a null text scores as an empty one; an empty text has the score of its compressed sizes, as any
@@ -118,20 +119,32 @@ def fit(rows: list[tuple[bytes, int, bool]]) -> Model | Constant:
     return model
 
 
+def training_texts(docs: DataFrame, id_col: str, text_col: str, sample_bytes: int) -> DataFrame:
+    """id, text, long: texts to learn from. Of a text beyond ``sample_bytes`` a stretch from a place by its hash; such texts come last."""
+    text = F.col(text_col)
+    chars = sample_bytes // 4  # at most four bytes each
+    start = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - chars + 1, F.lit(1))).cast("int") + 1
+    long = F.octet_length(text) > sample_bytes
+    return docs.where(text.isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.when(long, F.substring(text, start, F.lit(chars))).otherwise(text).alias("text"), long.alias("long"))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
           sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model | Constant:
     """Fits the model on a bounded sample of the labelled rows that are not held out."""
     agreed = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("y in (0, 1) and id is not null")
               .groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").where(~held_out(F.col("id"))))
-    hashed = agreed.withColumn("h", F.md5(F.concat(F.lit("quality:"), F.col("id").cast("string")))).withColumn("first", F.col("h") < "8")
+    usable = training_texts(docs, id_col, text_col, sample_bytes)
+    with_text = usable.groupBy("id").agg(F.min("long").alias("long"))
+    hashed = agreed.join(with_text, "id").withColumn("h", F.md5(F.concat(F.lit("quality:"), F.col("id").cast("string")))).withColumn("first", F.col("h") < "8")
     # each a top-k by hash: the dictionaries get as many rows of either class, the calibration rows in their natural proportion
-    picked = hashed.where("not first").orderBy("h", "id").limit(2 * sample_docs)
+    picked = hashed.where("not first").orderBy("long", "h", "id").limit(2 * sample_docs)
     for y in (0, 1):
-        picked = picked.unionAll(hashed.where(F.col("first") & (F.col("y") == y)).orderBy("h", "id").limit(sample_docs))
+        picked = picked.unionAll(hashed.where(F.col("first") & (F.col("y") == y)).orderBy("long", "h", "id").limit(sample_docs))
     picked = picked.select("id", "y", "h", "first")
-    texts = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")).where(
-        F.octet_length("text") <= sample_bytes)
-    rows = texts.join(F.broadcast(picked), "id").select("h", "id", "text", "y", "first").distinct().collect()  # 4 * sample_docs texts at most
+    # one text for each id, whatever its number of rows: 4 * sample_docs texts at most
+    rows = (usable.join(F.broadcast(picked.select("id", "y", "h", "first")), "id").groupBy("h", "id", "y", "first")
+            .agg(F.min(F.struct("long", "text")).alias("t")).select("h", "id", F.encode("t.text", "UTF-8").alias("text"), "y", "first").collect())
     rows.sort(key=lambda r: (r.h, r.id, bytes(r.text)))
     return fit([(bytes(r.text), r.y, r["first"]) for r in rows])
 

@@ -4,7 +4,8 @@ A Bloom filter whose slots hold one bit for each language: looking an n-gram up
 all languages whose training texts hold it often.  A text's n-grams are looked up at once; each language's bits are
 counted, lowered by the hits that the fill of its slice alone would give, and divided by the same rate on its own training texts.
 
-Training takes at most ``SAMPLE_DOCS`` texts of each language, of at most ``SAMPLE_BYTES`` each, by the hash of their ids.
+Training takes at most ``SAMPLE_DOCS`` texts of each language, by the hash of their ids, one for each id.  Texts beyond ``SAMPLE_BYTES``
+come after all others and give a stretch of that size, so that a language with long texts only is learned too.
 Prediction stays inside a row: no shuffle, and the filter (a fixed number of slots) is broadcast.
 
 Defined results: a null text and one without a letter are ``und`` with score 0; a text with letters but no known n-gram gets
@@ -22,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factsieve.llm import textbytes as tb
-from factsieve.llm.compression_quality import held_out
+from factsieve.llm.compression_quality import held_out, training_texts
 
 LENGTHS = (3, 4)
 SLOT_BITS, HASHES = 18, 2
@@ -131,17 +132,19 @@ def fit(rows: list[tuple[str, str]], bits: int = SLOT_BITS, min_share: float = M
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS,
           sample_bytes: int = SAMPLE_BYTES) -> Filter:
     """Fits the filter on a bounded sample of the rows that have a language and are not held out."""
-    open_rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null").where(
-        ~held_out(F.col("id"))).withColumn("h", F.md5(F.concat(F.lit("language:"), F.col("id").cast("string"))))
+    usable = training_texts(docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).withColumn(
+        id_col, F.struct(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))), id_col, text_col, sample_bytes).where("id.id is not null")
+    # one row for each id and language, whatever the number of its rows
+    open_rows = usable.groupBy("id").agg(F.min("long").alias("long")).select("id", "id.lang", "long", F.md5(
+        F.concat(F.lit("language:"), F.col("id.id").cast("string"))).alias("h"))
     # a salted first cut keeps the rows of a hot language in many tasks
-    salted = W.partitionBy("lang", F.substring("h", -1, 1)).orderBy("h", "id")
+    salted = W.partitionBy("lang", F.substring("h", -1, 1)).orderBy("long", "h", "id")
     first = open_rows.withColumn("at", F.row_number().over(salted)).where(F.col("at") <= sample_docs)
-    picked = first.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(
-        F.col("at") <= sample_docs).select(F.col("id"), F.col("lang"), "h").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("own"), F.col(text_col).alias("text")).where(
-        F.octet_length("text") <= sample_bytes)
-    # the ids are bounded by sample_docs for each language
-    rows = texts.join(F.broadcast(picked), "id").where("own = lang").select("h", "id", "text", "lang").distinct().collect()
+    picked = first.withColumn("at", F.row_number().over(W.partitionBy("lang").orderBy("long", "h", "id"))).where(
+        F.col("at") <= sample_docs).select("id", "h")
+    # sample_docs texts for each language
+    rows = (usable.join(F.broadcast(picked), "id").groupBy("h", "id").agg(F.min(F.struct("long", "text")).alias("t"))
+            .select("h", "id.id", "t.text", "id.lang").collect())
     rows.sort(key=lambda r: (r.h, r.id, r.text))
     return fit([(r.text, r.lang) for r in rows])
 

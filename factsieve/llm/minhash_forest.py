@@ -15,8 +15,9 @@ Hot groups: documents with equal sets are one class with its smallest id before
 number; a region of distinct near copies is bounded by ``REGION_SETS`` members and ``REGION_SHINGLES`` shingles.
 
 Defined results: a null or empty text, or one of white space only, has an empty set and links with nothing; a text of fewer
-than ``words`` words is one shingle.  Repeated rows belong to one class and are all returned.  A row without an
-id links with nothing: its ``component_id`` is null and ``kept`` true.  An empty table gives no rows.
+than ``words`` words is one shingle.  Repeated rows belong to one class and are all returned.  Rows that share an id and have
+different texts link each by its own set.  A row without an id links with nothing: its ``component_id`` is null and ``kept``
+true.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -109,6 +110,12 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
 
 
+def _fingerprint(mixed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of the mixed hashes of each set."""
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
+    return (total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
+
+
 def _sketch(size: int, orders: int) -> callable:
     def run(texts: pa.Array) -> pa.Array:
         counts, first, second, labels = [], [], [], []
@@ -116,8 +123,7 @@ def _sketch(size: int, orders: int) -> callable:
             keys, bounds = shingle_sets(data, offsets, size)
             counts.append(np.diff(bounds))
             for out, values in ((first, tb.mix(keys)), (second, tb.mix(keys * np.uint64(3) + np.uint64(7)))):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
-                out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+                out.append(_fingerprint(values, bounds))
             labels.append(signatures(keys, bounds, orders))
         if not counts:
             return pa.array([], pa.struct([("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("labels", pa.binary())]))
@@ -130,14 +136,16 @@ def _sketch(size: int, orders: int) -> callable:
 
 def _sets(size: int) -> callable:
     def run(texts: pa.Array) -> pa.Array:
-        parts, ends = [], [np.zeros(1, np.int64)]
+        parts, ends, first = [], [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
         for _, _, data, offsets in tb.text_chunks(texts):
             keys, bounds = shingle_sets(data, offsets, size)
             parts.append(keys)
+            first.append(_fingerprint(tb.mix(keys), bounds))
             ends.append(bounds[1:] + ends[-1][-1])
         keys = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
         offsets = (np.concatenate(ends) * 8).astype(np.int64)
-        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(keys.tobytes())]).cast(pa.binary())
+        sets = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(keys.tobytes())])
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(first)), sets.cast(pa.binary())], ["f1", "shingles"])
 
     return run
 
@@ -161,13 +169,14 @@ def _crowded(rows: DataFrame) -> DataFrame:
 def regions(classes: DataFrame, region_sets: int = REGION_SETS, region_shingles: int = REGION_SHINGLES, orders: int = ORDERS) -> DataFrame:
     """Rows (region, id, hub, crowd): members of each region that must be compared; crowd marks those of a region beyond the bounds.
 
+    ``id`` names a class: the smallest document id of the set and the set's first fingerprint, since an id may have several texts.
     A region beyond the bounds is cut at the next label; its hubs (members on the heaviest branch, at most ``HUBS``) go to each
     part, and a part that is still too large at full depth is dealt into parts of bounded size.
     """
     columns = [F.struct(F.lit(t).alias("t"), _prefix(t, BASE_DEPTH).alias("region"),
                         F.array(*[_prefix(t, d) for d in range(BASE_DEPTH + 1, DEPTH + 1)]).alias("deeper")) for t in range(orders)]
     rows = materialize(_crowded(
-        classes.select("id", "n", F.explode(F.array(*columns)).alias("r")).select("id", "n", "r.region", "r.deeper")), "forest")
+        classes.select(F.struct("id", "f1").alias("id"), "n", F.explode(F.array(*columns)).alias("r")).select("id", "n", "r.region", "r.deeper")), "forest")
     out = []
     for level in range(DEPTH - BASE_DEPTH + 1):
         small = (F.col("members") <= region_sets) & (F.col("shingles") <= region_shingles)
@@ -242,13 +251,12 @@ def _compare(share: int) -> callable:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def links(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch | None:
-            distinct = list({i: s for i, s in zip(ids, sets)}.items())
-            if len(distinct) < 2:
+            if len(sets) < 2:
                 return None
-            found = _links_within([s for _, s in distinct], share)
+            found = _links_within(sets, share)
             if not found:
                 return None
-            pairs = np.array([[distinct[a][0], distinct[b][0]] for a, b in found], np.int64)
+            pairs = np.array([[ids[a], ids[b]] for a, b in found], np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
         region, ids, sets = None, [], []
@@ -295,11 +303,11 @@ def _prefixes(share: int, counters) -> callable:
 
 
 def crowd_links(crowd: DataFrame, sets: DataFrame, links: DataFrame, share: int, region_sets: int, region_shingles: int) -> DataFrame:
-    """Links (a, b) among the ids of ``crowd`` that unite what ``links`` do not: with them, all links of the crowd are covered."""
+    """Links (a, b) among the classes of ``crowd`` that unite what ``links`` do not: with them, all links of the crowd are covered."""
     spark = crowd.sparkSession
     known = components(links, "crowd-near")
-    members = materialize(crowd.join(sets, "id").join(known, F.col("id") == F.col("node"), "left").select(
-        "id", F.coalesce("component", "id").alias("united"), "shingles"), "crowd")
+    members = materialize(crowd.join(sets, "id").join(known, F.col("id.id") == F.col("node"), "left").select(
+        "id", F.coalesce("component", "id.id").alias("united"), "shingles"), "crowd")
     often = np.zeros(1 << COUNTER_BITS, np.int64)
     for r in members.select("shingles").mapInArrow(_count_shingles, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toLocalIterator():
         often[r["place"]] = r["n"]
@@ -314,7 +322,7 @@ def crowd_links(crowd: DataFrame, sets: DataFrame, links: DataFrame, share: int,
     # a pair of blocks is one region whichever of the two a member is in; a block alone is met with each other one
     region = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
     met = paired.where("blocks = 1 or block <> other").select(region.alias("region"), "id")
-    compared = met.join(members.select("id", "shingles"), "id").select("region", "id", "shingles").repartition("region").sortWithinPartitions("region", "id")
+    compared = met.join(members.select("id", "shingles"), "id").select("region", "id.id", "shingles").repartition("region").sortWithinPartitions("region", "id")
     return compared.mapInArrow(_compare(share), "a long, b long")
 
 
@@ -342,16 +350,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(real.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", "labels")).alias("m"), F.count(F.lit(1)).alias("copies"))
                           .select("f1", "f2", "n", "m.id", "m.labels", "copies"), "classes")
     members = materialize(regions(classes, region_sets, region_shingles, orders), "regions")
-    wanted = members.select("id").distinct()
+    wanted = members.select("id.id").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = _perhaps(texts, wanted)
-    build = F.arrow_udf(_sets(size), "binary")
-    # an id names one text; where it is repeated with other texts, one of their sets stands for it
+    build = F.arrow_udf(_sets(size), "struct<f1:bigint,shingles:binary>")
     # an inner join, since the optimizer would move a semi join below the bitmap
     exact = texts.join(wanted.withColumnRenamed("id", "wanted_id"), F.col("id") == F.col("wanted_id"))
-    sets = materialize(exact.select("id", build("text").alias("shingles"))
+    sets = materialize(exact.select("id", build("text").alias("s")).select(F.struct("id", "s.f1").alias("id"), "s.shingles")
                        .groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
-    compared = (members.groupBy("region", "id").agg(F.max("hub").alias("hub")).join(sets, "id").select("region", "id", "shingles")
+    compared = (members.select("region", "id").distinct().join(sets, "id").select("region", "id.id", "shingles")
                 .repartition("region").sortWithinPartitions("region", "id"))
     links = compared.mapInArrow(_compare(share), "a long, b long")
     crowd = members.where("crowd").select("id").distinct()
