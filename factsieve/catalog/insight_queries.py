@@ -110,7 +110,7 @@ QUERIES = {
     "insight_outliers": rule(insights.outliers, lambda s, d: table(s, d, "events").select("event_id", "value", "event_type")),
     "insight_duplicates": rule(insights.duplicates),
     "insight_identifier": rule(insights.identifier, lambda s, d: table(s, d, "customer")),
-    "insights": lambda s, d: insights.insights(dirty_orders(s, d), limit=12),
+    "insights": lambda s, d: insights.insights(dirty_orders(s, d), limit=12, numbers=3, groups=2),
     "column_aggregate": lambda s, d: rounded(answers.column_aggregate(table(s, d, "lineitem"), "l_extendedprice"), 2),
     "top_groups": lambda s, d: rounded(answers.top_groups(table(s, d, "part"), "p_brand", "p_retailprice"), 4),
     "missing_columns": lambda s, d: answers.missing_columns(dirty_orders(s, d)),

@@ -86,9 +86,12 @@ def skewed(facts: Facts) -> DataFrame:
                           F.col("column"), F.lit("info"), F.round("skew", 3)))
 
 
-def group_gap(facts: Facts) -> DataFrame:
-    """First categorical column, per numeric one, whose group means lie a standard deviation apart."""
-    nums, cats = facts.with_role("numeric")[:3], facts.with_role("categorical", "boolean")[:2]
+def group_gap(facts: Facts, numbers: int | None = None, groups: int | None = None) -> DataFrame:
+    """First categorical column, per numeric one, whose group means lie a standard deviation apart.
+
+    ``numbers`` and ``groups`` take the leading columns only.
+    """
+    nums, cats = facts.with_role("numeric")[:numbers], facts.with_role("categorical", "boolean")[:groups]
     if not nums or not cats:
         return _none(facts)
     df = facts.df
@@ -111,9 +114,9 @@ def group_gap(facts: Facts) -> DataFrame:
                               F.lit("info"), F.round("hit.gap_sd", 2)))
 
 
-def trend(facts: Facts) -> DataFrame:
-    """First of the leading numeric columns that moved by a fifth from the earliest to the latest third."""
-    times, nums = facts.with_role("datetime")[:1], facts.with_role("numeric")[:3]
+def trend(facts: Facts, numbers: int | None = None) -> DataFrame:
+    """First of the (leading) numeric columns that moved by a fifth from the earliest to the latest third of the first time column."""
+    times, nums = facts.with_role("datetime")[:1], facts.with_role("numeric")[:numbers]
     if not times or not nums:
         return _none(facts)
     at = F.create_map(*[e for i, c in enumerate(nums) for e in (F.lit(c), F.lit(i))])
@@ -151,12 +154,17 @@ def identifier(facts: Facts) -> DataFrame:
         F.lit("info"), F.col("n_distinct")))
 
 
-RULES = [correlation, missing, dominance, skewed, group_gap, trend, outliers, duplicates, identifier]
+RULES = [correlation, missing, dominance, skewed, outliers, duplicates, identifier]
+
 
+def insights(df: DataFrame, limit: int | None = None, facts: Facts | None = None, numbers: int | None = None,
+             groups: int | None = None) -> DataFrame:
+    """All findings, or the first ``limit``: warnings first, then by kind.
 
-def insights(df: DataFrame, limit: int | None = None, facts: Facts | None = None) -> DataFrame:
-    """All findings, or the first ``limit``: warnings first, then by kind."""
+    Group gaps and trends look at all columns, or at the leading ``numbers`` numeric and ``groups`` categorical ones.
+    """
     facts = (facts or Facts(df)).warm()
-    found = reduce(DataFrame.unionByName, [rule(facts) for rule in RULES])
+    parts = [rule(facts) for rule in RULES] + [group_gap(facts, numbers, groups), trend(facts, numbers)]
+    found = reduce(DataFrame.unionByName, parts)
     ranked = found.orderBy(F.when(F.col("severity") == "warning", 0).otherwise(1), "kind", "pos", "title")
     return (ranked if limit is None else ranked.limit(limit)).select("kind", "title", "columns", "severity", "metric")

@@ -56,7 +56,7 @@ def report_facts(df: DataFrame, operations: list[dict] | None = None, runs: list
         _section(Quality(df, facts).issues(), "issues", [severity, F.col("title")], F.col("severity"), F.col("title")),
         _section(described, "describe", [F.col("pos")],
                  F.col("column"), F.to_json(F.struct(*[c for c in described.columns if c not in ("column", "pos")]))),
-        _section(insights(df, facts=facts), "insights",
+        _section(insights(df, facts=facts, numbers=3, groups=2), "insights",
                  [F.when(F.col("severity") == "warning", 0).otherwise(1), F.col("kind"), F.col("title")],
                  F.col("kind"), F.col("title")),
     ]
