@@ -9,6 +9,7 @@ from factsieve.catalog.profile_queries import DIRTY, role_sql
 from factsieve.catalog.shape import rounded, union_sql
 from factsieve.operators import metrics, ml, splits
 from factsieve.operators.features import Features
+from factsieve.operators.linear import fold_scores
 from factsieve.operators.neighbors import knn_predict
 from factsieve.plans.store import new_path
 
@@ -73,11 +74,20 @@ def q_boosting(s, d):
     return ml.train_models(data, "bought", "classification", ["event_id"], models=["gradient_boosting"], cv=0).results
 
 
-def q_cv(s, d):
-    data = table(s, d, "lineitem").select(
+def lines(s, d):
+    return table(s, d, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"), "l_quantity", "l_discount", "l_tax",
         "l_returnflag", "l_shipdate", "l_extendedprice")
-    return ml.train_models(data, "l_extendedprice", "regression", ["row_key"], models=["linear"]).results
+
+
+def q_cv(s, d):
+    return ml.train_models(lines(s, d), "l_extendedprice", "regression", ["row_key"], models=["linear"]).results
+
+
+def q_linear_folds(s, d):
+    folded = splits.folds(lines(s, d), ["row_key"])
+    return rounded(fold_scores(folded, "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_shipdate"], 5).select(
+        "fold", "n_train", "n_test", "rmse", "r2"), 4)
 
 
 def q_importance(s, d):
@@ -110,6 +120,7 @@ QUERIES = {
     "ml_regression": q_regression,
     "ml_classification": q_classification,
     "ml_cv": q_cv,
+    "ml_linear_folds": q_linear_folds,
     "ml_compare": q_compare,
     "ml_boosting": q_boosting,
     "ml_importance": q_importance,
@@ -149,6 +160,25 @@ k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, label) AS
 v AS (SELECT vec_id, label, row_number() OVER (PARTITION BY vec_id ORDER BY count(*) DESC, label) AS r FROM k WHERE r <= 5 GROUP BY vec_id, label)
 SELECT vec_id, label AS prediction FROM v WHERE r = 1"""
 
+# Normal equations of each fold's training rows, solved by sweeping one column after the other.
+FOLDS_SQL = """WITH RECURSIVE h AS (SELECT l_extendedprice::DOUBLE AS p, l_quantity::DOUBLE AS q, l_discount::DOUBLE AS c, l_tax::DOUBLE AS t,
+  date_diff('day', DATE '0001-01-01', l_shipdate::DATE)::DOUBLE AS d, l_returnflag AS f, count(*) OVER () AS n, rank() OVER (ORDER BY
+  substr(md5(concat(concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey), '|42')), 1, 13)) AS r FROM lineitem),
+m AS (SELECT avg(p) AS mp, avg(q) AS mq, avg(c) AS mc, avg(t) AS mt, avg(d) AS md, stddev_pop(d) AS sd, min(f) AS f1, max(f) AS f2 FROM h),
+x AS (SELECT CAST(((r - 1) * 5) // n AS INT) AS fold, [1, q - mq, c - mc, t - mt, (d - md) / sd, CAST(f = f1 AS INT), CAST(f = f2 AS INT), p - mp]::DOUBLE[] AS x
+  FROM h, m),
+g AS (SELECT fold, i, j, sum(x[i] * x[j]) AS s FROM x, range(1, 9) a(i), range(1, 9) b(j) GROUP BY ALL),
+w AS (SELECT o.fold, o.i, o.j, a.s - o.s AS s FROM g o JOIN (SELECT i, j, sum(s) AS s FROM g GROUP BY ALL) a USING (i, j)),
+rows AS (SELECT fold, i, list(s ORDER BY j) AS row FROM w GROUP BY ALL),
+sweep AS (SELECT fold, 1 AS k, list(row ORDER BY i) AS a FROM rows GROUP BY fold UNION ALL
+  SELECT fold, k + 1, [CASE WHEN i = k THEN [v / a[k][k] FOR v IN a[k]] ELSE [a[i][j] - a[i][k] * a[k][j] / a[k][k] FOR j IN range(1, 9)] END FOR i IN range(1, 9)]
+  FROM sweep WHERE k <= 7),
+b AS (SELECT fold, [a[i][8] FOR i IN range(1, 8)] AS b FROM sweep WHERE k = 8),
+e AS (SELECT fold, x[8] AS y, x[8] - list_dot_product(x[1:7], b) AS e FROM x JOIN b USING (fold))
+SELECT fold, CAST((SELECT count(*) FROM x) - count(*) AS BIGINT) AS n_train, count(*) AS n_test, round(sqrt(avg(e * e)), 4) AS rmse,
+  round(1 - avg(e * e) / var_pop(y), 4) AS r2 FROM e GROUP BY fold"""
+
+
 def refused(target: str, task: str, outcome: str) -> str:
     text = outcome.replace("'", "''")
     return f"SELECT '{target}' AS target, '{task}' AS task, NULL::BIGINT AS n, NULL::BIGINT AS classes, '{text}' AS outcome"
@@ -195,4 +225,5 @@ SELECT a.c AS label, b.c AS prediction, (SELECT count(*) FROM scored s WHERE s.l
 s AS (SELECT count(*) FILTER (WHERE y) AS p, count(*) FILTER (WHERE NOT y) AS n, sum(k) FILTER (WHERE y) AS k FROM r)
 SELECT round((k - p * (p + 1) / 2.0) / (p * n), 6) AS roc_auc, p AS positives, n AS negatives FROM s""",
     "knn_predict": KNN_SQL,
+    "ml_linear_folds": FOLDS_SQL,
 }
