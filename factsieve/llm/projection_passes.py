@@ -2,9 +2,14 @@
 
 Each pass gives a vector the concatenated signs of its own random projections and sorts the vectors of a label by them; vectors
 in the same run of equal leading signs are neighbours and are compared, a run longer than ``WINDOW`` in sorted
-order with the next ``WINDOW`` vectors.  A label with such runs is also met exactly, by blocks in tasks of their own: either all pairs of its
-long runs or, where that is less, all pairs of the label.  The confirmed pairs of all passes are united to components; a linked pair always lies inside
-one, so the links of a vector are then counted there exactly, block against block, without emitting pairs.
+order with the next ``WINDOW`` vectors, and then also exactly, block against block in tasks of their own.  The confirmed pairs of all passes are
+united to components; a linked pair always lies inside one, so the links of a vector are then counted there exactly, block against
+block, without emitting pairs.
+
+How many leading signs part a label's runs follows from the label: two vectors at the threshold agree in a sign with a known
+probability, so each number of signs has a number of passes in which all but ``MISS`` of such pairs meet, whatever the data.  A
+sample of ``SAMPLE`` vectors tells how many pairs share that many signs, and the number with the least work is taken.  More vectors take more
+signs and a few more passes; a label whose vectors lie close together takes more of both.  The sample sets the work only, not what is found.
 
 Equal vectors of a label are one class with a multiplicity before the passes, whatever their number.  A component
 is cut into blocks of ``BLOCK`` vectors, so no task holds an unbounded one.
@@ -16,41 +21,83 @@ with each other as other vectors do; their common id is their component.  Other
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factsieve.llm.components import components
 from factsieve.plans.store import materialize
 
 COSINE = 0.98
-#: Signs of a pass in sorted order, of which the first PREFIX part the runs.  At cosine 0.98 two vectors agree in one sign with
-#: probability 0.936, so in a pass's first 10 with 0.52 and in none of 16 passes with 8e-6.
-PASSES, SIGNS, PREFIX = 16, 32, 10
+#: The chance that a pair at the threshold meets in no pass.
+MISS = 1e-5
+#: Signs that part the runs, at most, and those after them, which only order a run.
+MAX_DEPTH, ORDER = 40, 16
+#: Vectors of a label that estimate its runs; moving a vector costs about as much as so many comparisons.
+SAMPLE, MOVE = 2000, 256
 WINDOW, BLOCK = 256, 1024
 
 
-def _projections(width: int) -> np.ndarray:
-    return np.random.default_rng([7, width]).standard_normal((width, PASSES * SIGNS))
+def passes_for(depth: int, cosine: float = COSINE) -> int:
+    """Passes in which two vectors at the threshold share all of ``depth`` signs at least once, but for MISS."""
+    together = (1 - math.acos(max(-1.0, min(1.0, cosine))) / math.pi) ** depth
+    return 1 if together >= 1 else math.ceil(math.log(MISS) / math.log1p(-together))
+
+
+@lru_cache(maxsize=512)
+def _projections(width: int, number: int) -> np.ndarray:
+    """The projections of one pass."""
+    return np.random.default_rng([7, width, number]).standard_normal((width, MAX_DEPTH + ORDER))
+
+
+def _keys(x: np.ndarray, number: int, signs: int) -> np.ndarray:
+    """The signs of one pass as bits, the first sign highest."""
+    return (x @ _projections(x.shape[1], number)[:, :signs] > 0) @ (np.int64(1) << np.arange(signs - 1, -1, -1, dtype=np.int64))
+
+
+def _depth(cosine: float, window: int, block: int):
+    """Signs and passes of one label from its sample: the least of comparisons and moved vectors."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        n, m = int(rows["n"].iloc[0]), len(rows)
+        best = 0
+        if m > 1:
+            x = np.array(rows["v"].tolist(), float)
+            keys = [_keys(x, number, MAX_DEPTH) for number in range(4)]
+
+            def work(depth: int) -> float:
+                runs = [np.unique(k >> (MAX_DEPTH - depth), return_counts=True)[1].astype(float) for k in keys]
+                share = max(float(np.mean([(r * (r - 1)).sum() for r in runs])) / (m * (m - 1)), 0.5 ** depth)
+                copies = 1 + (2 * n * share / block if n * share > window else 0)
+                return passes_for(depth, cosine) * (n * n * share / 2 + n * MOVE * copies)
+
+            best = min(range(MAX_DEPTH + 1), key=work)
+        return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "depth": [best], "passes": [passes_for(best, cosine)]})
+
+    return run
 
 
-def _signs(vectors: pa.Array) -> pa.Array:
-    """For each vector a list with one number a pass: its signs as bits, the first sign highest."""
+def _signs(vectors: pa.Array, depths: pa.Array, passes: pa.Array) -> pa.Array:
+    """For each vector a list with one number a pass: its depth and ORDER further signs as bits."""
     offsets = np.asarray(vectors.offsets)
     flat = np.asarray(vectors.values, float)
-    out = np.zeros((len(vectors), PASSES), np.int64)
-    sizes = np.diff(offsets)
-    for width in np.unique(sizes):
-        rows = np.flatnonzero(sizes == width)
+    each = np.column_stack([np.diff(offsets), depths.to_numpy(zero_copy_only=False), passes.to_numpy(zero_copy_only=False)]).astype(np.int64)
+    ends = np.concatenate([[0], np.cumsum(each[:, 2])])
+    out = np.zeros(ends[-1], np.int64)
+    for width, depth, count in np.unique(each, axis=0):
+        rows = np.flatnonzero((each == (width, depth, count)).all(1))
         for low in range(0, len(rows), 1024):
             part = rows[low:low + 1024]
             x = flat[offsets[part][:, None] + np.arange(width)]
-            bits = (x @ _projections(int(width)) > 0).reshape(len(part), PASSES, SIGNS)
-            out[part] = bits @ (np.int64(1) << np.arange(SIGNS - 1, -1, -1, dtype=np.int64))
-    return pa.ListArray.from_arrays(np.arange(len(vectors) + 1, dtype=np.int32) * PASSES, pa.array(out.ravel()))
+            for number in range(count):
+                out[ends[part] + number] = _keys(x, number, int(depth) + ORDER)
+    return pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(out))
 
 
 def _matrix(rows: list) -> np.ndarray:
@@ -142,16 +189,10 @@ def _within(cosine: float):
 
 
 def _long_links(passed: DataFrame, runs: DataFrame, cosine: float, window: int, block: int) -> DataFrame:
-    """Links of the runs longer than the window, by all pairs of the run or of its label, whichever are fewer."""
-    long_runs = runs.where(F.col("n") > window)
-    first = passed.where("pass = 0")
-    sizes = first.join(long_runs.select("label").distinct(), "label").groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    plan = materialize(long_runs.groupBy("label").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")).join(sizes, "label").select(
-        "label", "size", (F.col("pairs") > F.col("size").cast("double") * F.col("size")).alias("whole")), "long-labels")
-    whole = first.join(plan.where("whole").select("label", F.col("size").alias("n")), "label").select(F.col("label").alias("cell"), "n", "id", "v")
-    parts = passed.join(long_runs.join(plan.where("not whole"), "label").select("run", "n"), "run").select(F.col("run").alias("cell"), "n", "id", "v")
+    """Links of the runs longer than the window, by all pairs of the run."""
+    parts = passed.join(runs.where(F.col("n") > window).select("run", "n"), "run").select(F.col("run").alias("cell"), "n", "id", "v")
     # two blocks of a pair hold about ``block`` vectors
-    dealt = whole.unionAll(parts).withColumn("blocks", F.ceil(F.col("n") * 2 / F.lit(block)).cast("int")).withColumn(
+    dealt = parts.withColumn("blocks", F.ceil(F.col("n") * 2 / F.lit(block)).cast("int")).withColumn(
         "block", F.pmod(F.xxhash64("id", "cell"), F.col("blocks")).cast("int"))
     paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("blocks = 1 or block <> other")
     regions = paired.select(F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "id", "v")
@@ -192,11 +233,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & v.isNotNull() & fine, F.lit(False))
     table = materialize(rows.select("id", F.when(usable, F.col("label")).alias("label"), F.when(usable, F.transform(v, lambda x: x + F.lit(0.0))).alias("v")), "vectors")
     classes = materialize(table.where("v is not null").groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+    celled = classes.select("id", "v", F.xxhash64("label", F.size("v")).alias("cell"))
+    first = F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("id"), "id"))
+    sizes = celled.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    sample = celled.withColumn("place", first).where(F.col("place") <= SAMPLE).drop("place").join(sizes, "cell")
+    plan = materialize(sample.groupBy("cell").applyInPandas(_depth(cosine, window, block), "cell long, depth int, passes int"), "depths")
     signs = F.arrow_udf(_signs, "array<bigint>")
-    keyed = classes.select("id", "label", "v", signs("v").alias("signs"))
-    passed = keyed.select("id", "v", F.xxhash64("label", F.size("v")).alias("label"), F.posexplode("signs").alias("pass", "key")).select(
-        F.xxhash64("pass", "label", F.shiftright("key", SIGNS - PREFIX)).alias("run"), "label", "pass", "key", "id", "v")
-    runs = materialize(passed.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "runs")
+    passed = celled.join(plan, "cell").select("id", "v", "cell", F.posexplode(signs("v", "depth", "passes")).alias("pass", "key")).select(
+        F.xxhash64("pass", "cell", F.shiftright("key", ORDER)).alias("run"), "key", "id", "v")
+    runs = materialize(passed.groupBy("run").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "runs")
     sorted_runs = passed.join(runs.select("run"), "run", "left_semi").repartition("run").sortWithinPartitions("run", "key", "id").select("run", "id", "v")
     links = sorted_runs.mapInArrow(_neighbours(cosine, window), "a long, b long")
     if runs.where(F.col("n") > window).limit(1).count():
