@@ -77,7 +77,9 @@ def _depth(cosine: float, window: int, block: int):
                 copies = 1 + (2 * n * share / block if n * share > window else 0)
                 return passes_for(depth, cosine) * (n * n * share / 2 + n * MOVE * copies)
 
-            best = min(range(MAX_DEPTH + 1), key=work)
+            # vectors in all directions are left in runs of a quarter of the window, so no label is met as a whole
+            least = max(0, min(MAX_DEPTH, math.ceil(math.log2(4 * n / window))))
+            best = min(range(least, MAX_DEPTH + 1), key=work)
         return pd.DataFrame({"cell": [rows["cell"].iloc[0]], "depth": [best], "passes": [passes_for(best, cosine)]})
 
     return run
