@@ -37,6 +37,17 @@ def test_classes_of_a_forest_do_not_depend_on_how_rows_are_spread(spark, monkeyp
     assert first == second
 
 
+def test_regression_forest_is_written_and_read_back(spark, tmp_path):
+    df = table(spark)
+    run = forest_run(df, "y", "regression")
+    assert run.results.first()["error"] is None and run.results.first()["r2"] > 0.9
+    again = ml.TrainedModel.load(spark, run.best_model.save(spark, str(tmp_path / "m")))
+    first, second = ({r["id"]: r["prediction"] for r in m.predict(df, ["id"]).collect()} for m in (run.best_model, again))
+    assert first == second and isinstance(again.model, Forest)
+    with pytest.raises(ValueError):
+        forest_run(df, "y", "regression", numTrees=0)
+
+
 def test_copies_are_drawn_one_by_one(spark):
     rows = spark.createDataFrame([(float(i % 2), Vectors.dense([float(i % 2 == 0)])) for i in range(400)], ["label", "features"])
     made = Forest.fit(rows.unionAll(rows.where("label = 0")), 2, ONE | {"numTrees": 20, "maxDepth": 0, "featureSubsetStrategy": "all"})
