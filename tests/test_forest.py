@@ -37,6 +37,16 @@ def test_classes_of_a_forest_do_not_depend_on_how_rows_are_spread(spark, monkeyp
     assert first == second
 
 
+def test_importance_of_a_forest_does_not_depend_on_how_nodes_are_split(spark, monkeypatch):
+    df = table(spark)
+    one = forest_run(df.coalesce(1), "y", "regression").best_model
+    monkeypatch.setattr(forest, "MAX_CELLS", 150)  # most upper nodes are split by tables of their features
+    many = forest_run(df.repartition(5), "y", "regression").best_model
+    got, want = dict(many.importance()), dict(one.importance())
+    assert set(got) == set(want) and all(got[f] == pytest.approx(want[f], abs=2e-4) for f in want)
+    assert max(want, key=want.get) == "x" and sum(want.values()) == pytest.approx(1, abs=1e-3)
+
+
 def test_regression_forest_is_written_and_read_back(spark, tmp_path):
     df = table(spark)
     run = forest_run(df, "y", "regression")
