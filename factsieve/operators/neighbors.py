@@ -22,24 +22,38 @@ from factsieve.operators.splits import stratified_sample
 from factsieve.plans.sampling import row_id
 
 MAX_TRAIN_ROWS = 20_000
-STEP = 256  # rows compared at once
+STEP = 128  # rows compared at once
+ROUNDING = 1e-13  # of a distance from products, as a share of the squares and for each feature: far above the real one
 
 
 def _votes(asked: np.ndarray, known: np.ndarray, codes: np.ndarray, classes: int, k: int) -> np.ndarray:
-    """Share of each class among the k nearest known rows; equal distances go to the smaller class."""
+    """Share of each class among the k nearest known rows; equal distances go to the smaller class.
+
+    Products of matrices leave the known rows that may be among the nearest, then distances are summed gap by gap for these alone.
+    """
     out = np.zeros((len(asked), classes))
     top = min(k, len(known))
+    square = (known * known).sum(1)
     for start in range(0, len(asked), STEP):
         part = asked[start:start + STEP]
-        dist = np.zeros((len(part), len(known)))
+        own = (part * part).sum(1)
+        rough = square[None, :] - 2.0 * (part @ known.T)  # less the square of the asked row
+        if top < len(known):
+            slack = ROUNDING * (known.shape[1] + 1) * (own + square.max())
+            with np.errstate(invalid="ignore"):
+                edge = np.partition(rough, top - 1, axis=1)[:, top - 1] + slack
+                row, near = np.nonzero(~(rough > edge[:, None]))
+        else:
+            row, near = np.divmod(np.arange(len(part) * len(known)), len(known))
+        dist = np.zeros(len(row))
         for j in range(known.shape[1]):
-            gap = part[:, j, None] - known[None, :, j]
+            gap = part[row, j] - known[near, j]
             dist += gap * gap
-        near = np.argpartition(dist, top - 1, axis=1)[:, :top] if top < len(known) else np.tile(np.arange(top), (len(part), 1))
-        edge = np.take_along_axis(dist, near, 1).max(1)
-        for i in np.flatnonzero((dist <= edge[:, None]).sum(1) > top):  # ties at the edge: known rows stand in class order
-            near[i] = np.argsort(dist[i], kind="stable")[:top]
-        np.add.at(out, (start + np.arange(len(part))[:, None], codes[near]), 1.0 / top)
+        order = np.lexsort((near, dist, row))  # known rows stand in class order
+        row, near = row[order], near[order]
+        first = np.searchsorted(row, np.arange(len(part)))
+        kept = near[first[:, None] + np.arange(top)]
+        np.add.at(out, (start + np.arange(len(part))[:, None], codes[kept]), 1.0 / top)
     return out
 
 

@@ -85,3 +85,21 @@ def test_small_tables_are_spread_over_tasks(spark):
     df = spark.range(0, 40_000, 1, 1)
     assert ml.spread(df, 40_000).rdd.getNumPartitions() == 4 and ml.spread(df, 4_000).rdd.getNumPartitions() == 1
     assert ml.spread(df, 40_000).agg(F.sum("id")).first()[0] == df.agg(F.sum("id")).first()[0]
+
+
+def test_models_share_the_features_of_a_fold(spark, monkeypatch):
+    fitted, fit = [], ml.Features.fit
+    monkeypatch.setattr(ml.Features, "fit", staticmethod(lambda train, columns: fitted.append(1) or fit(train, columns)))
+    run = ml.train_models(table(spark, 200).drop("y"), "label", "classification", ["id"], models=["knn", "decision_tree"], cv=2)
+    assert len(fitted) == 3 and all(r["error"] is None for r in run.results.collect())
+
+
+def test_nearest_rows_are_told_apart_behind_the_rounding_of_products():
+    from factsieve.operators import neighbors
+
+    known, asked = 1e6 + np.array([[0.0], [2e-3], [1e-3], [1e-3], [3e-3], [9.0]]), 1e6 + np.array([[0.0], [3e-3], [5.0]])
+    for k in (1, 3, 6):
+        got = neighbors._votes(asked, known, np.arange(6), 6, k)
+        for row, x in zip(got, asked):
+            near = np.argsort(((known - x) ** 2).sum(1), kind="stable")[:k]
+            assert set(np.flatnonzero(row)) == set(near)
