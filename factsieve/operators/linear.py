@@ -24,6 +24,7 @@ from factsieve.functions.columns import as_number, quoted, ref
 from factsieve.operators.features import MAX_CATEGORIES, is_number_feature, raw_number
 from factsieve.plans.frequency import top_of
 from factsieve.plans.quantiles import quantiles
+from factsieve.plans.store import materialize
 
 #: Directions whose share of the largest spread is below this do not vary in the training rows.
 FLAT = 1e-10
@@ -91,9 +92,13 @@ def fold_scores(folded: DataFrame, target: str, features: list[str], k: int) ->
     target of a fold's rows does not vary.  Where features depend on each other the shortest solution is taken.
     """
     y = as_number(folded, target)
-    df = folded.where(y.isNotNull() & F.col("fold").isNotNull())
-    numbers = [c for c in features if is_number_feature(df, c)]
-    texts = [c for c in features if c not in numbers and isinstance(df.schema[c].dataType, (T.StringType, T.BooleanType))]
+    numbers = [c for c in features if is_number_feature(folded, c)]
+    texts = [c for c in features if c not in numbers and isinstance(folded.schema[c].dataType, (T.StringType, T.BooleanType))]
+    # folds are hashed and joined once; every later pass reads these narrow rows
+    df = materialize(folded.where(y.isNotNull() & F.col("fold").isNotNull()).select(
+        F.col("fold").cast("int").alias("fold"), y.alias("_target"), *[F.expr(raw_number(folded, c)).alias(c) for c in numbers],
+        *[ref(c).cast("string").alias(c) for c in texts]), "fold_rows")
+    y = F.col("_target")
     value = {c: f"({raw_number(df, c)})" for c in numbers}
     first = df.agg(F.avg(y), *[F.expr(f"{e}({value[c]})") for c in numbers for e in ("avg", "count")], F.count(F.lit(1))).first()
     if not first[-1]:

@@ -66,3 +66,14 @@ def test_training_uses_the_folds(spark):
     marks = [v[3] for v in brute(folded, ["x", "z", "c"], 2).values()]
     assert got["error"] is None and got["cv_mean"] == pytest.approx(np.mean(marks), abs=1e-6)
     assert got["cv_std"] == pytest.approx(np.std(marks), abs=1e-6)
+
+
+def test_folds_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def fold_of(i):
+        seen.add(1)
+        return i % 2
+
+    df = table(spark, 200).withColumn("fold", F.udf(fold_of, "int").asNondeterministic()("id"))
+    assert fold_scores(df, "y", ["x", "z", "c", "b"], 2).count() == 2 and seen.value == 200
