@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factsieve.functions.columns import group_key, ref
 from factsieve.plans.sampling import hash_ranks, with_hash
+from factsieve.plans.store import materialize
 
 SEED = 42  # fixed value
 
@@ -33,7 +34,7 @@ def split(df: DataFrame, key: list[str], test_size: float = 0.2, by: str | None
 
 def folds(df: DataFrame, key: list[str], k: int = 5, by: str | None = None, seed: int = SEED) -> DataFrame:
     """Adds ``fold``: k equal runs of the hash order within each class."""
-    hashed = with_hash(df, key, seed)
+    hashed = materialize(with_hash(df, key, seed), "hashed")  # three passes read the hashes
     edges = hash_ranks(hashed, _class(by), [(f"_e{i}", i / k, f"ceil(n * {i} / {k})") for i in range(1, k)])
     joined = hashed.withColumn("_class", _class(by)).join(edges, "_class")
     fold = " + ".join(f"cast(_h >= _e{i} as int)" for i in range(1, k))
