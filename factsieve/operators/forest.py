@@ -28,6 +28,7 @@ from factsieve.plans.store import materialize
 PARAMS = {"numTrees", "maxDepth", "maxBins", "seed", "featureSubsetStrategy", "minInstancesPerNode", "minInfoGain"}
 MAX_CELLS = 20_000        # cells of a node that one task splits on its own
 SAMPLE_ROWS = 10_000      # rows that the candidate splits are taken from, at least
+MANY = 4                  # a feature of two bins is read by its upper one if that has at most one of so many rows
 DRAWN = 1 << 18           # rows drawn at once
 TABLE_BYTES = 64 << 20    # tables of features that a task holds before it hands them on
 DIGITS = 8                # of a variance's decrease that count, as a share of the node's
@@ -104,24 +105,57 @@ def _allowed(nodes: np.ndarray, salt: np.uint64, width: int, wanted: int) -> np.
     return out
 
 
+def _order(keys: np.ndarray, top: int) -> np.ndarray:
+    """Stable order of keys below ``top``; short keys are ordered by counting."""
+    return np.argsort(keys.astype(np.uint16) if top <= 1 << 16 else keys, kind="stable")
+
+
+def _gains(left: np.ndarray, whole: np.ndarray, total: np.ndarray, weight: np.ndarray, how: dict) -> np.ndarray:
+    """Gains of splits from the sums on their left; the other arrays are those of the node of each split."""
+    (li, lw), (ri, rw) = _impurity(left, how["classes"]), _impurity(total - left, how["classes"])
+    got = whole - lw / weight * li - rw / weight * ri
+    got[(lw < how["min_rows"]) | (rw < how["min_rows"]) | (got < how["min_gain"])] = 0.0
+    if not how["classes"]:  # sums of other orders differ in their last digits: equal splits stay equal
+        got = np.where(whole > 0, np.round(got / np.where(whole > 0, whole, 1.0), DIGITS) * whole, 0.0)
+    return got
+
+
+def _firsts(got: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each node in the ordered ``node``, its highest gain and the first place that has it."""
+    starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    top = np.maximum.reduceat(got, starts)
+    place = np.where(got == np.repeat(top, np.diff(np.append(starts, len(node)))), np.arange(len(node)), len(node))
+    return node[starts], top, np.minimum.reduceat(place, starts)
+
+
+def _ones(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features with more than two bins (or with the upper of two in many rows), and row and feature of the others' rows in the upper bin, by feature."""
+    wide = (bins.max(0, initial=0) > 1) | (np.count_nonzero(bins, axis=0) * MANY > len(bins))
+    two = np.flatnonzero(~wide)
+    feature, row = np.nonzero(bins[:, two].T)
+    return np.flatnonzero(wide), row, two[feature]
+
+
 def _best_splits(bins: np.ndarray, sums: np.ndarray, at: np.ndarray, total: np.ndarray, allowed: np.ndarray | None, how: dict,
-                 only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                 only: np.ndarray | None = None, ones: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gain, feature and last bin on the left of the best split of each node (gain 0 without one).
 
-    Rows hold the bins of all features, or of the feature ``only`` each; ``at`` is the node of a row.
+    Rows hold the bins of all features, or of the feature ``only`` each; ``at`` is the node of a row.  Features of two bins need
+    their ``ones`` (as of ``_ones``) only, so a category costs the rows that have it; the rest of a node is on the left.
     """
     nodes, width = len(total), how["width"]
     gain, feature, cut = np.zeros(nodes), np.full(nodes, -1), np.full(nodes, -1)
     whole, weight = _impurity(total, how["classes"])
-    for f in range(width):
+    for f in range(width) if ones is None else ones[0].tolist():
         rows = np.arange(len(at)) if only is None else np.flatnonzero(only == f)
         if allowed is not None:
             rows = rows[allowed[at[rows], f]]
         if len(rows) < 2:
             continue
-        key = at[rows] * 256 + (bins[rows, f] if only is None else bins[rows, 0])
-        order = np.argsort(key, kind="stable")
-        key, rows = key[order], rows[order]
+        value = bins[rows, f] if only is None else bins[rows, 0]
+        order = _order(value, 256)
+        order = order[_order(at[rows[order]], nodes)]
+        rows, key = rows[order], at[rows[order]] * 256 + value[order]
         stop = np.flatnonzero(key[1:] != key[:-1])          # last row of each bin of a node but the very last bin
         node = key[stop] >> 8
         inside = (key[stop + 1] >> 8) == node
@@ -132,20 +166,29 @@ def _best_splits(bins: np.ndarray, sums: np.ndarray, at: np.ndarray, total: np.n
         before = np.zeros((nodes, sums.shape[1]))
         before[key[first] >> 8] = np.where((first > 0)[:, None], run[first - 1], 0.0)
         stop, node = stop[inside], node[inside]
-        left = run[stop] - before[node]
-        right = total[node] - left
-        (li, lw), (ri, rw) = _impurity(left, how["classes"]), _impurity(right, how["classes"])
-        got = whole[node] - lw / weight[node] * li - rw / weight[node] * ri
-        got[(lw < how["min_rows"]) | (rw < how["min_rows"]) | (got < how["min_gain"])] = 0.0
-        if not how["classes"]:  # sums of other orders differ in their last digits: equal splits stay equal
-            got = np.where(whole[node] > 0, np.round(got / np.where(whole[node] > 0, whole[node], 1.0), DIGITS) * whole[node], 0.0)
-        starts = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
-        top = np.maximum.reduceat(got, starts)
-        place = np.where(got == np.repeat(top, np.diff(np.append(starts, len(node)))), np.arange(len(node)), len(node))
-        place, owner = np.minimum.reduceat(place, starts), node[starts]
+        got = _gains(run[stop] - before[node], whole[node], total[node], weight[node], how)
+        owner, top, place = _firsts(got, node)
         better = top > gain[owner]
         owner, place = owner[better], place[better]
         gain[owner], feature[owner], cut[owner] = top[better], f, key[stop[place]] & 255
+    if ones is not None and len(ones[1]):
+        rows, of = ones[1:]
+        if allowed is not None:
+            kept = allowed[at[rows], of]
+            rows, of = rows[kept], of[kept]
+        order = _order(at[rows], nodes)
+        rows, of = rows[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], (at[rows[1:]] != at[rows[:-1]]) | (of[1:] != of[:-1])])) if len(rows) else rows
+        node, of, size = at[rows[first]], of[first], np.diff(np.append(first, len(rows)))
+        inside = size < np.bincount(at, minlength=nodes)[node]
+        if inside.any():
+            right = np.add.reduceat(sums[rows], first, axis=0)[inside]
+            node, of = node[inside], of[inside]
+            owner, top, place = _firsts(_gains(total[node] - right, whole[node], total[node], weight[node], how), node)
+            found = of[place]
+            better = (top > gain[owner]) | ((top == gain[owner]) & (top > 0) & (found < feature[owner]))
+            owner = owner[better]
+            gain[owner], feature[owner], cut[owner] = top[better], found[better], 0
     return gain, feature, cut
 
 
@@ -163,6 +206,7 @@ def _grow(tree: int, root: int, bins: np.ndarray, sums: np.ndarray, how: dict) -
     """All nodes under ``root``, level by level, and their sums."""
     ids, at = np.array([root]), np.zeros(len(bins), np.int64)
     found, values, salt = [], [], _salt(how["seed"], tree)
+    wide, row, of = _ones(bins)
     while len(ids):
         total = _per_node(at, sums, len(ids))
         impurity, weight = _impurity(total, how["classes"])
@@ -170,15 +214,14 @@ def _grow(tree: int, root: int, bins: np.ndarray, sums: np.ndarray, how: dict) -
         live = ~deep & ~((np.abs(impurity) < 1e-6) & (ids > 1))
         keep = live[at]
         number = np.cumsum(live) - 1
-        bins, sums, at = bins[keep], sums[keep], number[at[keep]]
+        bins, sums, at, row, of = _left(keep, bins, sums, number[at], row, of)
         allowed = _allowed(ids[live], salt, how["width"], how["subset"])
         gain, feature, cut = (np.zeros(len(ids)), np.full(len(ids), -1), np.full(len(ids), -1))
-        gain[live], feature[live], cut[live] = _best_splits(bins, sums, at, total[live], allowed, how)
+        gain[live], feature[live], cut[live] = _best_splits(bins, sums, at, total[live], allowed, how, None, (wide, row, of))
         found.append(_records(ids, feature, cut, gain * weight))
         values.append(total)
         split = feature[live] >= 0
-        keep = split[at]
-        bins, sums, at = bins[keep], sums[keep], at[keep]
+        bins, sums, at, row, of = _left(split[at], bins, sums, at, row, of)
         side = bins[np.arange(len(at)), feature[live][at]] > cut[live][at]
         at = (np.cumsum(split) - 1)[at] * 2 + side
         parents = ids[live][split]
@@ -186,6 +229,12 @@ def _grow(tree: int, root: int, bins: np.ndarray, sums: np.ndarray, how: dict) -
     return np.concatenate(found), np.concatenate(values)
 
 
+def _left(keep: np.ndarray, bins: np.ndarray, sums: np.ndarray, at: np.ndarray, row: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows to keep, and their ones under the new row numbers."""
+    ones = keep[row]
+    return bins[keep], sums[keep], at[keep], (np.cumsum(keep) - 1)[row[ones]], of[ones]
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
