@@ -33,6 +33,8 @@ DRAWN = 1 << 18           # rows drawn at once
 TABLE_BYTES = 64 << 20    # tables of features that a task holds before it hands them on
 DIGITS = 8                # of a variance's decrease that count, as a share of the node's
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
+#: Arrays of a subtree and the types of their numbers.
+PARTS = {"feature": np.int32, "cut": np.int16, "left": np.int32, "values": np.float64, "gains": np.float64}
 _NODE = np.dtype([("node", "<i8"), ("feature", "<i4"), ("cut", "<i4"), ("gain", "<f8")])
 
 
@@ -329,12 +331,81 @@ def _subtrees(how: dict):
         bins = _matrix(table.column("bins"), how["width"])
         order = np.lexsort(bins.T[::-1])  # the same sums however the rows came
         nodes, sums = _grow(tree, node, bins[order], _sums(table, how["stats"])[order], how)
-        return pa.table({"tree": pa.array([tree], pa.int32()), "nodes": pa.array([nodes.tobytes()], pa.binary()),
-                         "sums": pa.array([sums.tobytes()], pa.binary())})
+        flat = zip(PARTS, _flat(nodes, sums, how))
+        return pa.table({"tree": pa.array([tree], pa.int32()), "node": pa.array([node], pa.int64()),
+                         **{name: pa.array([a.tobytes()], pa.binary()) for name, a in flat}})
 
     return run
 
 
+def _flat(nodes: np.ndarray, sums: np.ndarray, how: dict) -> tuple[np.ndarray, ...]:
+    """The arrays of a forest (see there) for one subtree with its root first, and its gains by feature."""
+    ids, feature, kept, guess = nodes["node"], nodes["feature"].copy(), np.ones(len(nodes), bool), _guess(sums, how)
+    level = np.frexp(ids.astype(float))[1]
+    for d in range(int(level.max()) - 1, int(level.min()) - 1, -1):  # two leaves with the same prediction are one
+        here = np.flatnonzero((level == d) & (feature >= 0))
+        child = np.searchsorted(ids, ids[here] * 2)
+        same = (feature[child] < 0) & (feature[child + 1] < 0) & (guess[child] == guess[child + 1])
+        feature[here[same]] = -1
+        kept[child[same]] = kept[child[same] + 1] = False
+    nodes, sums, feature = nodes[kept], sums[kept], feature[kept]
+    inner, leaf = np.flatnonzero(feature >= 0), feature < 0
+    left = np.zeros(len(nodes), np.int32)
+    left[inner] = np.searchsorted(nodes["node"], nodes["node"][inner] * 2)
+    left[leaf] = -1 - np.arange(int(leaf.sum()))
+    gains = np.bincount(feature[inner], nodes["gain"][inner], how["width"])
+    return feature.astype(np.int32), nodes["cut"].astype(np.int16), left, _values(sums[leaf], how), gains
+
+
+def _guess(sums: np.ndarray, how: dict) -> np.ndarray:
+    return sums.argmax(1).astype(float) if how["classes"] else sums[:, 1] / sums[:, 0]
+
+
+def _values(sums: np.ndarray, how: dict) -> np.ndarray:
+    """Shares of the classes, or the mean less the centre."""
+    return sums / sums.sum(1, keepdims=True) if how["classes"] else (sums[:, 1] / sums[:, 0])[:, None]
+
+
+def _joined(top: dict, parts: dict, how: dict) -> tuple[np.ndarray, ...]:
+    """One tree from the nodes split over all tasks (by number: record and sums) and the subtrees below them."""
+    if not top:
+        return parts[1]
+    same = {}  # what a leaf predicts
+    for n, (record, sums) in top.items():
+        if record["feature"] < 0:
+            same[n] = _guess(sums, how)[0]
+    for n, part in parts.items():
+        if part[0][0] < 0:
+            same[n] = float(part[3][0].argmax()) if how["classes"] else part[3][0, 0]
+    for n in sorted(top, reverse=True):
+        if n not in same and 2 * n in same and 2 * n + 1 in same and same[2 * n] == same[2 * n + 1]:
+            same[n] = _guess(top[n][1], how)[0]
+    feature, cut, left, values = [np.full(1, -1, np.int32)], [np.full(1, -1, np.int16)], [np.zeros(1, np.int32)], []
+    gains, size, leaves, waiting = np.zeros(how["width"]), 1, 0, [(1, 0, 0)]  # node, its array and place in it
+    while waiting:
+        n, array, place = waiting.pop()
+        if n in parts:
+            f, c, le, v, g = parts[n]
+            le = np.where(le < 0, le - leaves, le + size - 1)
+            feature[array][place], cut[array][place], left[array][place] = f[0], c[0], le[0]
+            feature, cut, left = feature + [f[1:]], cut + [c[1:]], left + [le[1:].astype(np.int32)]
+            size, gains = size + len(f) - 1, gains + g
+        elif n in same:
+            v = _values(top[n][1], how)
+            left[array][place] = -1 - leaves
+        else:
+            record = top[n][0]
+            feature[array][place], cut[array][place], left[array][place] = record["feature"], record["cut"], size
+            gains[record["feature"]] += record["gain"]
+            feature, cut, left = feature + [np.full(2, -1, np.int32)], cut + [np.full(2, -1, np.int16)], left + [np.zeros(2, np.int32)]
+            waiting += [(2 * n, len(left) - 1, 0), (2 * n + 1, len(left) - 1, 1)]
+            size += 2
+            continue
+        values.append(v)
+        leaves += len(v)
+    return np.concatenate(feature), np.concatenate(cut), np.concatenate(left), np.concatenate(values), gains
+
+
 def _moved(how: dict, splits: dict):
     """Cells of split nodes go to their children, those of leaves are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -436,50 +507,39 @@ class Forest:
         drawn = rows.repartition(tasks, "bins", "label").withColumn("h", F.xxhash64("label", "bins")).mapInArrow(
             _bagged(how), f"tree int, bins binary, {shape}")
         cells = materialize(drawn.groupBy("tree", "bins").agg(*[F.sum(s).alias(s) for s in stats]).withColumn("node", F.lit(1).cast("long")), "bag")
-        made, kept = [], "tree int, nodes binary, sums binary"
+        upper: dict[int, dict] = {}
         while True:
             big = {(r["tree"], r["node"]) for r in cells.groupBy("tree", "node").count().where(F.col("count") > MAX_CELLS).collect()}
             if not big:
                 break
             tables = cells.mapInArrow(_tables(how, big), f"tree int, node long, feature int, bin int, {shape}")
             tables = tables.groupBy("tree", "node", "feature", "bin").agg(*[F.sum(s).alias(s) for s in stats])
-            found = tables.groupBy("tree", "node").applyInArrow(_split_tables(how), kept).collect()
-            made += found
+            found = tables.groupBy("tree", "node").applyInArrow(_split_tables(how), "tree int, nodes binary, sums binary").collect()
             nodes = [(r["tree"], np.frombuffer(r["nodes"], _NODE)[0]) for r in found]
+            for (t, n), r in zip(nodes, found):
+                upper.setdefault(t, {})[int(n["node"])] = n, np.frombuffer(r["sums"])[None, :]
             splits = {(t, int(n["node"])): (int(n["feature"]), int(n["cut"])) for t, n in nodes}
             cells = materialize(cells.mapInArrow(_moved(how, splits), cells.schema), "bag")
-        made += cells.groupBy("tree", "node").applyInArrow(_subtrees(how), kept).collect()
-        return Forest._of(made, cuts, how)
+        grown = cells.groupBy("tree", "node").applyInArrow(_subtrees(how), "tree int, node long, " + ", ".join(f"{p} binary" for p in PARTS))
+        lower: dict[int, dict] = {}
+        for r in grown.collect():
+            part = [np.frombuffer(r[p], kind) for p, kind in PARTS.items()]
+            part[3] = part[3].reshape(-1, classes or 1)
+            lower.setdefault(r["tree"], {})[r["node"]] = tuple(part)
+        return Forest._of(upper, lower, cuts, how)
 
     @staticmethod
-    def _of(made: list, cuts: list, how: dict) -> Forest:
-        nodes = np.concatenate([np.frombuffer(r["nodes"], _NODE) for r in made])
-        sums = np.concatenate([np.frombuffer(r["sums"]) for r in made]).reshape(len(nodes), -1)
-        tree = np.repeat([r["tree"] for r in made], [len(r["nodes"]) // _NODE.itemsize for r in made]).astype(np.int64)
-        key = (tree << 32) | nodes["node"]
-        order = np.argsort(key)
-        key, nodes, sums = key[order], nodes[order], sums[order]
-        feature, kept = nodes["feature"].copy(), np.ones(len(nodes), bool)
-        guess = sums.argmax(1).astype(float) if how["classes"] else sums[:, 1] / sums[:, 0]
-        level = np.frexp(nodes["node"].astype(float))[1]
-        for d in range(int(level.max()) - 1, 0, -1):  # two leaves with the same prediction are one
-            here = np.flatnonzero((level == d) & (feature >= 0))
-            child = np.searchsorted(key, (key[here] >> 32 << 32) | (nodes["node"][here] * 2))
-            same = (feature[child] < 0) & (feature[child + 1] < 0) & (guess[child] == guess[child + 1])
-            feature[here[same]] = -1
-            kept[child[same]] = kept[child[same] + 1] = False
-        key, nodes, sums, feature = key[kept], nodes[kept], sums[kept], feature[kept]
-        inner, leaf = np.flatnonzero(feature >= 0), feature < 0
-        left = np.zeros(len(key), np.int64)
-        left[inner] = np.searchsorted(key, (key[inner] >> 32 << 32) | (nodes["node"][inner] * 2))
-        left[leaf] = -1 - np.arange(int(leaf.sum()))
-        values = sums[leaf] / sums[leaf].sum(1, keepdims=True) if how["classes"] else (sums[leaf, 1] / sums[leaf, 0] + how["centre"])[:, None]
+    def _of(upper: dict, lower: dict, cuts: list, how: dict) -> Forest:
+        trees = {t: _joined(upper.get(t, {}), lower.get(t, {}), how) for t in sorted(upper.keys() | lower.keys())}
+        roots = np.cumsum([0] + [len(t[0]) for t in trees.values()])[:-1]
+        leaves = np.cumsum([0] + [len(t[3]) for t in trees.values()])[:-1]
+        feature, cut, values = (np.concatenate([t[i] for t in trees.values()]) for i in (0, 1, 3))
+        left = np.concatenate([np.where(t[2] < 0, t[2] - k, t[2] + r).astype(np.int32) for t, r, k in zip(trees.values(), roots, leaves)])
         own = np.zeros((how["trees"], how["width"]))
-        np.add.at(own, (key[inner] >> 32, feature[inner]), nodes["gain"][inner])
+        own[list(trees)] = [t[4] for t in trees.values()]
         totals = own.sum(1, keepdims=True)
         mean = np.divide(own, totals, out=np.zeros_like(own), where=totals > 0).sum(0)
-        return Forest(how["classes"], cuts, np.flatnonzero(nodes["node"] == 1), feature.astype(np.int32), nodes["cut"].astype(np.int16), left.astype(np.int32),
-                      values, mean / mean.sum() if mean.sum() > 0 else mean)
+        return Forest(how["classes"], cuts, roots, feature, cut, left, values + how["centre"], mean / mean.sum() if mean.sum() > 0 else mean)
 
     def transform(self, df: DataFrame) -> DataFrame:
         shared = df.sparkSession.sparkContext.broadcast((self.cuts, self.roots, self.feature, self.cut, self.left, self.values))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
@@ -134,6 +135,16 @@ def test_splits_are_the_best_of_all(classes, subset):
     assert len(found) > 30 and set(held) == set(found)
 
 
+def test_subtrees_reach_the_driver_in_few_bytes():
+    bins, sums = category_cells(0)
+    how = {"classes": 0, "stats": 3, "width": bins.shape[1], "subset": bins.shape[1], "depth": 30, "seed": 42, "min_rows": 1, "min_gain": 0.0}
+    cells = pa.table({"tree": np.zeros(len(bins), np.int32), "node": np.ones(len(bins), np.int64), "bins": pa.array([b.tobytes() for b in bins], pa.binary()),
+                      **{f"s{k}": sums[:, k] for k in range(3)}})
+    sent = forest._subtrees(how)(cells)
+    nodes, _ = forest._grow(0, 1, bins, sums, how)
+    assert len(nodes) > len(bins) and sum(len(v) for c in sent.to_pydict().values() for v in c if isinstance(v, bytes)) < 20 * len(nodes)
+
+
 def test_a_target_is_checked_once_for_all_its_rows(spark, monkeypatch):
     asked, check = [], ml.check_target
     monkeypatch.setattr(ml, "check_target", lambda df, *own: asked.append(1) or check(df, *own))
