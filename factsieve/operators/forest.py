@@ -4,7 +4,8 @@ Splits are sought among at most ``bins`` ranges of each feature, so rows of the
 of its cells (labels of each class, or count, sum and sum of squares).  Each task draws the samples of all trees from its rows; the
 draws follow from a row's content and number among its equals, so they do not depend on how rows are spread.  Cells of one
 tree go to one task while they are few; a node with more cells is split by summing the tables of its features over all tasks,
-until its parts are few enough.  Candidate splits, gains, ties, leaves and the merging of equal leaves are the library's.
+until its parts are few enough.  Candidate splits, gains, ties, leaves and the merging of equal leaves are the library's, but that
+candidates are taken from all rows and not from a sample.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from factsieve.plans.store import materialize
 #: Parameters that are read here, by the library's names.
 PARAMS = {"numTrees", "maxDepth", "maxBins", "seed", "featureSubsetStrategy", "minInstancesPerNode", "minInfoGain"}
 MAX_CELLS = 20_000        # cells of a node that one task splits on its own
-SAMPLE_ROWS = 10_000      # rows that the candidate splits are taken from, at least
+RANGES = 1 << 16          # ranges of values that one pass counts, over all features
+VALUES = 1 << 18          # values that reach the driver one by one, at most
 MANY = 4                  # a feature of two bins is read by its upper one if that has at most one of so many rows
 DRAWN = 1 << 18           # rows drawn at once
 TABLE_BYTES = 64 << 20    # tables of features that a task holds before it hands them on
@@ -35,6 +37,7 @@ DIGITS = 8                # of a variance's decrease that count, as a share of t
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 #: Arrays of a subtree and the types of their numbers.
 PARTS = {"feature": np.int32, "cut": np.int16, "left": np.int32, "values": np.float64, "gains": np.float64}
+_CELL = np.dtype([("n", "<i8"), ("low", "<f8"), ("high", "<f8")])
 _NODE = np.dtype([("node", "<i8"), ("feature", "<i4"), ("cut", "<i4"), ("gain", "<f8")])
 
 
@@ -51,11 +54,9 @@ def _salt(*numbers: int) -> np.uint64:
     return out[0]
 
 
-def _poisson(hashes: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    """Draws with the mean ``scale`` (at most 1) from hashes."""
-    u = (hashes >> np.uint64(11)) * 2.0 ** -53
-    steps = _POISSON if scale == 1.0 else np.cumsum([math.exp(-scale) * scale ** k / math.factorial(k) for k in range(18)])
-    return np.searchsorted(steps, u, side="right")
+def _poisson(hashes: np.ndarray) -> np.ndarray:
+    """Draws with the mean 1 from hashes."""
+    return np.searchsorted(_POISSON, (hashes >> np.uint64(11)) * 2.0 ** -53, side="right")
 
 
 def _copies(counts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -67,19 +68,139 @@ def _copies(counts: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.nda
         yield row, place - (ends[row] - counts[row])
 
 
-def _cuts(values: np.ndarray, weights: np.ndarray, bins: int) -> np.ndarray:
-    """Candidate splits of one feature: midpoints between all its values, or those nearest to equal shares."""
-    found, place = np.unique(values, return_inverse=True)
-    counts = np.bincount(place, weights)
-    if len(found) - 1 <= bins - 1:
-        return (found[:-1] + found[1:]) / 2.0
-    stride = counts.sum() / bins
-    out, target, ends = [], stride, np.cumsum(counts)
-    for i in range(1, len(found)):
-        if abs(ends[i - 1] - target) < abs(ends[i] - target):
-            out.append((found[i - 1] + found[i]) / 2.0)
+def _walk(cells: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate splits of one feature, midpoints between all its values or those nearest to equal shares, and the cells to divide first.
+
+    Cells are its ranges of values in order, each with its rows (``n``), lowest and highest value.  One in which no share ends is
+    passed as a whole; while there are others with more than one value, the splits are not known yet.
+    """
+    n, low, high = cells["n"], cells["low"], cells["high"]
+    ends, several = np.cumsum(n), low < high
+    if len(cells) + np.count_nonzero(several) <= bins:
+        return (high[:-1] + low[1:]) / 2.0, np.flatnonzero(several)
+    stride = float(n.sum()) / bins
+    out, divided, target, before, last, at = [], [], stride, 0, None, 0
+    while at < len(cells):
+        if several[at] and ends[at] > target:
+            divided.append(at)
+            while target < ends[at]:  # a guess, the cells behind are looked at again when this one is divided
+                target += stride
+        elif not several[at] and last is not None and abs(before - target) < abs(ends[at] - target):
+            out.append((last + low[at]) / 2.0)
             target += stride
-    return np.array(out)
+        if ends[at] <= target:
+            at = max(at, int(np.searchsorted(ends, target, side="right")) - 1)
+        before, last, at = ends[at], high[at], at + 1
+    return np.array(out), np.array(divided, np.int64)
+
+
+def _digits(value: float) -> int:
+    """Whole numbers in the order of the values, neighbours for neighbouring values."""
+    number = int(np.float64(value).view(np.int64))
+    return number if number >= 0 else -(number & (1 << 63) - 1)
+
+
+def _steps(low: float, high: float, parts: int) -> np.ndarray:
+    """Ends of the ranges that ``low`` to ``high`` is divided into, but the last: even ones, and some even in the digits of the values,
+    so that few rounds reach single values however they are spread."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        even = low + (high - low) * (np.arange(parts) / parts)
+    first, last = _digits(low), _digits(high)
+    numbers = [first + (last - first) * i // 16 for i in range(16)]
+    spread = np.array([abs(i) for i in numbers], np.int64).view(np.float64) * np.where(np.array(numbers, float) < 0, -1.0, 1.0)
+    found = np.unique(np.concatenate([spread, even[np.isfinite(even)]]))
+    return found[(found >= low) & (found < high)]
+
+
+def _ranges(cells: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the ranges that cells are divided into, and which of the ranges are inside of a cell."""
+    ends, inside = [], []
+    for low, high in zip(cells["low"].tolist(), cells["high"].tolist()):
+        before = np.nextafter(low, -np.inf)
+        if low > -np.inf and not (ends and ends[-1] >= before):
+            ends.append(before)
+            inside.append(False)
+        ends += [*_steps(low, high, parts), high]
+        inside += [True] * (len(ends) - len(inside))
+    return np.array(ends), np.array(inside, bool)
+
+
+def _ordered(batch: pa.RecordBatch, features: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The features' values of rows (x, n) in their order, and the rows up to each."""
+    if len(batch):
+        x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+        for f in features:
+            value = np.where(np.isnan(x[:, f]), np.inf, x[:, f])
+            order = np.argsort(value)
+            yield f, value[order], np.concatenate([[0], np.cumsum(batch.column(1).to_numpy()[order])])
+
+
+def _counted(ranges: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """Rows, lowest and highest value of each range of the features."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {f: (np.zeros(len(e), np.int64), np.full(len(e), np.inf), np.full(len(e), -np.inf)) for f, (e, _) in ranges.items()}
+        for batch in batches:
+            for f, value, upto in _ordered(batch, [*ranges]):
+                n, low, high = held[f]
+                stop = np.searchsorted(value, ranges[f][0], side="right")
+                start = np.concatenate([[0], stop[:-1]])
+                some = np.flatnonzero(stop > start)
+                n[some] += upto[stop[some]] - upto[start[some]]
+                low[some], high[some] = np.minimum(low[some], value[start[some]]), np.maximum(high[some], value[stop[some] - 1])
+        for f, (n, low, high) in held.items():
+            kept = np.flatnonzero(ranges[f][1] & (n > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), f, np.int32)), pa.array(kept), *[pa.array(a[kept]) for a in (n, low, high)]],
+                                             ["feature", "place", "n", "low", "high"])
+
+    return run
+
+
+def _listed(cells: dict[int, np.ndarray]):
+    """Rows of each single value in the cells of the features."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f, value, upto in _ordered(batch, [*cells]):
+                stop = np.append(np.flatnonzero(value[1:] != value[:-1]), len(value) - 1) + 1
+                found, n = value[stop - 1], np.diff(upto[np.append(0, stop)])
+                at = np.searchsorted(cells[f]["high"], found)
+                kept = np.flatnonzero(at < len(cells[f]))
+                kept = kept[cells[f]["low"][at[kept]] <= found[kept]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), f, np.int32)), pa.array(found[kept]), pa.array(n[kept])], ["feature", "low", "n"])
+
+    return run
+
+
+def _candidates(rows: DataFrame, total: int, width: int, bins: int) -> list[np.ndarray]:
+    """Candidate splits of each feature from all rows (x, n): cells are divided where they matter until the rest does not."""
+    cells = {f: np.array([(total, -np.inf, np.inf)], _CELL) for f in range(width)}
+    cuts: list[np.ndarray] = [np.zeros(0)] * width
+    while cells:
+        wanted = {}
+        for f in list(cells):
+            cuts[f], divided = _walk(cells[f], bins)
+            if len(divided):
+                wanted[f] = cells[f][divided]
+                cells[f] = np.delete(cells[f], divided)
+            else:
+                del cells[f]
+        if not wanted:
+            break
+        if sum(int(c["n"].sum()) for c in wanted.values()) <= VALUES:
+            found = rows.mapInArrow(_listed(wanted), "feature int, low double, n long").groupBy("feature", "low").agg(F.sum("n").alias("n"))
+            found = found.select("feature", "n", "low", F.col("low").alias("high"))
+        else:
+            most = max(8, RANGES // width)
+            ranges = {f: _ranges(c, max(2, most // len(c))) for f, c in wanted.items()}
+            found = rows.mapInArrow(_counted(ranges), "feature int, place long, n long, low double, high double").groupBy("feature", "place").agg(
+                F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        found = found.select("feature", "n", "low", "high").toArrow()
+        feature, parts = found.column("feature").to_numpy(), np.zeros(len(found), _CELL)
+        for name in _CELL.names:
+            parts[name] = found.column(name).to_numpy()
+        order = np.argsort(feature, kind="stable")
+        for f, of in zip(np.unique(feature).tolist(), np.split(order, np.flatnonzero(np.diff(feature[order])) + 1)):
+            cells[f] = np.sort(np.concatenate([cells[f], parts[of]]), order="low")
+    return cuts
 
 
 def _impurity(s: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -433,24 +554,7 @@ def _cells(data: DataFrame, how: dict, max_bins: int) -> tuple[DataFrame, list[n
         raise ValueError("there are no labelled rows to learn from")
     width = how["width"] = widest
     how["centre"] = 0.0 if how["classes"] else float(f"{mean:.3g}")  # squares of small numbers keep their digits
-    bins, seed = min(max_bins, total), how["seed"]
-    share = min(1.0, max(max_bins * max_bins, SAMPLE_ROWS) / total)
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            counts, hashes = batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
-            drawn, salt = np.zeros(len(counts)), _salt(seed, 3)
-            for row, copy in _copies(counts, DRAWN):
-                drawn += np.bincount(row, _poisson(_mix(_mix(hashes[row] + salt) + copy.astype(np.uint64)), share), len(counts))
-            kept = pa.array(np.flatnonzero(drawn > 0))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), pa.array(drawn.astype(np.int64)).take(kept)], ["x", "n"])
-
-    taken = rows.select("x", "n")
-    if share < 1.0:
-        taken = rows.select("x", "n", F.xxhash64("label", "x").alias("h")).mapInArrow(sample, "x array<double>, n long")
-    seen = taken.toPandas()
-    known, weights = np.vstack(seen["x"].to_numpy()), seen["n"].to_numpy().astype(float)
-    cuts = [_cuts(known[:, f], weights, bins) for f in range(width)]
+    cuts = _candidates(rows.select("x", "n"), total, width, min(max_bins, total))
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
